@@ -28,7 +28,8 @@ def recon_mean(windows: DataFrame, fitted: DataFrame, channels: Sequence[str]) -
     """Reconstruct every window as the training mean."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", *channels)))
     profile = fitted.agg(ordered.alias("p")).scalar()
-    return windows.withColumns({f"out_{c}": F.transform(profile, lambda r, c=c: r[c]) for c in channels})
+    with_profile = windows.withColumn("_p", profile)
+    return with_profile.withColumns({f"out_{c}": F.col(f"_p.{c}") for c in channels}).drop("_p")
 
 
 def forecast_last(windows: DataFrame, channels: Sequence[str], ahead: int) -> DataFrame:

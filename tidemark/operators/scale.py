@@ -114,13 +114,12 @@ def scale_inverse(df: DataFrame, scaler: DataFrame, features: Sequence[str]) ->
 
 def scale_windows(windows: DataFrame, scaler: DataFrame, features: Sequence[str], inverse: bool = False) -> DataFrame:
     """The same on channel arrays."""
-    p = scaler_params(scaler, features)
-
     def change(i: int):
-        c, s = p[f"c{i}"], p[f"s{i}"]
+        c, s = F.col(f"_p.c{i}"), F.col(f"_p.s{i}")
         return (lambda x: x * s + c) if inverse else (lambda x: (x - c) / s)
 
-    return windows.withColumns({f: F.transform(f, change(i)) for i, f in enumerate(features)})
+    with_params = windows.withColumn("_p", scaler_params(scaler, features))
+    return with_params.withColumns({f: F.transform(f, change(i)) for i, f in enumerate(features)}).drop("_p")
 
 
 def fit_on_windows_rows(

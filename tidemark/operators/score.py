@@ -204,7 +204,8 @@ def best_f1_threshold(scores: DataFrame, num_thresh: int = 100, score: str = "sc
     scores = stage(scores.select(F.col(score).alias("score"), F.col(label).alias("label")), "f1")
     probs = [i / (num_thresh - 1) for i in range(num_thresh)]
     grid = exact_quantiles(scores, [], "score", probs).agg(F.sort_array(F.collect_list("q")).alias("q"))
-    levels = scores.withColumn("m", count_cuts(grid.scalar(), F.col("score"), num_thresh, True)).groupBy("m").agg(
+    placed = scores.withColumn("_q", grid.scalar())
+    levels = placed.withColumn("m", count_cuts(F.col("_q"), F.col("score"), num_thresh, True)).groupBy("m").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     # at most num_thresh + 1 rows from here on

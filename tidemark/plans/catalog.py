@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemark.plans import q_clean, q_sources, q_split  # noqa: F401
+from tidemark.plans import q_clean, q_scale, q_sources, q_split, q_windows  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

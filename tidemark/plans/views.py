@@ -74,13 +74,11 @@ def user_windows(spark: SparkSession, sf: str, step: int = L, rows: DataFrame |
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings read as windows of 8 steps x 8 channels; class 0 plays the anomaly."""
+    def channel(c: int):
+        return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.get("embedding", p * 8 + c).cast("double"))
+
     return table(spark, sf, "embeddings").select(
-        "vec_id",
-        (F.col("label") == 0).cast("int").alias("label"),
-        *[
-            F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p, c=c: F.get("embedding", p * 8 + c).cast("double")).alias(f"c{c}")
-            for c in range(8)
-        ],
+        "vec_id", (F.col("label") == 0).cast("int").alias("label"), *[channel(c).alias(f"c{c}") for c in range(8)]
     )
 
 
