@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import split, windows
+from tidemark.operators import clean, detect, inject, scale, score, split, windows
 from tidemark.sources.stage import stage
 from tidemark.sources.tables import scan_table
 
@@ -90,6 +90,38 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def scaled_windows(spark: SparkSession, sf: str, clean_only: bool = True) -> DataFrame:
+    """Non-overlapping windows of the user series, scaled by the values in windows without an anomaly; staged."""
+    every = stage(user_windows(spark, sf), "windows")
+    good = clean.filter_windows_by_label(every, anomalous=False)
+    fitted = scale.standard_fit(windows.explode_positions(good, [], CH), CH)
+    return stage(scale.scale_windows(good if clean_only else every, fitted, CH), "scaled")
+
+
+def corrupted_windows(
+    spark: SparkSession, sf: str, types: list[str], ratio: float = 0.5, clean_windows: DataFrame | None = None
+) -> DataFrame:
+    """A share of the clean scaled windows, each with one anomaly on one channel."""
+    good = scaled_windows(spark, sf).drop("labels") if clean_windows is None else clean_windows.drop("labels")
+    picked = inject.pick_type_channel(inject.pick_windows(good, WIN, ratio, INJECT_SEED), WIN, types, CH, seed=INJECT_SEED)
+    directions = inject.principal_directions(good, CH) if "subspace" in types else None
+    return inject.corrupt(picked, inject.injector_fit(good, CH), WIN, CH, L, DELTA, INJECT_SEED, types, directions)
+
+
+def scored_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """All scaled windows with labels, reconstructed as the mean of the clean ones; staged."""
+    every = scaled_windows(spark, sf, clean_only=False)
+    fitted = detect.recon_mean_fit(clean.filter_windows_by_label(every, anomalous=False), CH)
+    out = detect.recon_mean(every, fitted, CH)
+    return stage(out.withColumn("anomalous", clean.has_anomaly("labels").cast("int")), "scored")
+
+
+def step_errors(spark: SparkSession, sf: str, kind: str = "abs", scored: DataFrame | None = None) -> DataFrame:
+    """Errors per (window, pos) with `label` and the window's `anomalous` flag."""
+    scored = scored_windows(spark, sf) if scored is None else scored
+    return score.window_errors(scored, [*WIN, "anomalous"], CH, kind)
+
+
 # ---------------------------------------------------------------- the same in SQL
 
 _CTE: dict[str, tuple[tuple[str, ...], str]] = {
@@ -139,9 +171,94 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT series_id, start_idx, pos, (value - mv) / sv AS value, (k - mk) / sk AS k, (gap_s - mg) / sg AS gap_s
         FROM wc, (SELECT avg(value) mv, stddev_pop(value) sv, avg(k) mk, stddev_pop(k) sk, avg(gap_s) mg, stddev_pop(gap_s) sg
                   FROM wc) f"""),
+    # all windows under the same scaling, with labels
+    "az": (("wc",), """
+        SELECT series_id, start_idx, pos, (value - mv) / sv AS value, (k - mk) / sk AS k, (gap_s - mg) / sg AS gap_s,
+               is_anomaly AS label, max(is_anomaly) OVER (PARTITION BY series_id, start_idx) AS anomalous
+        FROM wl, (SELECT avg(value) mv, stddev_pop(value) sv, avg(k) mk, stddev_pop(k) sk, avg(gap_s) mg, stddev_pop(gap_s) sg
+                  FROM wc) f"""),
+    "rm": (("wz",), "SELECT pos, avg(value) AS value, avg(k) AS k, avg(gap_s) AS gap_s FROM wz GROUP BY pos"),
+    "er": (("az", "rm"), """
+        SELECT a.series_id, a.start_idx, a.pos, abs(m.value - a.value) AS value, abs(m.k - a.k) AS k,
+               abs(m.gap_s - a.gap_s) AS gap_s, a.label, a.anomalous
+        FROM az a JOIN rm m USING (pos)"""),
+    "el": (("er",), """
+        SELECT anomalous, 'value' AS channel, value AS err FROM er UNION ALL SELECT anomalous, 'k', k FROM er
+        UNION ALL SELECT anomalous, 'gap_s', gap_s FROM er"""),
+    "md": (("el",), "SELECT channel, quantile_cont(err, 0.5) AS factor FROM el WHERE anomalous = 0 GROUP BY channel"),
+    "en": (("er", "md"), """
+        SELECT series_id, start_idx, pos, label, anomalous, value / (fv + 0.001::DOUBLE) AS value, k / (fk + 0.001::DOUBLE) AS k,
+               gap_s / (fg + 0.001::DOUBLE) AS gap_s
+        FROM er, (SELECT max(factor) FILTER (channel = 'value') AS fv, max(factor) FILTER (channel = 'k') AS fk,
+                         max(factor) FILTER (channel = 'gap_s') AS fg FROM md) f"""),
+    "ss": (("en",), """
+        SELECT series_id, start_idx, pos, anomalous, label, round((value + k + gap_s) / 3.0::DOUBLE, 9) AS score FROM en"""),
+    "rc": (("ss",), """
+        SELECT score, sum(pos1) OVER d AS tp, sum(neg1) OVER d AS fp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
+          SELECT score, count(*) FILTER (label = 1) AS pos1, count(*) FILTER (label = 0) AS neg1 FROM ss GROUP BY score)
+        WINDOW d AS (ORDER BY score DESC)"""),
+    "mr": (("rc",), """
+        SELECT sum(neg1 * (tp - pos1 + pos1 / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)) AS roc_auc,
+               arg_max(score, (tp / p - fp / n, score)) AS threshold, arg_max(tp / p, (tp / p - fp / n, score)) AS tpr,
+               arg_max(fp / n, (tp / p - fp / n, score)) AS fpr, max(p) AS p, max(n) AS n FROM rc"""),
+    "mf": (("mr",), """
+        SELECT *, tpr AS recall, 2 * (prec * tpr) / (prec + tpr + 1e-12::DOUBLE) AS f1
+        FROM (SELECT *, tpr * p / (tpr * p + fpr * n + 1e-12::DOUBLE) AS prec FROM mr)"""),
 }
 
 
+def u_sql(purpose: str, *ids: str, seed: int = INJECT_SEED) -> str:
+    """SQL form of `hashing.uniform`."""
+    key = ", ".join([f"'{seed}'", f"'{purpose}'", *[f"({i})::VARCHAR" for i in ids]])
+    return f"(('0x' || substr(md5(concat_ws('|', {key})), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE)"
+
+
+def _corrupt_cte(types: tuple[str, ...], ratio: float = 0.5) -> str:
+    """One row per (corrupted window, pos): old value `z`, new value `x`, `label`."""
+    w = ("series_id", "start_idx")
+    sign = f"CASE WHEN {u_sql('sign', *w)} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
+    place = f"floor({u_sql('place', *w)} * 16)"
+    tone = lambda m: f"cos(2 * pi() * (0.1::DOUBLE + 0.1::DOUBLE * {u_sql(f'freq{m}', *w)}) * pos + 2 * pi() * {u_sql(f'phase{m}', *w)})"
+    x = {
+        "gwn": f"z + sqrt(0.5::DOUBLE) * sd * sqrt(-2 * ln(1 - {u_sql('gwn.r', *w, 'pos')})) * cos(2 * pi() * {u_sql('gwn.a', *w, 'pos')})",
+        "constant": f"z + {sign} * sqrt(0.5::DOUBLE) * sd",
+        "step": f"CASE WHEN pos >= {place} THEN z + {sign} * sqrt(8.0::DOUBLE / (16 - {place})) * sd ELSE z END",
+        "impulse": f"CASE WHEN pos = {place} THEN z + {sign} * sqrt(8.0::DOUBLE) * sd ELSE z END",
+        "narrowband": f"z + sqrt(1.0::DOUBLE / 3) * sd * ({tone(0)} + {tone(1)} + {tone(2)})",
+    }
+    options = "[" + ", ".join(f"'{t}'" for t in types) + "]"
+    cases = " ".join(f"WHEN '{t}' THEN {x[t]}" for t in types)
+    return f"""
+        SELECT *, CAST(abs(z - x) > 1e-10::DOUBLE AS INTEGER) AS label FROM (
+          SELECT *, CASE anomaly_type {cases} END AS x FROM (
+            SELECT series_id, start_idx, pos, rank, anomaly_type, channel,
+                   CASE channel WHEN 'value' THEN value WHEN 'k' THEN k ELSE gap_s END AS z,
+                   CASE channel WHEN 'value' THEN sv WHEN 'k' THEN sk ELSE sg END AS sd
+            FROM wz JOIN (
+              SELECT series_id, start_idx, rank,
+                     {options}[1 + floor({u_sql('type', *w)} * {len(types)})::INTEGER] AS anomaly_type,
+                     ['value', 'k', 'gap_s'][1 + floor({u_sql('channel', *w)} * 3)::INTEGER] AS channel
+              FROM (SELECT series_id, start_idx, count(*) OVER () AS total,
+                           row_number() OVER (ORDER BY md5(concat_ws('|', '123', 'pick', series_id::VARCHAR, start_idx::VARCHAR)), series_id, start_idx) AS rank
+                    FROM (SELECT DISTINCT series_id, start_idx FROM wz))
+              WHERE rank <= trunc(total * {ratio}::DOUBLE)) p USING (series_id, start_idx),
+            (SELECT stddev_pop(value) sv, stddev_pop(k) sk, stddev_pop(gap_s) sg FROM wz) f))"""
+
+
+MIXED = ("gwn", "constant", "step", "impulse")
+for _t in ("gwn", "constant", "step", "impulse", "narrowband"):
+    _CTE["cz_" + _t] = (("wz",), _corrupt_cte((_t,)))
+_CTE["cz"] = (("wz",), _corrupt_cte(MIXED))
+# errors of corrupted windows (1) beside their clean originals (0) under the mean reconstruction
+_CTE["pe"] = (("cz", "rm"), """
+    SELECT c.series_id, c.start_idx, c.pos, c.channel, c.label, c.anomaly_type,
+           abs(m.value - CASE WHEN c.channel = 'value' THEN c.x ELSE w.value END) AS value,
+           abs(m.k - CASE WHEN c.channel = 'k' THEN c.x ELSE w.k END) AS k,
+           abs(m.gap_s - CASE WHEN c.channel = 'gap_s' THEN c.x ELSE w.gap_s END) AS gap_s,
+           abs(m.value - w.value) AS clean_value, abs(m.k - w.k) AS clean_k, abs(m.gap_s - w.gap_s) AS clean_gap_s
+    FROM cz c JOIN wz w USING (series_id, start_idx, pos) JOIN rm m USING (pos)""")
+
+
 def sql(body: str, *ctes: str) -> str:
     """`body` with the named common tables (and what they need) in front."""
     needed: list[str] = []
