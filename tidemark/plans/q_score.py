@@ -182,12 +182,17 @@ def f1_from_rates(spark, sf):
     return out.select(r("precision").alias("precision"), r("recall").alias("recall"), r("f1").alias("f1"))
 
 
-@query("best_f1_threshold", v.sql("""
+_WINDOW_SCORES = "(SELECT round(avg((value + k + gap_s) / 3), 9) AS score, max(label) AS label FROM en GROUP BY series_id, start_idx)"
+_GRID = "[" + ", ".join(f"{i}/19.0::DOUBLE" for i in range(20)) + "]"
+
+
+@query("best_f1_threshold", v.sql(f"""
     SELECT round(threshold, 5) AS threshold, round(f1, 6) AS f1 FROM (
       SELECT i, threshold, coalesce(2.0::DOUBLE * count(*) FILTER (score >= threshold AND label = 1)
         / (count(*) FILTER (score >= threshold) + count(*) FILTER (label = 1)), 0) AS f1
-      FROM sq, (SELECT i, quantile_cont(score, i / 19.0::DOUBLE) AS threshold FROM sq, range(0, 20) q(i) GROUP BY i) t
-      GROUP BY i, threshold) ORDER BY f1 DESC, i LIMIT 1""".replace("FROM sq", "FROM (SELECT round(avg((value + k + gap_s) / 3), 9) AS score, max(label) AS label FROM en GROUP BY series_id, start_idx)"), "en"))
+      FROM {_WINDOW_SCORES} s,
+        (SELECT unnest(qs) AS threshold, unnest(range(0, 20)) AS i FROM (SELECT quantile_cont(score, {_GRID}) AS qs FROM {_WINDOW_SCORES} s2)) t
+      GROUP BY i, threshold) ORDER BY f1 DESC, i LIMIT 1""", "en"))
 def best_f1_threshold(spark, sf):
     seq = score.sequence_score(_normalised(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 9))
     return score.best_f1_threshold(seq, 20).select(r("threshold", 5).alias("threshold"), r("f1").alias("f1"))
