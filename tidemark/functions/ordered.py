@@ -22,14 +22,14 @@ from tidemark.functions import hashing
 from tidemark.session import shuffle_width
 from tidemark.sources.stage import stage
 
-SAMPLE_PER_BUCKET = 200
+SAMPLE_PER_BUCKET = 64
 SPAN = 1 << 16
 
 
 # ---------------------------------------------------------------- buckets
 
-def _cut_points(source: DataFrame, key: str, id_cols: Sequence[str], buckets: int) -> Column:
-    """Array of `buckets - 1` ascending cut values, as a scalar subquery.
+def _cut_points(source: DataFrame, cols: Sequence[str], buckets: int) -> Column:
+    """Per column an array of `buckets - 1` ascending cut values, as one scalar subquery `c0, c1, ...`.
 
     The values come from a hash sample of bounded size. Both the sample and the exact percentile over it are functions of
     the data alone, so every branch of a plan that evaluates the cuts sees the same ones. The sample only decides where
@@ -38,11 +38,10 @@ def _cut_points(source: DataFrame, key: str, id_cols: Sequence[str], buckets: in
     target = buckets * SAMPLE_PER_BUCKET
     rows = source.select(F.count(F.lit(1)).alias("n")).scalar()
     thin = F.greatest(F.lit(1).cast("long"), (rows / F.lit(target)).cast("long"))
-    sample = source.select(F.col(key).cast("double").alias("v"), F.xxhash64(*id_cols).alias("h")).where(
-        F.pmod(F.col("h"), thin) == 0
-    )
+    values = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]
+    sample = source.select(*values, F.xxhash64(*cols).alias("h")).where(F.pmod(F.col("h"), thin) == 0)
     shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
-    return sample.select(F.percentile("v", shares).alias("cuts")).scalar()
+    return sample.select(F.struct(*[F.percentile(f"v{i}", shares).alias(f"c{i}") for i in range(len(cols))])).scalar()
 
 
 def count_cuts(cuts: Column, value: Column, n_cuts: int, inclusive: bool) -> Column:
@@ -77,21 +76,20 @@ def bucket_by_value(
     """
     source = df if cuts_from is None else cuts_from
     buckets = buckets or shuffle_width(df.sparkSession)
-    ids = [key] + ([tie] if tie else [])
     n_cuts = buckets - 1
     value = F.col(key).cast("double")
-    out = df.withColumn("_cuts", _cut_points(source, key, ids, buckets))
-    upto = count_cuts(F.col("_cuts"), value, n_cuts, True)
+    out = df.withColumn("_cuts", _cut_points(source, [key, tie] if tie else [key], buckets))
+    cuts = F.col("_cuts.c0")
+    upto = count_cuts(cuts, value, n_cuts, True)
     if tie is None:
         number = upto.cast("long")
     else:
-        out = out.withColumn("_le", upto).withColumn("_lt", count_cuts(F.col("_cuts"), value, n_cuts, False))
-        out = out.withColumn("_tcuts", _cut_points(source, tie, ids, buckets))
+        out = out.withColumn("_le", upto).withColumn("_lt", count_cuts(cuts, value, n_cuts, False))
         heavy = F.col("_le") - F.col("_lt") >= 2
-        sub = F.when(heavy, count_cuts(F.col("_tcuts"), F.col(tie).cast("double"), n_cuts, True)).otherwise(0)
+        sub = F.when(heavy, count_cuts(F.col("_cuts.c1"), F.col(tie).cast("double"), n_cuts, True)).otherwise(0)
         number = F.when(heavy, F.col("_lt") + 1).otherwise(F.col("_le")).cast("long") * F.lit(buckets) + sub
     out = out.withColumn(name, -number if descending else number)
-    return out.drop("_cuts", "_le", "_lt", "_tcuts")
+    return out.drop("_cuts", "_le", "_lt")
 
 
 def bucket_by_index(df: DataFrame, idx: str, span: int = SPAN, name: str = "_b") -> DataFrame:
@@ -137,8 +135,9 @@ def running(
 ) -> DataFrame:
     """Running aggregates of each key in `order`, and aggregates over the whole key (`totals`), exact over all buckets.
 
-    `bucket` must follow `order`. Rows move once, by (key, bucket); the table of earlier totals has one row per
-    (key, bucket). `bucket` is dropped from the result.
+    `order` is ascending and `bucket` must follow it. Rows move once, by (key, bucket); the table of earlier totals has
+    one row per (key, bucket). Backward aggregates run over the reversed order, since a frame that reaches from the
+    current row to the end is recomputed for every row. `bucket` is dropped from the result.
     """
     totals = totals or {}
     keys = list(keys)
@@ -148,7 +147,7 @@ def running(
         *[_AGG[a](v).alias(f"_t_{n}") for n, (a, v) in totals.items()],
     )
     before = Window.partitionBy(*part_keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*part_keys).orderBy(bucket).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*part_keys).orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*part_keys)
     again = {"count": F.sum}
     offsets = per_bucket.select(
@@ -161,14 +160,10 @@ def running(
         *[again.get(a, _AGG[a])(f"_t_{n}").over(whole).alias(n) for n, (a, _) in totals.items()],
     )
 
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-
     def local(s: Running) -> Column:
-        if s.backward:
-            frame = inside.rowsBetween(1 if s.exclusive else 0, Window.unboundedFollowing)
-        else:
-            frame = inside.rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0)
-        return _AGG[s.agg](s.value).over(frame)
+        way = [c.desc() if s.backward else c.asc() for c in order]
+        inside = Window.partitionBy(*keys, bucket).orderBy(*way)
+        return _AGG[s.agg](s.value).over(inside.rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0))
 
     rows = df.select("*", *[local(s).alias(f"_l_{n}") for n, s in specs.items()])
     joined = rows.join(offsets, [*keys, bucket], "left")

@@ -23,12 +23,12 @@ def join_pairs(corrupted: DataFrame, originals: DataFrame, origin: Sequence[str]
 
 def join_semi(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of `a` at positions in `b`."""
-    return a.join(b.select(*on), list(on), "left_semi")
+    return a.join(b.select(*on).distinct(), list(on), "left_semi")
 
 
 def join_anti(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of `a` at positions not in `b`."""
-    return a.join(b.select(*on), list(on), "left_anti")
+    return a.join(b.select(*on).distinct(), list(on), "left_anti")
 
 
 def join_asof(
@@ -52,7 +52,8 @@ def join_asof(
         right.select(payload.alias("s")).schema["s"].dataType).alias("_r"))
     r_rows = right.select(*keys, axis, F.lit(None).cast(l_rows.schema["_l"].dataType).alias("_l"), payload.alias("_r"))
     merged = l_rows.unionByName(r_rows).withColumn("_side", F.col("_l").isNotNull().cast("int"))
-    side = F.col("_side").asc() if back else F.col("_side").desc()
+    # on equal times a right row comes before the left row in the direction of the search
+    side = F.col("_side") if back else -F.col("_side")
     cuts = left.select(axis).unionByName(right.select(axis))
     near = running(
         bucket_by_value(merged, axis, cuts_from=cuts),

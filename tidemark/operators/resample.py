@@ -93,7 +93,7 @@ def upsample(
     merged = running(
         bucket_by_value(known.unionByName(wanted), "x", cuts_from=(cuts_from or df).select(F.col(axis).alias("x"))),
         keys,
-        [F.col("x"), F.col("g").asc_nulls_first()],
+        [F.col("x"), F.col("g")],
         {"_at": Running("max", F.col("_s"))},
     ).where(F.col("g").isNotNull())
     at, x = F.col("_at"), F.col("x")

@@ -147,7 +147,7 @@ def roc_counts(scores: DataFrame, keys: Sequence[str] = (), score: str = "score"
     return running(
         bucket_by_value(grouped, "score", descending=True),
         keys,
-        [F.col("score").desc()],
+        [-F.col("score")],
         {"tp": Running("sum", F.col("pos")), "fp": Running("sum", F.col("neg"))},
         {"p": ("sum", F.col("pos")), "n": ("sum", F.col("neg"))},
     )

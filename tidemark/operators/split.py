@@ -263,12 +263,12 @@ def shuffle_order(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed:
 
 def set_difference(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Positions of `a` that are not in `b`."""
-    return a.select(*on).distinct().join(b.select(*on), list(on), "left_anti")
+    return a.select(*on).distinct().join(b.select(*on).distinct(), list(on), "left_anti")
 
 
 def set_intersect(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Positions in both."""
-    return a.select(*on).intersect(b.select(*on))
+    return a.select(*on).distinct().intersect(b.select(*on).distinct())
 
 
 def set_union(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.ordered import SPAN, Running, bucket_by_index, bucket_by_value, exact_quantiles, framed, running
 from tidemark.sources.stage import stage
 
+HOT = 10_000
+
 
 def mark_starts(rows: DataFrame, starts: DataFrame, keys: Sequence[str], idx: str = "idx", name: str = "is_start") -> DataFrame:
     """Add a boolean column: the row is one of `starts` (keys, idx)."""
@@ -96,15 +98,20 @@ def tumble_windows_wide(
 ) -> DataFrame:
     """Epoch-aligned windows of `n` periods that hold exactly `n` rows: `tile` (start time) and one array per channel.
 
-    Rows with a missing channel are dropped first. Group sizes are counted before any row is collected, so an overfull
-    tile never gathers in one task.
+    Rows with a missing channel are dropped first. Group sizes are counted before any row is collected: an overfull tile
+    is never gathered, and the rows of very large ones are dropped before the shuffle.
     """
     size = F.lit(n) if isinstance(n, int) else n
     full = rows.dropna(subset=list(channels))
     width = size * F.lit(period_us)
     tiled = full.withColumn("tile", (F.floor(F.col(us) / width) * width).cast("long")).withColumn("_n", size)
     group = [*keys, "tile"]
-    whole = tiled.groupBy(*group).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_want")).where("_c = _want")
+    sizes = tiled.groupBy(*group).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_want"))
+    whole = sizes.where("_c = _want")
+    # fewer than HOT tiles can each hold more than 1 / HOT of the rows, so this list is small enough to broadcast
+    all_rows = sizes.select(F.sum("_c")).scalar()
+    hot = sizes.where((F.col("_c") > F.col("_want")) & (F.col("_c") * HOT > all_rows)).select(*group)
+    tiled = tiled.join(F.broadcast(hot), group, "left_anti")
     item = F.struct(us, tie, *channels)
     packed = tiled.drop("_n").join(whole.select(*group), group, "left_semi").groupBy(*group).agg(
         F.array_sort(F.collect_list(item)).alias("_w")

@@ -123,9 +123,9 @@ def _steps(spark, sf):
     return score.step_score(_normalised(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 9))
 
 
-@query("step_score", v.sql("SELECT series_id, start_idx, pos, round(score, 5) AS score, label FROM ss", "ss"))
+@query("step_score", v.sql("SELECT series_id, start_idx, pos, score, label FROM ss", "ss"))
 def step_score(spark, sf):
-    return _steps(spark, sf).select(*v.WIN, F.col("pos").cast("long").alias("pos"), r("score", 5).alias("score"), "label")
+    return _steps(spark, sf).select(*v.WIN, F.col("pos").cast("long").alias("pos"), "score", "label")
 
 
 @query("sequence_score", v.sql("SELECT series_id, start_idx, round(avg((value + k + gap_s) / 3), 5) AS score, max(label) AS label FROM en GROUP BY series_id, start_idx", "en"))
@@ -147,11 +147,11 @@ def sequence_labels(spark, sf):
 
 
 @query("roc_curve", v.sql("""
-    SELECT round(score, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM rc
+    SELECT score AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM rc
     UNION ALL SELECT 'infinity'::DOUBLE, 0, 0""", "rc"))
 def roc_curve(spark, sf):
     out = score.roc_curve(score.roc_counts(_steps(spark, sf)))
-    return out.select(r("threshold").alias("threshold"), r("fpr").alias("fpr"), r("tpr").alias("tpr"))
+    return out.select(r("threshold", 9).alias("threshold"), r("fpr").alias("fpr"), r("tpr").alias("tpr"))
 
 
 @query("roc_auc", v.sql("SELECT round(roc_auc, 6) AS roc_auc FROM mr", "mr"))
