@@ -28,20 +28,25 @@ SPAN = 1 << 16
 
 # ---------------------------------------------------------------- buckets
 
-def _cut_points(source: DataFrame, cols: Sequence[str], buckets: int) -> Column:
-    """Per column an array of `buckets - 1` ascending cut values, as one scalar subquery `c0, c1, ...`.
+def double_array(values: Sequence[float]) -> Column:
+    """A constant array of doubles; one literal, however long."""
+    if not values:
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
 
-    The values come from a hash sample of bounded size. Both the sample and the exact percentile over it are functions of
-    the data alone, so every branch of a plan that evaluates the cuts sees the same ones. The sample only decides where
-    to cut; every row is processed.
+
+def _cut_points(source: DataFrame, cols: Sequence[str], buckets: int) -> list[Column]:
+    """Per column an array of `buckets - 1` ascending cut values.
+
+    The values come from a hash sample of about `SAMPLE_PER_BUCKET` rows per bucket and are fetched once, so every branch
+    of the plan sees the same ones. The sample only decides where to cut; every row is processed.
     """
-    target = buckets * SAMPLE_PER_BUCKET
-    rows = source.select(F.count(F.lit(1)).alias("n")).scalar()
-    thin = F.greatest(F.lit(1).cast("long"), (rows / F.lit(target)).cast("long"))
+    thin = max(1, source.count() // (buckets * SAMPLE_PER_BUCKET))
     values = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]
     sample = source.select(*values, F.xxhash64(*cols).alias("h")).where(F.pmod(F.col("h"), thin) == 0)
-    shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
-    return sample.select(F.struct(*[F.percentile(f"v{i}", shares).alias(f"c{i}") for i in range(len(cols))])).scalar()
+    shares = double_array([(i + 1) / buckets for i in range(buckets - 1)])
+    found = sample.select(*[F.percentile(f"v{i}", shares) for i in range(len(cols))]).first()
+    return [double_array(cuts or []) for cuts in found]
 
 
 def count_cuts(cuts: Column, value: Column, n_cuts: int, inclusive: bool) -> Column:
@@ -52,7 +57,7 @@ def count_cuts(cuts: Column, value: Column, n_cuts: int, inclusive: bool) -> Col
         s *= 2
 
     def advance(acc: Column, step: Column) -> Column:
-        probe = F.get(cuts, acc + step - 1)
+        probe = F.get(cuts, acc + step - 1)  # NULL past the end, which counts as no hit
         hit = probe <= value if inclusive else probe < value
         return F.when(hit, acc + step).otherwise(acc)
 
@@ -78,18 +83,18 @@ def bucket_by_value(
     buckets = buckets or shuffle_width(df.sparkSession)
     n_cuts = buckets - 1
     value = F.col(key).cast("double")
-    out = df.withColumn("_cuts", _cut_points(source, [key, tie] if tie else [key], buckets))
-    cuts = F.col("_cuts.c0")
+    cuts, *tie_cuts = _cut_points(source, [key, tie] if tie else [key], buckets)
+    out = df
     upto = count_cuts(cuts, value, n_cuts, True)
     if tie is None:
         number = upto.cast("long")
     else:
         out = out.withColumn("_le", upto).withColumn("_lt", count_cuts(cuts, value, n_cuts, False))
         heavy = F.col("_le") - F.col("_lt") >= 2
-        sub = F.when(heavy, count_cuts(F.col("_cuts.c1"), F.col(tie).cast("double"), n_cuts, True)).otherwise(0)
+        sub = F.when(heavy, count_cuts(tie_cuts[0], F.col(tie).cast("double"), n_cuts, True)).otherwise(0)
         number = F.when(heavy, F.col("_lt") + 1).otherwise(F.col("_le")).cast("long") * F.lit(buckets) + sub
     out = out.withColumn(name, -number if descending else number)
-    return out.drop("_cuts", "_le", "_lt")
+    return out.drop("_le", "_lt")
 
 
 def bucket_by_index(df: DataFrame, idx: str, span: int = SPAN, name: str = "_b") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
 from tidemark.operators.clean import has_anomaly
+from tidemark.operators.score import by_channel
 from tidemark.operators.split import take_ranked
 from tidemark.operators.windows import concat_windows_sets
 
@@ -178,7 +179,7 @@ def corrupt(
     Only changed positions are replaced. `subspace` needs `directions`.
     """
     types = [t for t in (types or INJECTORS) if t in INJECTORS]
-    spreads = fitted.agg(F.map_from_entries(F.collect_list(F.struct("channel", "std"))).alias("m")).scalar()
+    spreads = by_channel(fitted, "std")
     pick = lambda options: F.coalesce(*[F.when(F.col("channel") == c, v) for c, v in options.items()])
     doubles = lambda xs: F.array(*[F.lit(x) for x in xs])
     setting = Setting(
@@ -191,7 +192,7 @@ def corrupt(
         pick({c: doubles(directions[c][1]) for c in channels}) if directions else None,
     )
     before = picked.withColumn("_old", pick({c: F.col(c) for c in channels})).withColumn(
-        "_spread", F.element_at(spreads, F.col("channel"))
+        "_spread", pick(spreads)
     )
     cases = [F.when(F.col("anomaly_type") == t, INJECTORS[t](F.col("_old"), setting)) for t in types if t != "subspace" or directions]
     after = before.withColumn("_new", F.coalesce(*cases, F.col("_old")))

@@ -42,7 +42,8 @@ def join_asof(
 ) -> DataFrame:
     """Each left row with the nearest right row at or before it (`backward`) or at or after it (`forward`).
 
-    Adds `<prefix><axis>` and `<prefix><value>`; left rows without a match get NULLs. Both sides are merged into one
+    Adds `<prefix><axis>` and `<prefix><value>`; left rows without a match get NULLs. Of several right rows at that time
+    the one with the largest (`backward`) or smallest (`forward`) values counts. Both sides are merged into one
     order, so neither is gathered per key.
     """
     back = direction == "backward"

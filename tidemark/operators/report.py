@@ -87,12 +87,18 @@ def channel_ranges(scored: DataFrame, channels: Sequence[str], keys: Sequence[st
 def error_histogram(scores: DataFrame, by: str, value: str = "score", bins: int = 50) -> DataFrame:
     """Density histogram of each class over the class's own range; the last bin includes the maximum.
 
-    `by` has a handful of classes: their ranges travel as one scalar.
+    `by` must be a 0/1 class column.
     """
-    ranges = scores.groupBy(by).agg(F.min(value).alias("a"), F.max(value).alias("z"), F.count(value).alias("n"))
-    by_class = ranges.agg(F.map_from_entries(F.collect_list(F.struct(by, F.struct("a", "z", "n")))).alias("m")).scalar()
-    r = F.element_at(by_class, F.col(by))
-    placed = scores.select(by, F.col(value).alias("_v"), r.alias("_r"))
+    classed = scores.where(F.col(by).isin(0, 1))
+    ranges = classed.groupBy(by).agg(F.min(value).alias("a"), F.max(value).alias("z"), F.count(value).alias("n")).collect()
+    r = F.coalesce(F.lit(None).cast("struct<a:double,z:double,n:bigint>"), *[
+        F.when(
+            F.col(by) == row[by],
+            F.struct(F.lit(float(row["a"])).alias("a"), F.lit(float(row["z"])).alias("z"), F.lit(row["n"]).cast("bigint").alias("n")),
+        )
+        for row in ranges
+    ])
+    placed = classed.select(by, F.col(value).alias("_v"), r.alias("_r"))
     width = F.when(F.col("_r.z") > F.col("_r.a"), (F.col("_r.z") - F.col("_r.a")) / F.lit(bins))
     spot = F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col("_v") - F.col("_r.a")) / width), F.lit(0))).cast("int")
     return placed.select(by, spot.alias("bin"), width.alias("_w"), F.col("_r.n").alias("_n")).groupBy(by, "bin").agg(

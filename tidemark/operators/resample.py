@@ -66,7 +66,7 @@ def upsample(
     """Channels interpolated on the upsampled grid: `keys, g, x, channels`.
 
     linear extends the first and last segment beyond the samples. nearest/previous/next take a neighbour (a point
-    half way takes the earlier one). cubic is local: the cubic through two samples on each side, linear in the first and
+    half way takes the earlier one). Of several samples at one time the last counts. cubic is local: the cubic through two samples on each side, linear in the first and
     last interval and for series of fewer than four rows; it differs from a global spline.
     """
     if method not in METHODS:
@@ -112,13 +112,13 @@ def upsample(
         before = at["_km1"]
         straight = (
             F.when(after.isNotNull(), line(here, after, c))
-            .when(before.isNotNull(), line(before, here, c))
+            .when(before["x"] < here["x"], line(before, here, c))
             .otherwise(here[c])
         )
         if method == "linear":
             return straight
         around4 = [before, here, after, at["_k2"]]
-        inside = before.isNotNull() & at["_k2"].isNotNull() & (at["n"] >= 4)
+        inside = (before["x"] < here["x"]) & (after["x"] < at["_k2"]["x"]) & (at["n"] >= 4)
         return F.when(inside, _cubic([(p["x"], p[c]) for p in around4], x)).otherwise(straight)
 
     return merged.select(*keys, "g", "x", *[value(c).alias(c) for c in channels])

@@ -88,13 +88,15 @@ def sweep(
             F.struct(F.concat_ws("|", "error", F.lit(c)).alias("k"), F.col(c).alias("err")) for c in channels
         ]))
     )
-    medians = exact_quantiles(long, ["k"], "err", [0.5]).agg(
-        F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("m")
-    ).scalar()
+    medians = {row["k"]: row["q"] for row in exact_quantiles(long, ["k"], "err", [0.5]).collect()}  # error kinds x channels
     fanned = by_kind.withColumn("s", F.explode(F.filter(listed, lambda s: s["error"] == F.col("error"))))
-    scaled = [
-        F.col(c) / (F.element_at(medians, F.concat_ws("|", F.col("error"), F.lit(c))) + F.col("s.epsilon")) for c in channels
-    ]
+
+    def factor(c: str) -> Column:
+        return F.coalesce(*[
+            F.when(F.col("error") == k.partition("|")[0], F.lit(q)) for k, q in medians.items() if k.partition("|")[2] == c
+        ])
+
+    scaled = [F.col(c) / (factor(c) + F.col("s.epsilon")) for c in channels]
     score = sum(scaled) / F.lit(float(len(channels)))
     steps = fanned.select(*ids, F.col("s.config_id").alias("config_id"), F.col("s.level").alias("level"), score.alias("score"), "label")
     windows = steps.where("level = 'window'").groupBy(*ids, "config_id").agg(

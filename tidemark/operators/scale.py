@@ -1,7 +1,7 @@
 """Scaler fitting, applying and inverting; column profiles.
 
-A scaler is a table with one row per feature: `pos, feature, kind, center, scale, var, n`. Applying it reads that table as
-one scalar subquery, so no row of the data is joined or moved.
+A scaler is a table with one row per feature: `pos, feature, kind, center, scale, var, n`. Applying it fetches those few
+rows once and puts them in the plan as constants, so no row of the data is joined or moved.
 """
 
 from __future__ import annotations
@@ -88,14 +88,13 @@ def fit_named(rows: DataFrame, features: Sequence[str], name: str) -> DataFrame
     raise ValueError(f"unknown scaler {name!r}")
 
 
-def scaler_params(scaler: DataFrame, features: Sequence[str]) -> Column:
-    """The table as one struct `c<i>, s<i>`; fails the job when its features or their order differ from `features`."""
-    at = lambda i, c: F.max(F.when(F.col("pos") == i, F.col(c)))
-    fields = [at(i, c).alias(f"{c[0]}{i}") for i in range(len(features)) for c in ("center", "scale")]
-    names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "feature"))), lambda r: r["feature"])
-    row = scaler.agg(F.struct(*fields).alias("p"), names.alias("names"))
-    wrong = F.raise_error(F.concat(F.lit("scaler features differ: "), F.to_json("names"))).cast(row.schema["p"].dataType)
-    return row.select(F.when(F.col("names") == F.array(*[F.lit(f) for f in features]), F.col("p")).otherwise(wrong)).scalar()
+def scaler_params(scaler: DataFrame, features: Sequence[str]) -> dict[str, Column]:
+    """Constants `c<i>` (center) and `s<i>` (scale); the scaler's features and their order must equal `features`."""
+    rows = sorted(scaler.select("pos", "feature", "center", "scale").collect())  # one row per feature
+    if [row["feature"] for row in rows] != list(features):
+        raise ValueError(f"scaler features {[row['feature'] for row in rows]} differ from {list(features)}")
+    constant = lambda x: F.lit(x).cast("double")
+    return {f"{c[0]}{i}": constant(row[c]) for i, row in enumerate(rows) for c in ("center", "scale")}
 
 
 def scale_apply(df: DataFrame, scaler: DataFrame | None, features: Sequence[str]) -> DataFrame:
@@ -114,12 +113,13 @@ def scale_inverse(df: DataFrame, scaler: DataFrame, features: Sequence[str]) ->
 
 def scale_windows(windows: DataFrame, scaler: DataFrame, features: Sequence[str], inverse: bool = False) -> DataFrame:
     """The same on channel arrays."""
+    p = scaler_params(scaler, features)
+
     def change(i: int):
-        c, s = F.col(f"_p.c{i}"), F.col(f"_p.s{i}")
+        c, s = p[f"c{i}"], p[f"s{i}"]
         return (lambda x: x * s + c) if inverse else (lambda x: (x - c) / s)
 
-    with_params = windows.withColumn("_p", scaler_params(scaler, features))
-    return with_params.withColumns({f: F.transform(f, change(i)) for i, f in enumerate(features)}).drop("_p")
+    return windows.withColumns({f: F.transform(f, change(i)) for i, f in enumerate(features)})
 
 
 def fit_on_windows_rows(
@@ -149,13 +149,12 @@ def fit_on_windows(
     marked = rows.select(*keys, idx, *features, complete.alias("_s"))
     weighted = framed(marked, keys, idx, {"_w": (F.sum("_s"), 1 - length, 0)}, span).where("_w > 0")
     w = F.col("_w").cast("double")
-    means = weighted.agg(
-        F.struct(*[(F.sum(w * F.col(f)) / F.sum(w)).alias(f) for f in features]).alias("m")
-    ).scalar()
+    found = weighted.agg(*[F.try_divide(F.sum(w * F.col(f)), F.sum(w)).alias(f) for f in features]).first()
+    means = {f: F.lit(found[f]).cast("double") for f in features}
     wide = weighted.agg(
         *[F.max(means[f]).alias(f"{f}|m") for f in features],
-        *[F.sqrt(F.sum(w * F.pow(F.col(f) - means[f], 2)) / F.sum(w)).alias(f"{f}|s") for f in features],
-        *[(F.sum(w * F.pow(F.col(f) - means[f], 2)) / F.sum(w)).alias(f"{f}|v") for f in features],
+        *[F.sqrt(F.try_divide(F.sum(w * F.pow(F.col(f) - means[f], 2)), F.sum(w))).alias(f"{f}|s") for f in features],
+        *[F.try_divide(F.sum(w * F.pow(F.col(f) - means[f], 2)), F.sum(w)).alias(f"{f}|v") for f in features],
         *[F.sum("_w").alias(f"{f}|n") for f in features],
     )
     return _table(wide, features, "standard", {"center": "m", "scale": "s", "var": "v", "n": "n"})

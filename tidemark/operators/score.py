@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import Running, bucket_by_value, count_cuts, exact_quantiles, running
+from tidemark.functions.ordered import Running, bucket_by_value, count_cuts, double_array, exact_quantiles, running
+from tidemark.operators.clean import any_channel_over
 from tidemark.sources.stage import stage
 
 TINY = 1e-12
@@ -62,19 +63,16 @@ def channel_error_stats(errors: DataFrame, channels: Sequence[str]) -> DataFrame
     return wide.select(F.inline(rows))
 
 
-def _by_channel(table: DataFrame, value: Column) -> Column:
-    """A small (channel, ...) table as one map scalar; its size is the number of channels."""
-    return table.agg(F.map_from_entries(F.collect_list(F.struct(F.col("channel"), value))).alias("m")).scalar()
+def by_channel(table: DataFrame, value: Column | str) -> dict[str, Column]:
+    """A (channel, ...) table as one constant per channel; it has as many rows as there are channels."""
+    value = F.col(value) if isinstance(value, str) else value
+    return {c: F.lit(x).cast("double") for c, x in table.select("channel", value).collect()}
 
 
 def threshold_flags(errors: DataFrame, stats: DataFrame, channels: Sequence[str], n_std: float = 3.0, name: str = "flag") -> DataFrame:
     """1 on time steps where some channel's error exceeds its own `mean + n_std * std`."""
-    limit = _by_channel(stats, F.col("mean") + F.lit(float(n_std)) * F.col("std"))
-    over = [F.coalesce(F.col(c) > F.element_at(limit, F.lit(c)), F.lit(False)) for c in channels]
-    flag = over[0]
-    for o in over[1:]:
-        flag = flag | o
-    return errors.withColumn(name, flag.cast("int"))
+    limits = by_channel(stats, F.col("mean") + F.lit(float(n_std)) * F.col("std"))
+    return errors.withColumn(name, any_channel_over({c: F.col(c) for c in channels}, limits))
 
 
 def error_distribution(errors: DataFrame, keys: Sequence[str], value: str = "err", probs: dict[str, float] | None = None) -> DataFrame:
@@ -97,8 +95,8 @@ def median_normaliser(normal_long: DataFrame, value: str = "err", keys: Sequence
 
 def normalise(errors: DataFrame, factors: DataFrame, channels: Sequence[str], epsilon: float = 1e-3) -> DataFrame:
     """Errors divided by `factor + epsilon` of their channel."""
-    by = _by_channel(factors, F.col("factor"))
-    return errors.withColumns({c: F.col(c) / (F.element_at(by, F.lit(c)) + F.lit(epsilon)) for c in channels})
+    by = by_channel(factors, "factor")
+    return errors.withColumns({c: F.col(c) / (by[c] + F.lit(epsilon)) for c in channels})
 
 
 # ---------------------------------------------------------------- scores and labels
@@ -203,9 +201,8 @@ def best_f1_threshold(scores: DataFrame, num_thresh: int = 100, score: str = "sc
     """F1 at `num_thresh` evenly spaced quantiles of the score; the first maximum."""
     scores = stage(scores.select(F.col(score).alias("score"), F.col(label).alias("label")), "f1")
     probs = [i / (num_thresh - 1) for i in range(num_thresh)]
-    grid = exact_quantiles(scores, [], "score", probs).agg(F.sort_array(F.collect_list("q")).alias("q"))
-    placed = scores.withColumn("_q", grid.scalar())
-    levels = placed.withColumn("m", count_cuts(F.col("_q"), F.col("score"), num_thresh, True)).groupBy("m").agg(
+    grid = double_array(sorted(row["q"] for row in exact_quantiles(scores, [], "score", probs).collect()))
+    levels = scores.withColumn("m", count_cuts(grid, F.col("score"), num_thresh, True)).groupBy("m").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     # at most num_thresh + 1 rows from here on
@@ -214,7 +211,7 @@ def best_f1_threshold(scores: DataFrame, num_thresh: int = 100, score: str = "sc
     cum = levels.select(
         "m", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(everything).alias("p")
     )
-    packed = cum.agg(F.collect_list(F.struct("m", "tp", "fp", "p")).alias("c")).withColumn("q", grid.scalar())
+    packed = cum.agg(F.collect_list(F.struct("m", "tp", "fp", "p")).alias("c")).withColumn("q", grid)
     each = packed.select("c", F.posexplode("q").alias("i", "threshold"))
     reach = F.array_sort(F.filter("c", lambda r: r["m"] > F.col("i")))
     at = each.select("i", "threshold", F.get(reach, F.lit(0)).alias("r"))

@@ -162,7 +162,7 @@ def anomaly_covered_rows(
     return out.withColumn("covered", F.coalesce(near, F.lit(False)).cast("int")).drop("_near")
 
 
-def normal_rows(
+def mark_normal(
     df: DataFrame,
     keys: Sequence[str],
     length: int,
@@ -171,15 +171,21 @@ def normal_rows(
     n: str = "n",
     span: int = SPAN,
 ) -> DataFrame:
-    """Rows not covered by an anomaly of their own split. Without a label column all rows are normal."""
+    """Add `normal` = 1 on rows not covered by an anomaly of their own split. Without a label column all rows are normal."""
     if not label_present(df, label):
-        return df
+        return df.withColumn("normal", F.lit(1))
     frames = {
         f"_{s}": (F.max(F.when(F.col("split") == s, F.col(label))), 1 - length, length - 1) for s in ("train", "val")
     }
     near = F.when(F.col("split") == "train", F.col("_train")).otherwise(F.col("_val"))
     out = framed(df, keys, idx, frames, span)
-    return out.where((F.col(n) < length) | (F.coalesce(near, F.lit(0)) == 0)).drop("_train", "_val")
+    is_normal = (F.col(n) < length) | (F.coalesce(near, F.lit(0)) == 0)
+    return out.withColumn("normal", is_normal.cast("int")).drop("_train", "_val")
+
+
+def normal_rows(df: DataFrame, keys: Sequence[str], length: int, **names) -> DataFrame:
+    """The rows `mark_normal` marks."""
+    return mark_normal(df, keys, length, **names).where("normal = 1").drop("normal")
 
 
 def scaler_fit_rows(normal: DataFrame, features: Sequence[str]) -> DataFrame:

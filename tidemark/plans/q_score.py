@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import clean, detect, scale, score, split, windows
 from tidemark.plans import views as v
 from tidemark.plans.registry import query, r
+from tidemark.sources.stage import stage
 
 
 def _sum(c):
@@ -209,8 +210,8 @@ def metrics_record(spark, sf):
 
 def flagship(spark, sf):
     """One long series: split, fit on clean training rows, score every validation step, judge the flag."""
-    rows = v.split_long(spark, sf)
-    normal = split.normal_rows(rows, v.KEY, v.L)
+    rows = stage(split.mark_normal(v.split_long(spark, sf), v.KEY, v.L), "split")
+    normal = rows.where("normal = 1")
     fitted = scale.standard_fit(split.scaler_fit_rows(normal, v.CH), v.CH)
     profile = scale.standard_fit(scale.scale_apply(normal.where("split = 'train'"), fitted, v.CH), v.CH)
     means = scale.scaler_params(profile, v.CH)

@@ -175,7 +175,7 @@ def join_interval(spark, sf):
 @query("join_asof", v.sql("""
     SELECT e.event_id, p.us AS at_us, round(p.value, 6) AS at_value
     FROM (SELECT * FROM ev WHERE event_type <> 'purchase') e
-    ASOF LEFT JOIN (SELECT user_id, us, value FROM ev WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT user_id, us, max(value) AS value FROM ev WHERE event_type = 'purchase' GROUP BY user_id, us) p
       ON e.user_id = p.user_id AND e.us >= p.us""", "ev"))
 def join_asof(spark, sf):
     rows = v.keyed(spark, sf)

@@ -180,11 +180,11 @@ def window_stats(spark, sf):
 _ENDS = "SELECT series_id, idx, us, value, k, n, min(us) OVER p AS x0, max(us) OVER p AS xn FROM su WINDOW p AS (PARTITION BY series_id)"
 _POINTS = f"""SELECT series_id, n, idx * 4 + j AS g, x0 + (idx * 4 + j)::DOUBLE * (xn - x0)::DOUBLE / greatest((n - 1) * 4, 1)::DOUBLE AS x
     FROM ({_ENDS}), range(0, 4) q(j) WHERE idx < n - 1 OR j = 0"""
-_AROUND = """SELECT series_id, idx, us::DOUBLE AS us, value, lag(us::DOUBLE) OVER o AS xp, lag(value) OVER o AS vp,
+_AROUND = """SELECT * FROM (SELECT series_id, idx, us::DOUBLE AS us, value, lag(us::DOUBLE) OVER o AS xp, lag(value) OVER o AS vp,
     lead(us::DOUBLE) OVER o AS x1, lead(value) OVER o AS v1, lead(us::DOUBLE, 2) OVER o AS x2, lead(value, 2) OVER o AS v2
-    FROM su WINDOW o AS (PARTITION BY series_id ORDER BY idx)"""
+    FROM su WINDOW o AS (PARTITION BY series_id ORDER BY idx)) WHERE x1 IS NULL OR x1 > us"""
 _LINE = """CASE WHEN x1 IS NOT NULL THEN value + (v1 - value) * (x - us) / (x1 - us)
-    WHEN xp IS NOT NULL THEN vp + (value - vp) * (x - xp) / (us - xp) ELSE value END"""
+    WHEN xp < us THEN vp + (value - vp) * (x - xp) / (us - xp) ELSE value END"""
 
 
 def _asof(expr: str) -> str:
@@ -223,7 +223,7 @@ def upsample_next(spark, sf):
     return _upsampled(spark, sf, "next")
 
 
-@query("upsample_cubic", _asof(f"""CASE WHEN xp IS NOT NULL AND x2 IS NOT NULL AND n >= 4 THEN
+@query("upsample_cubic", _asof(f"""CASE WHEN xp < us AND x1 < x2 AND n >= 4 THEN
     vp * (x - us) / (xp - us) * (x - x1) / (xp - x1) * (x - x2) / (xp - x2)
     + value * (x - xp) / (us - xp) * (x - x1) / (us - x1) * (x - x2) / (us - x2)
     + v1 * (x - xp) / (x1 - xp) * (x - us) / (x1 - us) * (x - x2) / (x1 - x2)
