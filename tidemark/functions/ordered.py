@@ -30,7 +30,7 @@ SPAN = 1 << 16
 
 def double_array(values: Sequence[float]) -> Column:
     """A constant array of doubles; one literal, however long."""
-    if not values:
+    if len(values) == 0:
         return F.array().cast("array<double>")
     return F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.ordered import double_array
 from tidemark.operators.windows import explode_positions
 
 
@@ -25,11 +26,9 @@ def recon_mean_fit(windows: DataFrame, channels: Sequence[str]) -> DataFrame:
 
 
 def recon_mean(windows: DataFrame, fitted: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """Reconstruct every window as the training mean."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", *channels)))
-    profile = fitted.agg(ordered.alias("p")).scalar()
-    with_profile = windows.withColumn("_p", profile)
-    return with_profile.withColumns({f"out_{c}": F.col(f"_p.{c}") for c in channels}).drop("_p")
+    """Reconstruct every window as the training mean; the fitted table has one row per window position."""
+    rows = sorted(fitted.select("pos", *channels).collect())
+    return windows.withColumns({f"out_{c}": double_array([row[c] for row in rows]) for c in channels})
 
 
 def forecast_last(windows: DataFrame, channels: Sequence[str], ahead: int) -> DataFrame:
@@ -49,7 +48,7 @@ def recon_linear_fit(windows: DataFrame, channels: Sequence[str], compression: i
     mean = np.zeros(size)
     for row in means.collect():  # one row per flattened position
         mean[row["i"]] = row["m"]
-    centred = sized.select(array_to_vector(F.zip_with("a", F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x - m)).alias("v"))
+    centred = sized.select(array_to_vector(F.zip_with("a", double_array(mean), lambda x, m: x - m)).alias("v"))
     k = max(1, size // compression)
     return mean, PCA(k=k, inputCol="v", outputCol="o").fit(centred).pc.toArray()
 
@@ -82,7 +81,7 @@ def forecast_linear(
     """Predict `ahead` steps, feeding each prediction back in as the newest value."""
     def roll(c: str):
         intercept, coefs = fitted[c]
-        weights = F.array(*[F.lit(x) for x in coefs])
+        weights = double_array(coefs)
         length = len(coefs)
 
         def step(state, _):

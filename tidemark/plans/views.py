@@ -91,11 +91,14 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scaled_windows(spark: SparkSession, sf: str, clean_only: bool = True) -> DataFrame:
-    """Non-overlapping windows of the user series, scaled by the values in windows without an anomaly; staged."""
+    """Non-overlapping windows of the user series, scaled by the values in windows without an anomaly.
+
+    The raw windows are written once; scaling is a map over that table.
+    """
     every = stage(user_windows(spark, sf), "windows")
     good = clean.filter_windows_by_label(every, anomalous=False)
     fitted = scale.standard_fit(windows.explode_positions(good, [], CH), CH)
-    return stage(scale.scale_windows(good if clean_only else every, fitted, CH), "scaled")
+    return scale.scale_windows(good if clean_only else every, fitted, CH)
 
 
 def corrupted_windows(
@@ -109,11 +112,11 @@ def corrupted_windows(
 
 
 def scored_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """All scaled windows with labels, reconstructed as the mean of the clean ones; staged."""
+    """All scaled windows with labels, reconstructed as the mean of the clean ones."""
     every = scaled_windows(spark, sf, clean_only=False)
     fitted = detect.recon_mean_fit(clean.filter_windows_by_label(every, anomalous=False), CH)
     out = detect.recon_mean(every, fitted, CH)
-    return stage(out.withColumn("anomalous", clean.has_anomaly("labels").cast("int")), "scored")
+    return out.withColumn("anomalous", clean.has_anomaly("labels").cast("int"))
 
 
 def step_errors(spark: SparkSession, sf: str, kind: str = "abs", scored: DataFrame | None = None) -> DataFrame:

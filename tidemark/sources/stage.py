@@ -27,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +37,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once and read it back."""
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete what `stage` wrote in this application; call it when no result that reads those tables is needed any more."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
