@@ -11,6 +11,7 @@ import time
 
 from tidemark.plans import catalog
 from tidemark.session import build_session
+from tidemark.sources.stage import clear_stages
 
 HEADLINE = [
     "flagship", "row_index", "row_index_long", "chunk_split", "normal_rows", "run_stride", "slide_windows",
@@ -30,6 +31,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        clear_stages(spark)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),

@@ -4,6 +4,7 @@ import pytest
 
 from tests.skewed import write_skewed
 from tidemark.plans import catalog
+from tidemark.sources.stage import clear_stages
 from tools.compare import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
@@ -15,6 +16,12 @@ SKEWED = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def tidy(spark):
+    yield
+    clear_stages(spark)
+
+
 @pytest.fixture(scope="module")
 def small():
     return connect(SMALL)

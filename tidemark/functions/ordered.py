@@ -23,7 +23,7 @@ from tidemark.session import shuffle_width
 from tidemark.sources.stage import stage
 
 SAMPLE_PER_BUCKET = 64
-SPAN = 1 << 16
+SPAN = 1 << 14  # positions per bucket: halos stay under a percent, bucket totals stay few
 
 
 # ---------------------------------------------------------------- buckets

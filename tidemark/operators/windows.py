@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import SPAN, Running, bucket_by_index, bucket_by_value, exact_quantiles, framed, running
+from tidemark.functions.ordered import SPAN, Running, bucket_by_value, exact_quantiles, framed, running
 from tidemark.sources.stage import stage
 
 HOT = 10_000
@@ -109,7 +109,7 @@ def tumble_windows_wide(
     sizes = tiled.groupBy(*group).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_want"))
     whole = sizes.where("_c = _want")
     # fewer than HOT tiles can each hold more than 1 / HOT of the rows, so this list is small enough to broadcast
-    all_rows = sizes.select(F.sum("_c")).scalar()
+    all_rows = tiled.select(F.count(F.lit(1))).scalar()
     hot = sizes.where((F.col("_c") > F.col("_want")) & (F.col("_c") * HOT > all_rows)).select(*group)
     tiled = tiled.join(F.broadcast(hot), group, "left_anti")
     item = F.struct(us, tie, *channels)

@@ -31,8 +31,10 @@ _STAGED: dict[str, list[str]] = {}
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own under the shared folder, removed by `clear_stages`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -40,12 +42,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_stages(spark: SparkSession) -> int:
-    """Delete what `stage` wrote in this application; call it when no result that reads those tables is needed any more."""
+    """Delete everything under paths from `fresh_path` in this application; call it when no result that reads those tables is needed any more."""
     paths = _STAGED.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -60,6 +60,7 @@ def compare(spark, con, name, fn, statement, sf_dir):
 def main() -> int:
     from tidemark.plans import catalog
     from tidemark.session import build_session
+    from tidemark.sources.stage import clear_stages
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = build_session("compare", f"local[{os.environ.get('BENCH_CPUS', '8')}]", 8)
@@ -71,6 +72,7 @@ def main() -> int:
             state, n, took, note = compare(spark, con, name, catalog.QUERIES[name], catalog.SQL.get(name), sf_dir)
         except Exception as e:  # noqa: BLE001
             state, n, took, note = "ERROR", 0, 0.0, (str(e) if "-v" not in sys.argv else traceback.format_exc())[:700]
+        clear_stages(spark)
         bad += state not in ("ok", "rows only")
         print(f"{state:10s} {name:28s} {n:8d} {took:6.2f}s {note}", flush=True)
     print("not ok:", bad)
