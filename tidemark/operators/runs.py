@@ -62,7 +62,7 @@ def drop_equal_settings(grid: DataFrame, when: Column, column: str, keep: str) -
 
 
 def sweep(
-    deltas: DataFrame, ids: Sequence[str], channels: Sequence[str], settings: Sequence[dict], normal: str = "normal", digits: int = 9
+    deltas: DataFrame, ids: Sequence[str], channels: Sequence[str], settings: Sequence[dict], normal: str = "normal", digits: int = 6
 ) -> DataFrame:
     """Metrics for every scoring setting in one plan.
 

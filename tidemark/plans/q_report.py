@@ -106,10 +106,10 @@ def channel_ranges(spark, sf):
     SELECT label, bin, count(*) AS count, round(count(*) / (max(n) * max(w)), 6) AS density FROM (
       SELECT label, n, w, least(49, floor((s - a) / w))::INTEGER AS bin FROM (
         SELECT anomalous AS label, s, min(s) OVER c AS a, (max(s) OVER c - min(s) OVER c) / 50 AS w, count(*) OVER c AS n
-        FROM (SELECT anomalous, round((value + k + gap_s) / 3, 9) AS s FROM er) WINDOW c AS (PARTITION BY anomalous)))
+        FROM (SELECT anomalous, round((value + k + gap_s) / 3, 6) AS s FROM er) WINDOW c AS (PARTITION BY anomalous)))
     GROUP BY label, bin""", "er"))
 def error_histogram(spark, sf):
-    steps = score.step_score_window_label(v.scored_windows(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 9))
+    steps = score.step_score_window_label(v.scored_windows(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 6))
     return report.error_histogram(steps, "label").withColumn("density", r("density"))
 
 
@@ -159,7 +159,7 @@ def _sweep_sql(i: int, s: dict) -> str:
            round(sum(neg1 * (tp - pos1 + pos1 / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)), 6) AS roc_auc,
            round(max(tp / p - fp / n), 6) AS youden FROM (
       SELECT score, sum(pos1) OVER d AS tp, sum(neg1) OVER d AS fp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
-        SELECT round(score, 9) AS score, count(*) FILTER (label = 1) AS pos1, count(*) FILTER (label = 0) AS neg1 FROM ({steps}) GROUP BY 1)
+        SELECT round(score, 6) AS score, count(*) FILTER (label = 1) AS pos1, count(*) FILTER (label = 0) AS neg1 FROM ({steps}) GROUP BY 1)
       WINDOW d AS (ORDER BY score DESC))"""
 
 

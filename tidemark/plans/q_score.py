@@ -121,7 +121,7 @@ def normalise(spark, sf):
 
 
 def _steps(spark, sf):
-    return score.step_score(_normalised(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 9))
+    return score.step_score(_normalised(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 6))
 
 
 @query("step_score", v.sql("SELECT series_id, start_idx, pos, score, label FROM ss", "ss"))
@@ -152,7 +152,7 @@ def sequence_labels(spark, sf):
     UNION ALL SELECT 'infinity'::DOUBLE, 0, 0""", "rc"))
 def roc_curve(spark, sf):
     out = score.roc_curve(score.roc_counts(_steps(spark, sf)))
-    return out.select(r("threshold", 9).alias("threshold"), r("fpr").alias("fpr"), r("tpr").alias("tpr"))
+    return out.select(r("threshold").alias("threshold"), r("fpr").alias("fpr"), r("tpr").alias("tpr"))
 
 
 @query("roc_auc", v.sql("SELECT round(roc_auc, 6) AS roc_auc FROM mr", "mr"))
@@ -163,11 +163,11 @@ def roc_auc(spark, sf):
 @query("roc_auc_window_label", v.sql("""
     SELECT round(sum(neg1 * (tp - pos1 + pos1 / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)), 6) AS roc_auc FROM (
       SELECT score, sum(pos1) OVER d AS tp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
-        SELECT round((value + k + gap_s) / 3, 9) AS score, count(*) FILTER (anomalous = 1) AS pos1, count(*) FILTER (anomalous = 0) AS neg1 FROM er GROUP BY 1)
+        SELECT round((value + k + gap_s) / 3, 6) AS score, count(*) FILTER (anomalous = 1) AS pos1, count(*) FILTER (anomalous = 0) AS neg1 FROM er GROUP BY 1)
       WINDOW d AS (ORDER BY score DESC))""", "er"))
 def roc_auc_window_label(spark, sf):
     """Window label repeated on every step of the window."""
-    steps = score.step_score_window_label(v.scored_windows(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 9))
+    steps = score.step_score_window_label(v.scored_windows(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 6))
     return score.roc_auc(score.roc_counts(steps)).withColumn("roc_auc", r("roc_auc"))
 
 
@@ -183,7 +183,7 @@ def f1_from_rates(spark, sf):
     return out.select(r("precision").alias("precision"), r("recall").alias("recall"), r("f1").alias("f1"))
 
 
-_WINDOW_SCORES = "(SELECT round(avg((value + k + gap_s) / 3), 9) AS score, max(label) AS label FROM en GROUP BY series_id, start_idx)"
+_WINDOW_SCORES = "(SELECT round(avg((value + k + gap_s) / 3), 6) AS score, max(label) AS label FROM en GROUP BY series_id, start_idx)"
 _GRID = "[" + ", ".join(f"{i}/19.0::DOUBLE" for i in range(20)) + "]"
 
 
@@ -195,7 +195,7 @@ _GRID = "[" + ", ".join(f"{i}/19.0::DOUBLE" for i in range(20)) + "]"
         (SELECT unnest(qs) AS threshold, unnest(range(0, 20)) AS i FROM (SELECT quantile_cont(score, {_GRID}) AS qs FROM {_WINDOW_SCORES} s2)) t
       GROUP BY i, threshold) ORDER BY f1 DESC, i LIMIT 1""", "en"))
 def best_f1_threshold(spark, sf):
-    seq = score.sequence_score(_normalised(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 9))
+    seq = score.sequence_score(_normalised(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 6))
     return score.best_f1_threshold(seq, 20).select(r("threshold", 5).alias("threshold"), r("f1").alias("f1"))
 
 
@@ -223,7 +223,7 @@ def flagship(spark, sf):
     clean_val = errors(normal.where("split = 'val'"))
     factors = score.median_normaliser(windows.melt_channels(clean_val, [], v.CH))
     val = score.normalise(errors(rows.where("split = 'val'")), factors, v.CH)
-    steps = val.select(r(score.mean_of(v.CH), 9).alias("score"), F.col("is_anomaly").alias("label"))
+    steps = val.select(r(score.mean_of(v.CH), 6).alias("score"), F.col("is_anomaly").alias("label"))
     out = score.metrics_record(steps)
     return out.withColumns({c: r(c) for c in ("roc_auc", "threshold", "tpr", "fpr", "precision", "recall", "f1")})
 
@@ -237,7 +237,7 @@ query("flagship", v.sql(f"""
         SELECT sum(neg1 * (tp - pos1 + pos1 / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)) AS auc, arg_max(score, (tp / p - fp / n, score)) AS threshold,
                arg_max(tp / p, (tp / p - fp / n, score)) AS tpr, arg_max(fp / n, (tp / p - fp / n, score)) AS fpr, max(p) AS p, max(n) AS n FROM (
           SELECT score, sum(pos1) OVER d AS tp, sum(neg1) OVER d AS fp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
-            SELECT round(({" + ".join(f"abs({c} - m_{c}) / s_{c} / (f_{c} + 0.001::DOUBLE)" for c in _CHS)}) / 3, 9) AS score,
+            SELECT round(({" + ".join(f"abs({c} - m_{c}) / s_{c} / (f_{c} + 0.001::DOUBLE)" for c in _CHS)}) / 3, 6) AS score,
                    count(*) FILTER (is_anomaly = 1) AS pos1, count(*) FILTER (is_anomaly = 0) AS neg1
             FROM sp, (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _CHS)} FROM nr WHERE split = 'train') a,
               (SELECT {", ".join(f"quantile_cont(abs({c} - m_{c}) / s_{c}, 0.5) AS f_{c}" for c in _CHS)} FROM nr,
