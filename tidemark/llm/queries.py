@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, pii
 from tidemark.llm.common import table
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -21,3 +22,14 @@ ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{pii.KINDS[kind]}")
+
+    counts = [count(kind) for kind in range(len(pii.BASE))]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
