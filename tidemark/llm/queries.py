@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, pii
+from tidemark.llm import chat_format, exact_dedup, language_id, pii
 from tidemark.llm.common import table
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -33,3 +33,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(kind) for kind in range(len(pii.BASE))]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query(
+    "op3_chat_format",
+    """
+    WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+         c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+         p AS (SELECT DISTINCT c.turns[1:i] AS turns FROM c, range(1, 100000) r(i) WHERE i < len(c.turns)),
+         e AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, turns FROM c GROUP BY turns)
+    SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns, n_copies,
+           array_to_string(['<|im_start|>' || replace(s.r, '<|', '<\\|') || chr(10) || replace(s.x, '<|', '<\\|') || '<|im_end|>' || chr(10) for s in turns], '') AS text
+    FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.turns = e.turns)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.collapse(table(spark, sf_dir, "conversations"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language_id.learn(docs.where(language_id.fold() != 0))
+    found = language_id.predict(docs.select("doc_id", "text"), prototypes)
+    return found.select("doc_id", (language_id.fold() == 0).alias("held_out"), "lang_pred", "score")
