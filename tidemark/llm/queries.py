@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, language_id, pii
-from tidemark.llm.common import table
+from tidemark.llm import chat_format, exact_dedup, language_id, pii, sentence_pieces
+from tidemark.llm.common import table, whole
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,3 +57,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     prototypes = language_id.learn(docs.where(language_id.fold() != 0))
     found = language_id.predict(docs.select("doc_id", "text"), prototypes)
     return found.select("doc_id", (language_id.fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # must be at this path on every executor
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    back = sentence_pieces.decode(coded, PIECES)
+    plain = F.replace(whole("text"), F.lit(sentence_pieces.MARK), F.lit(" "))  # a mark in a text reads as a space
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == plain).alias("round_trip"))
