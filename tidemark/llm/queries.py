@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, language_id, pii, sentence_pieces
+from tidemark.llm import chat_format, exact_dedup, html_text, language_id, pii, sentence_pieces
 from tidemark.llm.common import table, whole
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -68,3 +68,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = sentence_pieces.decode(coded, PIECES)
     plain = F.replace(whole("text"), F.lit(sentence_pieces.MARK), F.lit(" "))  # a mark in a text reads as a space
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == plain).alias("round_trip"))
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
