@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, html_text, language_id, pii, sentence_pieces
+from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, language_id, pii, sentence_pieces
 from tidemark.llm.common import table, whole
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -74,3 +74,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_fingerprint")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
