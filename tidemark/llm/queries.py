@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, language_id, pii, sentence_pieces
+from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, language_id, line_dedup, pii, sentence_pieces
 from tidemark.llm.common import table, whole
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -79,3 +79,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fingerprint")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
