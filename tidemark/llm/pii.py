@@ -84,13 +84,21 @@ def strict(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def hits(text: Column, pattern: str, found: Column) -> Column:
-    """Start, end and words before each match: the gaps between matches and the matches' own lengths add up to positions."""
-    gaps = F.split(text, pattern, -1)
+def hits(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """Replaces each column of matches by their start, end and words before: gaps between matches and matches add up to positions.
+
+    Gaps, pairs and blocks have columns of their own, as an expression inside a lambda is computed anew for every item.
+    """
+    rows = rows.withColumns({f"g_{c}": F.when(F.size(c) > 0, F.split("t", p, -1)) for c, p in patterns.items()})
+    pair = lambda g, m: F.struct(g.alias("gap"), m.alias("m"))
+    rows = rows.withColumns({f"g_{c}": F.zip_with(F.slice(f"g_{c}", F.lit(1), F.size(c)), c, pair) for c in patterns})
+    return rows.withColumns({c: placed(F.col(f"g_{c}")) for c in patterns}).drop(*[f"g_{c}" for c in patterns])
+
+
+def placed(pairs: Column) -> Column:
     none = F.array().cast("array<struct<s:int,e:int,m:string,b:string>>")
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
     # Running sums within blocks and over blocks: a fold that appends copies what it has, so folds are kept short.
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, BLOCK))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, BLOCK))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -103,7 +111,7 @@ def hits(text: Column, pattern: str, found: Column) -> Column:
         return F.struct(inner["at"].alias("at"), F.concat(acc["blocks"], F.array(inner["out"])).alias("blocks"))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,m:string,b:string>>>").alias("blocks"))
-    return F.when(F.size(found) > 0, F.aggregate(blocks, begin, next_block, lambda acc: F.flatten(acc["blocks"]))).otherwise(none)
+    return F.when(F.size(pairs) > 0, F.aggregate(blocks, begin, next_block, lambda acc: F.flatten(acc["blocks"]))).otherwise(none)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,7 +127,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     patterns = {f"b_{k}": p for k, p in BASE.items()} | {f"m_{k}": p for k, p in MORE.items()}
     none = F.array().cast("array<string>")
     rows = rows.withColumns({c: F.when(guard[c], F.regexp_extract_all("t", F.lit(p), F.lit(0))).otherwise(none) for c, p in patterns.items()})
-    rows = rows.withColumns({c: hits(F.col("t"), p, F.col(c)) for c, p in patterns.items()})
+    rows = hits(rows, patterns)
 
     def voted(c: str) -> Column:
         kind, base = c[2:], c[0] == "b"
