@@ -43,30 +43,32 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     return counts.where((F.col("df") >= max(2, low * total)) & (F.col("df") <= high * total)).select("term")
 
 
-def subset_signatures(kept: Column, level: Column) -> Column:
-    """Signatures over the subsets of one level: hashes of the sorted terms in each, `-` for none."""
-    cells = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+def add_fingerprint(rows: DataFrame, kept: str, own: str, out: str) -> DataFrame:
+    """`rows` with a fingerprint of the sorted lexicon terms in `kept`: `level|signature|subsets of level|subsets of level - 1`,
+    or `|hash of the text` if there are none. A subset's signature hashes its sorted terms; it is `-` if it has none.
 
-    def cell(x: Column) -> Column:
-        return F.xxhash64(x, F.lit("subset")).bitwiseAND(cells - 1)
+    Every step has a column of its own, as an expression inside a lambda is computed anew for every item.
+    """
+    level = F.floor(F.log2(F.size(kept).cast("double") + 0.5)).cast("int") + 1
+    rows = rows.withColumn("__level", F.when(F.size(kept) > 0, level))
+    rows = rows.withColumns({f"__mask{i}": F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__level") - i) - 1 for i in (0, 1)})
 
-    few = F.transform(F.filter(kept, lambda x: cell(x) < SUBSETS), lambda x: F.struct(cell(x).alias("c"), x.alias("x")))
+    def cells(mask: str) -> Column:
+        placed = F.transform(kept, lambda x: F.struct(F.xxhash64(x, F.lit("subset")).bitwiseAND(F.col(mask)).alias("c"), x.alias("x")))
+        return F.filter(placed, lambda z: z["c"] < SUBSETS)
 
-    def signature(j: Column) -> Column:
-        own = F.filter(few, lambda x: x["c"] == j)
-        return F.when(F.size(own) == 0, "-").otherwise(F.right(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), F.lit(8)))
+    rows = rows.withColumns({f"__few{i}": cells(f"__mask{i}") for i in (0, 1)})
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), signature), ",")
+    def signatures(few: str) -> Column:
+        def one(j: Column) -> Column:
+            own_terms = F.transform(F.filter(few, lambda z: z["c"] == j), lambda z: z["x"])
+            return F.when(~F.exists(few, lambda z: z["c"] == j), "-").otherwise(F.right(F.lpad(F.hex(F.xxhash64(own_terms)), 16, "0"), F.lit(8)))
 
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), ",")
 
-def fingerprint(kept: Column, own: Column) -> Column:
-    """`level|signature|subsets of level|subsets of level - 1` of sorted lexicon terms; `|hash of the text` if it has none."""
-    level = F.floor(F.log2(F.size(kept).cast("double") + 0.5)).cast("int") + 1
-    below = F.greatest(level - 1, F.lit(0))
     full = F.lpad(F.hex(F.xxhash64(kept)), 16, "0")
-    return F.when(F.size(kept) == 0, F.concat(F.lit("|"), own)).otherwise(
-        F.concat_ws("|", level.cast("string"), full, subset_signatures(kept, level), subset_signatures(kept, below))
-    )
+    text = F.when(F.size(kept) == 0, F.concat(F.lit("|"), own)).otherwise(F.concat_ws("|", F.col("__level").cast("string"), full, signatures("__few0"), signatures("__few1")))
+    return rows.withColumn(out, text).drop("__level", "__mask0", "__mask1", "__few0", "__few1")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -133,9 +135,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     always = F.array(F.struct(F.lit(2).alias("side"), F.lit(NONE).cast("long").alias("term")))
     each = rows.select(
         "bucket", "halo", "seq", "doc_id", "tie", "n_chars", F.md5(F.col("t").cast("binary")).alias("own"), F.md5(F.col("edited").cast("binary")).alias("edited_own"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.concat(sided("t", 0), sided("edited", 1), always)).alias("x"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.concat(sided("t", 0), sided("edited", 1), always).alias("xs"),
     )
-    each = each.select("*", F.col("x.side").alias("side"), F.col("x.term").alias("term")).drop("x")
+    each = each.withColumn("x", F.explode("xs")).drop("xs").select("*", F.col("x.side").alias("side"), F.col("x.term").alias("term")).drop("x")
     small = words.count() <= BROADCAST_ROWS
     met = each.join(F.broadcast(words) if small else words, "term")
     info = ["halo", "doc_id", "tie", "n_chars", "own", "edited_own", "edited_sha256"]
@@ -144,7 +146,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.col("term")))).alias("a"),
         F.sort_array(F.collect_list(F.when(F.col("side") == 1, F.col("term")))).alias("b"),
     )
-    marked = sets.select("bucket", "seq", "row.*", fingerprint(F.col("a"), F.col("row.own")).alias("fingerprint"), fingerprint(F.col("b"), F.col("row.edited_own")).alias("edited_fingerprint"))
+    marked = add_fingerprint(sets.select("bucket", "seq", "row.*", "a", "b"), "a", "own", "fingerprint")
+    marked = add_fingerprint(marked, "b", "edited_own", "edited_fingerprint").drop("a", "b")
     following = marked.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("seq"))).where(~F.col("halo"))
     return following.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
