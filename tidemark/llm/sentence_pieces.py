@@ -24,7 +24,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2  # model types of the file format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the file format
 UNKNOWN_COST = 10.0  # a character outside the vocabulary scores this much below the worst piece
-KEPT = 200_000  # words, and pairs of pieces, that a process remembers; beyond that it forgets them all and goes on
+NO_PIECE, AT_START = -2, -1  # last pieces of a prefix that are none
+KEPT = 600_000  # words, and pairs of pieces, that a process remembers; beyond that it forgets them all and goes on
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 SPACES = re.compile(" {2,}")
 
@@ -57,7 +58,10 @@ class Vocabulary:
         self.bytes = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(self.names, self.types, strict=True)) if t == BYTE}
         self.unknown = next(i for i, t in enumerate(self.types) if t == UNKNOWN)
         self.worst = min((self.score[i] for i in self.ids.values()), default=0.0) - UNKNOWN_COST
-        self.admitted: dict[tuple[str, str], bool] = {}
+        self.reach: dict[str, int] = {}  # the longest piece that ends with these two characters
+        for p in self.ids:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+        self.admitted: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
     def mark(self, text: str) -> str:
@@ -69,65 +73,79 @@ class Vocabulary:
 
     def joins(self, left: str, right: str) -> bool:
         """Whether merging `left + right` from single characters ends with these two pieces."""
-        known = self.admitted.get((left, right))
-        if known is None:
-            parts, border = list(left + right), len(left)
-            while True:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    found = self.ids.get(parts[i] + parts[i + 1])
-                    if found is not None and (best is None or self.score[found] > best):
-                        best, at = self.score[found], i
-                if best is None:
+        parts = list(left + right)
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                found = self.ids.get(parts[i] + parts[i + 1])
+                if found is not None and (best is None or self.score[found] > best):
+                    best, at = self.score[found], i
+            if best is None:
+                return parts == ([left, right] if left else [right])
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def ahead_bpe(self, word: str, start: int, best: list, last: list, piece: list) -> None:
+        """Forward states of the prefixes longer than `start`: score, start and id of the last piece (`NO_PIECE` outside the vocabulary)."""
+        ids, score, reach, admitted = self.ids, self.score, self.reach, self.admitted
+        for end in range(start + 1, len(word) + 1):
+            low = max(0, end - reach.get(word[max(0, end - 2) : end], 1))
+            for a in range(low, end):
+                found = ids.get(word[a:end])
+                if found is None:
+                    if a < end - 1:
+                        continue
+                    found = NO_PIECE
+                before = piece[a]
+                if found < 0 or before == NO_PIECE:
+                    good = self.joins(word[last[a] : a], word[a:end])
+                else:
+                    good = admitted.get((before + 2) << 32 | found)
+                    if good is None:
+                        good = admitted[(before + 2) << 32 | found] = self.joins(word[last[a] : a], word[a:end])
+                if good:
+                    best.append(best[a] + (score[found] if found >= 0 else self.worst))
+                    last.append(a)
+                    piece.append(found)
                     break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            known = self.admitted[left, right] = parts == ([left, right] if border else [right])
-            if len(self.admitted) > KEPT:
-                self.admitted = {}
-        return known
-
-    def step(self, word: str, end: int, best: list, last: list) -> None:
-        """Forward score and last piece's start at `end`, from those of all shorter prefixes."""
-        top, start = None, end - 1
-        for a in range(max(0, end - self.longest), end):
-            piece = word[a:end]
-            found = self.ids.get(piece)
-            if found is None:
-                if a < end - 1:
-                    continue
-                value = self.worst
-            else:
-                value = self.score[found]
-            if self.kind == BPE:
-                if not self.joins(word[last[a] : a], piece):
-                    continue
-                top, start = best[a] + value, a
-                break
-            if top is None or best[a] + value > top:
-                top, start = best[a] + value, a
-        best.append(top)
-        last.append(start)
+
+    def ahead_unigram(self, word: str, start: int, best: list, last: list, piece: list) -> None:
+        """The same where the best sum of scores decides; of equal sums the longest last piece."""
+        for end in range(start + 1, len(word) + 1):
+            top, at, own = None, end - 1, NO_PIECE
+            for a in range(max(0, end - self.longest), end):
+                found = self.ids.get(word[a:end])
+                if found is None:
+                    if a < end - 1:
+                        continue
+                    value = best[a] + self.worst
+                else:
+                    value = best[a] + self.score[found]
+                if top is None or value > top:
+                    top, at, own = value, a, NO_PIECE if found is None else found
+            best.append(top)
+            last.append(at)
+            piece.append(own)
 
     def learn(self, words: list[str]) -> None:
         """Pieces of all words that are not known yet, by one depth-first walk of their trie."""
-        best, last, before = [0.0], [0], ""
+        if len(self.admitted) > KEPT:
+            self.admitted = {}
+        ahead = self.ahead_bpe if self.kind == BPE else self.ahead_unigram
+        best, last, piece, before = [0.0], [0], [AT_START], ""
         for word in sorted(words):
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
-            del best[same + 1 :], last[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                self.step(word, end, best, last)
+            del best[same + 1 :], last[same + 1 :], piece[same + 1 :]
+            ahead(word, same, best, last, piece)
             ids: list[int] = []
             end = len(word)
             while end:
                 a = last[end]
-                piece = word[a:end]
-                found = self.ids.get(piece)
-                if found is not None:
-                    ids.append(found)
+                if piece[end] >= 0:
+                    ids.append(piece[end])
                 elif self.bytes:
-                    ids.extend(self.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
+                    ids.extend(self.bytes[b] for b in reversed(word[a:end].encode("utf-8", "surrogatepass")))
                 elif not ids or ids[-1] != self.unknown:  # neighbours outside the vocabulary are one unknown piece
                     ids.append(self.unknown)
                 end = a
