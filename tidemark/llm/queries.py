@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, language_id, line_dedup, mixing, pii, sentence_pieces
+from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, jaccard_join, language_id, line_dedup, mixing, pii, sentence_pieces
 from tidemark.llm.common import table, whole
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -94,3 +94,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled, WEIGHTS)
     return found.select("doc_id", "n_tokens", *[F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(WEIGHTS))], "rate", "copies")
+
+
+@query("op7_ngram_jaccard")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_groups(table(spark, sf_dir, "documents"))
