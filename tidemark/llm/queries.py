@@ -86,7 +86,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-WEIGHTS = {"high": 0.6, "low": 0.38, "toxic": 0.02}
+WEIGHTS = {"high": 0.93, "low": 0.05, "toxic": 0.02}
 
 
 @query("op4_mixing")
