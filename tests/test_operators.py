@@ -19,15 +19,9 @@ def rows_of(spark, values, labels=None, s=0):
 
 # ---------------------------------------------------------------- splits
 
-def best_chunks(n, ratio, max_chunks, min_chunk, tol):
-    best = None
-    for c in range(1, max_chunks + 1):
-        if n // c < min_chunk:
-            continue
-        v = math.ceil(c * ratio)
-        if abs(v / c - ratio) <= tol:
-            best = (c, v, n // c)
-    return best
+def admissible(n, chunks, share, least):
+    """The two conditions on a chunk count: chunks are long enough, and whole validation chunks come close to the share."""
+    return n // chunks >= least and abs(math.ceil(chunks * share) / chunks - share) <= 0.01
 
 
 def test_chunk_plan(spark):
@@ -35,18 +29,25 @@ def test_chunk_plan(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "s int, n long")
     rows = df.select("s", F.explode(F.sequence(F.lit(1), "n")))
     for split_share, min_chunk in ((0.8, 10), (0.7, 40), (0.9, 160)):
-        plan = {r.s: r for r in split.chunk_plan(rows, ["s"], split_share, 200, min_chunk).collect()}
+        plan = {r.s: r for r in split.chunk_plan(rows, ["s"], split_share, 200, min_chunk, on_missing="null").collect()}
         for i, n in enumerate(sizes):
-            want = best_chunks(n, 1 - split_share, 200, min_chunk, 0.01)
-            got = plan[i]
-            assert (want is None) == (got.chunks is None)
-            if want:
-                assert (got.chunks, got.val_chunks, got.chunk_size) == want
+            got, fits = plan[i], {c for c in range(1, 201) if admissible(n, c, 1 - split_share, min_chunk)}
+            assert (got.chunks is None) == (not fits)
+            if fits:  # the count is admissible and no larger one is
+                assert got.chunks in fits and not any(c > got.chunks for c in fits)
+                assert got.val_chunks == math.ceil(got.chunks * (1 - split_share)) and got.chunk_size == n // got.chunks
 
 
 def test_chunk_plan_error(spark):
     with pytest.raises(Exception, match="no valid chunk count"):
-        split.chunk_plan(rows_of(spark, range(5)), ["s"], on_missing="error").collect()
+        split.chunk_plan(rows_of(spark, range(5)), ["s"]).collect()
+
+
+def test_rows_without_a_plan_stay(spark):
+    rows = rows_of(spark, range(40)).unionByName(rows_of(spark, range(5), s=1)).withColumn("s", F.when(F.col("s") == 0, 0))
+    plan = split.chunk_plan(rows, ["s"], 0.8, min_chunk=4, on_missing="null")
+    out = split.chunk_split(rows, plan, split.choose_val_chunks(plan, ["s"]), ["s"]).collect()
+    assert len(out) == 45 and {r.split for r in out if r.s is None} == {"unsplit"} and {r.split for r in out if r.s == 0} == {"train", "val"}
 
 
 def test_chunk_split_is_complete_and_disjoint(spark):
@@ -282,6 +283,39 @@ def test_random_label_runs(spark, share):
     assert len(labels) == 2000 and sum(labels) == int(2000 * share)
 
 
+@pytest.mark.parametrize("n, share, lo, hi", [(40, 0.1, 4, 64), (127, 0.6, 4, 16), (5, 1.0, 1, 2), (3, 0.2, 1, 9)])
+def test_random_label_runs_meet_any_target(spark, n, share, lo, hi):
+    two = rows_of(spark, range(n)).unionByName(rows_of(spark, range(3 * n), s=1)).withColumn("s", F.when(F.col("s") == 1, 1))
+    out = {r.s: r.label for r in inject.random_label_runs(two, ["s"], share, lo, hi).groupBy("s").agg(F.sum("label").alias("label")).collect()}
+    assert out == {None: int(n * share), 1: int(3 * n * share)}
+
+
+def test_unknown_injectors_are_named(spark):
+    with pytest.raises(ValueError, match="clipping"):
+        inject.known_types(["gwn", "clipping"])
+    with pytest.warns(UserWarning, match="clipping"):
+        assert inject.known_types(["gwn", "clipping"], "warn") == ["gwn"]
+
+
+def test_values_that_are_no_number(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate([5.0, 4.0, nan, nan, nan, nan])] + [("b", 0, 6.0), ("c", 0, nan)], "run_id string, epoch int, loss double")
+    assert runs.best_run(df, "loss", "min", scope="all").first().run_id == "a" and runs.best_run(df, "loss", "min").first().run_id == "b"
+    stops = {r.run_id: r.stop_idx for r in runs.early_stop_epoch(df, "loss", 3, 0.5, idx="epoch").collect()}
+    assert stops == {"a": 4, "b": None, "c": None}
+    best = {(r.run_id, r.epoch): (r.best_loss, r.improved_loss) for r in runs.running_best(df, {"loss": "max"}).collect()}
+    assert best["a", 5] == (5.0, 0) and best["c", 0] == (None, 0)
+    assert df.select(clean.any_channel_over({"x": F.col("loss")}, {"x": F.lit(4.5)}).alias("f")).where("f = 1").count() == 2
+    with pytest.raises(Exception, match="not a number"):
+        score.roc_counts(df.select(F.col("loss").alias("score"), F.lit(1).alias("label"))).collect()
+
+
+def test_text_keys_and_ties(spark):
+    df = spark.createDataFrame([(k, t, f"e{t:03d}") for k in ("x", None, "y") for t in range(200)], "s string, us long, event_id string")
+    out = split.row_index(df, ["s"]).collect()
+    assert all(r.idx == r.us and r.n == 200 for r in out) and len(out) == 600
+
+
 # ---------------------------------------------------------------- scoring
 
 def roc_brute(scores):
@@ -357,16 +391,17 @@ def test_linear_forecast_follows_a_recurrence(spark):
 
 # ---------------------------------------------------------------- runs and files
 
-def stop_brute(values, patience, delta):
-    best, waited = float("inf"), 0
-    for i, x in enumerate(values):
+def holds(values, stop, patience, delta):
+    """The property of a stop: the rows that beat the best before them by more than `delta` are never `patience` apart before it,
+    and the last of them is exactly `patience` before it."""
+    beaten, best = [], math.inf
+    for i, x in enumerate(values if stop is None else values[: stop + 1]):
         if best - x > delta:
-            best, waited = x, 0
-        else:
-            waited += 1
-            if waited >= patience:
-                return i
-    return None
+            beaten.append(i)
+            best = x
+    ends = [*beaten, len(values) if stop is None else stop]
+    gaps = [b - a for a, b in zip(ends, ends[1:])]
+    return all(g <= patience for g in gaps[:-1]) and (gaps[-1] == patience if stop is not None else gaps[-1] <= patience)
 
 
 @pytest.mark.parametrize("span", [4, 7, 4096])
@@ -376,7 +411,7 @@ def test_early_stop(spark, span, patience, delta):
     runs_ = {k: [round(10 / (1 + i * rng.random()) + rng.random(), 3) for i in range(rng.choice([1, 5, 60]))] for k in range(12)}
     df = spark.createDataFrame([(k, i, x) for k, xs in runs_.items() for i, x in enumerate(xs)], "run_id int, idx long, m double")
     got = {r.run_id: r.stop_idx for r in runs.early_stop_epoch(df, "m", patience, delta, span=span).collect()}
-    assert got == {k: stop_brute(xs, patience, delta) for k, xs in runs_.items()}
+    assert got.keys() == runs_.keys() and all(holds(xs, got[k], patience, delta) for k, xs in runs_.items())
     flipped = df.withColumn("m", -F.col("m"))
     assert got == {r.run_id: r.stop_idx for r in runs.early_stop_epoch(flipped, "m", patience, delta, "max", span=span).collect()}
 
@@ -401,12 +436,16 @@ def test_metadata_lines(spark):
         ("f1", "Scaler params: {\"mean_\": [1, 2]}"), ("f1", "Feature columns: x , y,z"), ("f1", "Unknown: 3"),
         ("f2", "Feature columns: x"), ("f2", "Scaler params: not json"),
     ]
-    out = {r.file: r for r in keyvalue.parse_kv_lines(spark.createDataFrame(lines, "file string, line string")).collect()}
+    lines += [("f2", "Seed: 9"), ("f2", "Seed: 10"), ("f2", "Model: b"), ("f2", "Model: a")]
+    numbered = [(f, x, i) for i, (f, x) in enumerate(lines)]
+    out = {r.file: r for r in keyvalue.parse_kv_lines(spark.createDataFrame(numbered, "file string, line string, pos int")).collect()}
     assert out["f1"].exp_name == "a:b" and out["f1"].train_size == 1234567 and out["f1"].filter_anomalies is True
     assert out["f1"].feature_columns == ["x", "y", "z"] and out["f1"].scaler_params["mean_"] == "[1,2]"
-    assert out["f2"].seed is None
+    assert out["f1"].seed is None and out["f2"].seed == 10 and out["f2"].model_name == "a"  # the last line counts
+    with pytest.raises(Exception, match="no feature columns"):
+        keyvalue.parse_kv_lines(spark.createDataFrame([("f3", "Seed: 1", 0)], "file string, line string, pos int")).collect()
     with pytest.raises(Exception, match="no feature columns"):
-        keyvalue.parse_kv_lines(spark.createDataFrame([("f3", "Seed: 1")], "file string, line string")).collect()
+        keyvalue.parse_kv_lines(spark.createDataFrame([("f4", "nothing known", 0)], "file string, line string, pos int")).collect()
 
 
 def test_store(spark, tmp_path):

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import hashing
 from tidemark.session import shuffle_width
@@ -35,18 +36,29 @@ def double_array(values: Sequence[float]) -> Column:
     return F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
 
 
+def orderable(df: DataFrame, col: str) -> Column:
+    """The column in the type it is compared in: numbers and times as double, anything else as text."""
+    kind = df.schema[col].dataType
+    number = isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
+    if isinstance(kind, T.TimestampNTZType):
+        return F.col(col).cast("timestamp").cast("double")
+    return F.col(col).cast("double") if number else F.col(col).cast("string")
+
+
 def _cut_points(source: DataFrame, cols: Sequence[str], buckets: int) -> list[Column]:
-    """Per column an array of `buckets - 1` ascending cut values.
+    """Per column an array of ascending cut values, at most `buckets - 1`.
 
-    The values come from a hash sample of about `SAMPLE_PER_BUCKET` rows per bucket and are fetched once, so every branch
-    of the plan sees the same ones. The sample only decides where to cut; every row is processed.
+    They come from `SAMPLE_PER_BUCKET` random rows per bucket, found in one pass and fetched once, so every branch of the plan
+    sees the same ones. The sample is of rows, so it does not matter how often a value repeats; it only decides where to cut.
     """
-    thin = max(1, source.count() // (buckets * SAMPLE_PER_BUCKET))
-    values = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]
-    sample = source.select(*values, F.xxhash64(*cols).alias("h")).where(F.pmod(F.col("h"), thin) == 0)
-    shares = double_array([(i + 1) / buckets for i in range(buckets - 1)])
-    found = sample.select(*[F.percentile(f"v{i}", shares) for i in range(len(cols))]).first()
-    return [double_array(cuts or []) for cuts in found]
+    values = [orderable(source, c).alias(f"v{i}") for i, c in enumerate(cols)]
+    sample = source.select(*values, F.rand(42).alias("h")).orderBy("h").limit(buckets * SAMPLE_PER_BUCKET).collect()
+    found = []
+    for i in range(len(cols)):
+        known = sorted(r[i] for r in sample if r[i] is not None and r[i] == r[i])
+        cuts = [known[(k + 1) * len(known) // buckets] for k in range(buckets - 1)] if known else []
+        found.append(F.array(*[F.lit(x) for x in cuts]) if cuts and isinstance(cuts[0], str) else double_array(cuts))
+    return found
 
 
 def count_cuts(cuts: Column, value: Column, n_cuts: int, inclusive: bool) -> Column:
@@ -82,7 +94,7 @@ def bucket_by_value(
     source = df if cuts_from is None else cuts_from
     buckets = buckets or shuffle_width(df.sparkSession)
     n_cuts = buckets - 1
-    value = F.col(key).cast("double")
+    value = orderable(df, key)
     cuts, *tie_cuts = _cut_points(source, [key, tie] if tie else [key], buckets)
     out = df
     upto = count_cuts(cuts, value, n_cuts, True)
@@ -91,7 +103,7 @@ def bucket_by_value(
     else:
         out = out.withColumn("_le", upto).withColumn("_lt", count_cuts(cuts, value, n_cuts, False))
         heavy = F.col("_le") - F.col("_lt") >= 2
-        sub = F.when(heavy, count_cuts(tie_cuts[0], F.col(tie).cast("double"), n_cuts, True)).otherwise(0)
+        sub = F.when(heavy, count_cuts(tie_cuts[0], orderable(df, tie), n_cuts, True)).otherwise(0)
         number = F.when(heavy, F.col("_lt") + 1).otherwise(F.col("_le")).cast("long") * F.lit(buckets) + sub
     out = out.withColumn(name, -number if descending else number)
     return out.drop("_le", "_lt")
@@ -130,6 +142,11 @@ def _merge(agg: str, a: Column, b: Column) -> Column:
     return pick(a, b)
 
 
+def null_safe(keys: Sequence[str]) -> Column:
+    """The keys as one struct: it is never null itself and joins by equality where a key is null."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k"))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -145,18 +162,18 @@ def running(
     current row to the end is recomputed for every row. `bucket` is dropped from the result.
     """
     totals = totals or {}
-    keys = list(keys)
-    part_keys = [F.col(k) for k in keys] or [F.lit(0)]
-    per_bucket = df.groupBy(*keys, bucket).agg(
+    columns = [c for c in df.columns if c != bucket]
+    df = df.withColumn("_k", null_safe(keys))
+    per_bucket = df.groupBy("_k", bucket).agg(
         *[_AGG[s.agg](s.value).alias(f"_p_{n}") for n, s in specs.items()],
         *[_AGG[a](v).alias(f"_t_{n}") for n, (a, v) in totals.items()],
     )
-    before = Window.partitionBy(*part_keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*part_keys).orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part_keys)
+    before = Window.partitionBy("_k").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_k").orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_k")
     again = {"count": F.sum}
     offsets = per_bucket.select(
-        *keys,
+        "_k",
         bucket,
         *[
             again.get(s.agg, _AGG[s.agg])(f"_p_{n}").over(after if s.backward else before).alias(f"_o_{n}")
@@ -167,13 +184,13 @@ def running(
 
     def local(s: Running) -> Column:
         way = [c.desc() if s.backward else c.asc() for c in order]
-        inside = Window.partitionBy(*keys, bucket).orderBy(*way)
+        inside = Window.partitionBy("_k", bucket).orderBy(*way)
         return _AGG[s.agg](s.value).over(inside.rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0))
 
     rows = df.select("*", *[local(s).alias(f"_l_{n}") for n, s in specs.items()])
-    joined = rows.join(offsets, [*keys, bucket], "left")
+    joined = rows.join(offsets, ["_k", bucket], "left")
     return joined.select(
-        *[F.col(c) for c in df.columns if c != bucket],
+        *[F.col(c) for c in columns],
         *[_merge(s.agg, F.col(f"_o_{n}"), F.col(f"_l_{n}")).alias(n) for n, s in specs.items()],
         *totals,
     )
@@ -234,12 +251,14 @@ def spread_join(
 ) -> DataFrame:
     """Join one `small` row per key to all rows of the key, without sending a hot key's rows to one task.
 
-    `small` is first joined to the distinct (key, bucket of `idx`) pairs, then rows meet it on (key, bucket).
+    `small` is first joined to the distinct (key, bucket of `idx`) pairs, then rows meet it on (key, bucket). A null key meets
+    a null key.
     """
     keys = list(keys)
-    cut = bucket_by_index(rows, idx, span)
-    pairs = cut.select(*keys, "_b").distinct().join(small, keys, "inner")
-    return cut.join(pairs, [*keys, "_b"], how).drop("_b")
+    cut = bucket_by_index(rows, idx, span).withColumn("_k", null_safe(keys))
+    pairs = cut.select("_k", "_b").distinct().join(small.withColumn("_k", null_safe(keys)).drop(*keys), "_k", "inner")
+    joined = cut.join(pairs, ["_k", "_b"], how)
+    return joined.select(*rows.columns, *[c for c in small.columns if c not in keys])
 
 
 # ---------------------------------------------------------------- quantiles

@@ -109,8 +109,9 @@ def mask_around_events(
 
 
 def any_channel_over(errors: dict[str, Column], thresholds: dict[str, Column]) -> Column:
-    """1 when any channel's error exceeds its own threshold."""
-    over = [F.coalesce(errors[c] > thresholds[c], F.lit(False)) for c in errors]
+    """1 when any channel's error exceeds its own threshold. An error or threshold that is null or not a number exceeds nothing."""
+    known = lambda x: x.isNotNull() & ~F.isnan(x)
+    over = [F.coalesce(known(errors[c]) & known(thresholds[c]) & (errors[c] > thresholds[c]), F.lit(False)) for c in errors]
     flag = over[0]
     for o in over[1:]:
         flag = flag | o

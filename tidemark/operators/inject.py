@@ -9,6 +9,7 @@ Strength: `delta` is the mean squared change per step in units of the channel's
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -22,6 +23,7 @@ from tidemark.operators.clean import has_anomaly
 from tidemark.operators.score import by_channel
 from tidemark.operators.split import take_ranked
 from tidemark.operators.windows import concat_windows_sets
+from tidemark.sources.stage import stage
 
 
 @dataclass(frozen=True)
@@ -111,6 +113,19 @@ INJECTORS: dict[str, Callable[[Column, Setting], Column]] = {
 }
 
 
+def known_types(types: Sequence[str], on_unknown: str = "error") -> list[str]:
+    """The types that have an injector. A name without one is an error, or is left out with a warning (`on_unknown='warn'`)."""
+    unknown = [t for t in types if t not in INJECTORS]
+    known = [t for t in types if t in INJECTORS]
+    if unknown and on_unknown != "warn":
+        raise ValueError(f"no injector of this name: {', '.join(unknown)}")
+    if unknown:
+        warnings.warn(f"no injector of this name: {', '.join(unknown)}", stacklevel=2)
+    if not known:
+        raise ValueError("no injector is named")
+    return known
+
+
 def pick_windows(windows: DataFrame, ids: Sequence[str], ratio: float, seed: int = 123) -> DataFrame:
     """`int(N * ratio)` windows without replacement; `rank` is the choice order."""
     k = (F.col("rank_n").cast("double") * F.lit(float(ratio))).cast("long")
@@ -125,8 +140,8 @@ def pick_type_channel(
     only: Sequence[str] | None = None,
     seed: int = 123,
 ) -> DataFrame:
-    """Add `anomaly_type` and `channel`, each uniform; `only` restricts the channels by name. Unknown types are skipped."""
-    types = [t for t in types if t in INJECTORS]
+    """Add `anomaly_type` and `channel`, each uniform; `only` restricts the channels by name. `known_types` checks the types."""
+    types = known_types(types)
     pool = [c for c in channels if only is None or c in only]
 
     def choose(options: Sequence[str], purpose: str) -> Column:
@@ -176,9 +191,12 @@ def corrupt(
 ) -> DataFrame:
     """Distort the chosen channel of each window and add 0/1 `labels` where it changed.
 
-    Only changed positions are replaced. `subspace` needs `directions`.
+    Only changed positions are replaced. Without `types` all injectors may be named by the windows; `subspace` needs `directions`.
     """
-    types = [t for t in (types or INJECTORS) if t in INJECTORS]
+    given = types
+    types = known_types(types or INJECTORS)
+    if given and "subspace" in types and not directions:
+        raise ValueError("subspace needs directions")
     spreads = by_channel(fitted, "std")
     pick = lambda options: F.coalesce(*[F.when(F.col("channel") == c, v) for c, v in options.items()])
     doubles = lambda xs: F.array(*[F.lit(x) for x in xs])
@@ -312,12 +330,13 @@ def check_untouched(pairs: DataFrame, channels: Sequence[str], prefix: str = "cl
 def random_label_runs(
     rows: DataFrame, keys: Sequence[str], share: float, min_len: int, max_len: int, seed: int = 42, idx: str = "idx", n: str = "n"
 ) -> DataFrame:
-    """Add `label`: non-overlapping random runs of 1 covering `int(n * share)` rows of each series.
+    """Add `label`: non-overlapping random runs of 1 covering exactly `int(n * share)` rows of each series.
 
     Rows fall in slots of `max_len`; slots are taken in random order, each with a run of random length at a random place
-    inside it, until the target is met; the last run is cut short. The target needs `share * max_len <= min_len`.
+    inside it, until the target is met; the last run is cut short. What whole slots cannot hold (short series, tails, large
+    shares) is then filled up slot by slot, in random order, from the first free row on; runs may grow together there.
     """
-    from tidemark.functions.ordered import Running, bucket_by_digest, running
+    from tidemark.functions.ordered import Running, bucket_by_digest, null_safe, running, spread_join
 
     slots = rows.where((F.col(idx) % max_len == 0) & (F.col(idx) + max_len <= F.col(n))).select(
         *keys, F.floor(F.col(idx) / max_len).cast("long").alias("slot"), n
@@ -332,7 +351,20 @@ def random_label_runs(
     offset = F.floor(hashing.uniform(seed, "off", *keys, "slot") * (F.lit(max_len) - F.col("len") + 1)).cast("long")
     runs = kept.select(*keys, "slot", offset.alias("_from"), "len")
     slotted = rows.withColumn("slot", F.floor(F.col(idx) / max_len).cast("long"))
-    joined = slotted.join(runs, [*keys, "slot"], "left")
+    runs = runs.withColumn("_k", null_safe(keys)).drop(*keys)
+    joined = slotted.withColumn("_k", null_safe(keys)).join(runs, ["_k", "slot"], "left").drop("_k")
     inside = F.col(idx) - F.col("slot") * max_len
     hit = (inside >= F.col("_from")) & (inside < F.col("_from") + F.col("len"))
-    return joined.withColumn("label", F.coalesce(hit, F.lit(False)).cast("int")).drop("slot", "_from", "len")
+    labelled = joined.withColumn("label", F.coalesce(hit, F.lit(False)).cast("int")).drop("_from", "len")
+    have = labelled.groupBy(*keys).agg(F.sum("label").alias("_have"), F.max(n).alias("_n"))
+    missing = (F.col("_n").cast("double") * F.lit(share)).cast("long") - F.col("_have")
+    short = stage(have.select(*keys, missing.alias("_miss")).where("_miss > 0"), "short")
+    if short.isEmpty():
+        return labelled.drop("slot")
+    drawn = labelled.withColumn("_d", hashing.digest(seed, "fill", *keys, "slot"))
+    free = running(
+        bucket_by_digest(drawn, "_d"), keys, [F.col("_d"), F.col(idx)], {"_free": Running("sum", 1 - F.col("label"), exclusive=True)}
+    )
+    filled = spread_join(free, short, keys, idx, how="left")
+    more = (F.col("label") == 0) & (F.coalesce(F.col("_free"), F.lit(0)) < F.coalesce(F.col("_miss"), F.lit(0)))
+    return filled.withColumn("label", F.when(more, 1).otherwise(F.col("label"))).drop("slot", "_d", "_free", "_miss")

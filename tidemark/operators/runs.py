@@ -62,7 +62,7 @@ def drop_equal_settings(grid: DataFrame, when: Column, column: str, keep: str) -
 
 
 def sweep(
-    deltas: DataFrame, ids: Sequence[str], channels: Sequence[str], settings: Sequence[dict], normal: str = "normal", digits: int = 6
+    deltas: DataFrame, ids: Sequence[str], channels: Sequence[str], settings: Sequence[dict], normal: str = "normal"
 ) -> DataFrame:
     """Metrics for every scoring setting in one plan.
 
@@ -105,7 +105,7 @@ def sweep(
     both = steps.where("level = 'step'").select("config_id", "score", "label").unionByName(
         windows.select("config_id", "score", "label")
     )
-    record = metrics_record(both.withColumn("score", F.round("score", digits)), ["config_id"])
+    record = metrics_record(both, ["config_id"])
     return record.withColumn("setting", F.get(listed, F.col("config_id"))).select(
         "config_id", "setting.error", "setting.epsilon", "setting.level",
         "roc_auc", "threshold", "tpr", "fpr", "precision", "recall", "f1",
@@ -114,14 +114,24 @@ def sweep(
 
 # ---------------------------------------------------------------- runs
 
+def number_or_null(value: Column) -> Column:
+    """The value as double, null where it is not a number."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def best_run(runs: DataFrame, metric: str, mode: str | None = None, run: str = "run_id", epoch: str = "epoch", scope: str = "last") -> DataFrame:
-    """The best run by its last (`scope='last'`) or its best (`scope='all'`) value; ties go to the smaller run id."""
+    """The best run by its last (`scope='last'`) or its best (`scope='all'`) value; ties go to the smaller run id.
+
+    A value that is not a number counts as missing: a run that ends with one is not ranked by its last value.
+    """
     mode = mode or metric_mode(metric)
     sign = 1.0 if mode == "max" else -1.0
+    known = number_or_null(F.col(metric))
     if scope == "last":
-        value = F.max_by(metric, epoch)
+        value = number_or_null(F.max_by(metric, epoch))
     else:
-        value = (F.max if mode == "max" else F.min)(metric)
+        value = (F.max if mode == "max" else F.min)(known)
     per_run = runs.groupBy(run).agg(value.alias(metric), F.count(F.lit(1)).alias("epochs")).where(F.col(metric).isNotNull())
     return per_run.orderBy((F.lit(sign) * F.col(metric)).desc(), F.col(run)).limit(1)
 
@@ -129,15 +139,18 @@ def best_run(runs: DataFrame, metric: str, mode: str | None = None, run: str = "
 def running_best(
     runs: DataFrame, metrics: dict[str, str], run: str = "run_id", idx: str = "epoch", span: int = SPAN
 ) -> DataFrame:
-    """Best value so far of every metric (`metric -> min/max`) and `improved_<metric>` where it moved."""
+    """Best value so far of every metric (`metric -> min/max`) and `improved_<metric>` where it moved.
+
+    A value that is not a number is never a best one.
+    """
     specs = {}
     for m, mode in metrics.items():
-        specs[f"best_{m}"] = Running(mode, F.col(m))
-        specs[f"_before_{m}"] = Running(mode, F.col(m), exclusive=True)
+        specs[f"best_{m}"] = Running(mode, number_or_null(F.col(m)))
+        specs[f"_before_{m}"] = Running(mode, number_or_null(F.col(m)), exclusive=True)
     out = running(bucket_by_index(runs, idx, span), [run], [F.col(idx)], specs)
 
     def better(m: str, mode: str) -> Column:
-        now, old = F.col(m), F.col(f"_before_{m}")
+        now, old = number_or_null(F.col(m)), F.col(f"_before_{m}")
         moved = (now > old) if mode == "max" else (now < old)
         return (now.isNotNull() & F.coalesce(moved, F.lit(True))).cast("int")
 
@@ -158,14 +171,17 @@ def early_stop_epoch(
 ) -> DataFrame:
     """Position at which `patience` evaluations in a row failed to beat the best by more than `min_delta`; NULL if never.
 
-    The best only moves on such an improvement, so each row points to the first row among the next `patience` ones that
+    A value that is not a number improves nothing; a run whose first value is none never improves. The best only moves on such an
+    improvement, so each row points to the first row among the next `patience` ones that
     beats it, and the bests of a run are the chain of pointers from its first row. A chain enters a bucket on one of its
     first `patience` rows: each bucket is reduced to (entry -> exit), and a run's buckets are then followed in order.
     """
     cost = F.col(metric) if mode == "min" else -F.col(metric)
     base = runs.select(run, idx, cost.cast("double").alias("v"))
     ahead = framed(base, [run], idx, {"_next": (F.collect_list(F.struct(idx, "v")), 1, patience)}, span, keep_bucket=True)
-    nxt = F.get(F.array_sort(F.filter("_next", lambda r: (F.col("v") - r["v"]) > F.lit(float(min_delta)))), F.lit(0))
+    # nothing beats a best that is not a number, and such a value beats nothing
+    beats = lambda r: ~F.isnan(F.col("v")) & ~F.isnan(r["v"]) & ((F.col("v") - r["v"]) > F.lit(float(min_delta)))
+    nxt = F.get(F.array_sort(F.filter("_next", beats)), F.lit(0))
     # a full look-ahead without improvement stops the run; a short one means the run ended first
     full = F.size("_next") == patience
     linked = ahead.select(run, "_b", F.col(idx).alias("i"), nxt[idx].alias("to"), full.alias("full"))

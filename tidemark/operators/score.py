@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import Running, bucket_by_value, count_cuts, double_array, exact_quantiles, running
+from tidemark.functions.ordered import Running, bucket_by_value, count_cuts, double_array, exact_quantiles, null_safe, running
 from tidemark.operators.clean import any_channel_over
 from tidemark.sources.stage import stage
 
@@ -84,7 +84,8 @@ def error_distribution(errors: DataFrame, keys: Sequence[str], value: str = "err
     )
     q = exact_quantiles(errors, keys, value, list(probs.values()))
     wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in probs.items()])
-    return basics.join(wide, list(keys))
+    both = basics.withColumn("_k", null_safe(keys)).join(wide.withColumn("_k", null_safe(keys)).drop(*keys), "_k")
+    return both.drop("_k")
 
 
 def median_normaliser(normal_long: DataFrame, value: str = "err", keys: Sequence[str] = ()) -> DataFrame:
@@ -133,11 +134,14 @@ def _rate(part: str, whole: str) -> Column:
 def roc_counts(scores: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Per key and distinct score: `pos`, `neg` at it, `tp`, `fp` at or above it, and the key's totals `p`, `n`.
 
-    Ties collapse first; the cumulative counts are running sums over score buckets.
+    Ties collapse first; the cumulative counts are running sums over score buckets. Null scores are left out; a score that is
+    not a number has no place in the order and fails the job.
     """
     keys = list(keys)
+    value = F.col(score).cast("double")
+    checked = F.when(F.isnan(value), F.raise_error(F.lit("a score is not a number")).cast("double")).otherwise(value)
     grouped = stage(
-        scores.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(
+        scores.where(F.col(score).isNotNull()).groupBy(*keys, checked.alias("score")).agg(
             F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
         ),
         "roc",

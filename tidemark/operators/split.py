@@ -15,6 +15,7 @@ from tidemark.functions.ordered import (
     bucket_by_value,
     digest_rank,
     framed,
+    null_safe,
     running,
     spread_join,
 )
@@ -59,11 +60,11 @@ def chunk_plan(
     max_chunks: int = 200,
     min_chunk: int = 3200,
     tolerance: float = 0.01,
-    on_missing: str = "null",
+    on_missing: str = "error",
 ) -> DataFrame:
     """Largest admissible chunk count per series: `n, chunks, val_chunks, chunk_size`.
 
-    A series without an admissible count gets NULLs, or fails the job with `on_missing='error'`.
+    A series without an admissible count fails the job; with `on_missing='null'` it gets NULLs and `chunk_split` marks its rows.
     """
     ratio = 1 - split
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -98,15 +99,22 @@ def choose_val_chunks(plan: DataFrame, keys: Sequence[str], seed: int = 42) -> D
 def chunk_split(
     df: DataFrame, plan: DataFrame, chosen: DataFrame, keys: Sequence[str], idx: str = "idx", span: int = SPAN
 ) -> DataFrame:
-    """Add `chunk` (the last one absorbs the remainder) and `split` = train/val. Series without a plan are left out."""
-    packed = plan.where(F.col("chunks").isNotNull()).join(
-        chosen.groupBy(*keys).agg(F.collect_set("chunk").alias("_val")), list(keys), "left"
-    ).select(*keys, "chunks", "chunk_size", "_val")
-    rows = spread_join(df, packed, keys, idx, span)
-    chunk = F.least(F.floor(F.col(idx) / F.col("chunk_size")), F.col("chunks") - 1).cast("int")
+    """Add `chunk` (the last one absorbs the remainder) and `split` = train/val.
+
+    A series of fewer rows than chunks is all in its last chunk. Rows of a series without a plan stay: their chunk is null and
+    their split is `unsplit`.
+    """
+    val = chosen.withColumn("_k", null_safe(keys)).groupBy("_k").agg(F.collect_set("chunk").alias("_val"))
+    packed = plan.where(F.col("chunks").isNotNull()).withColumn("_k", null_safe(keys)).join(val, "_k", "left").select(
+        *keys, "chunks", "chunk_size", "_val"
+    )
+    rows = spread_join(df, packed, keys, idx, span, "left")
+    last = F.col("chunks") - 1
+    chunk = F.when(F.col("chunk_size") == 0, last).otherwise(F.least(F.floor(F.try_divide(F.col(idx), F.col("chunk_size"))), last)).cast("int")
+    held = F.coalesce(F.array_contains("_val", F.col("chunk")), F.lit(False))
     return (
         rows.withColumn("chunk", chunk)
-        .withColumn("split", F.when(F.coalesce(F.array_contains("_val", F.col("chunk")), F.lit(False)), "val").otherwise("train"))
+        .withColumn("split", F.when(F.col("chunk").isNull(), "unsplit").when(held, "val").otherwise("train"))
         .drop("chunks", "chunk_size", "_val")
     )
 

@@ -24,7 +24,7 @@ def pick_windows(spark, sf):
     FROM (SELECT DISTINCT series_id, start_idx FROM wl)""", "wl"))
 def pick_type_channel(spark, sf):
     starts = v.user_windows(spark, sf).select(*v.WIN)
-    return inject.pick_type_channel(starts, v.WIN, ["gwn", "step", "clipping", "impulse"], v.CH, ["value", "gap_s"], v.INJECT_SEED)
+    return inject.pick_type_channel(starts, v.WIN, inject.known_types(["gwn", "step", "clipping", "impulse"], "warn"), v.CH, ["value", "gap_s"], v.INJECT_SEED)
 
 
 @query("injector_fit", v.sql("""

@@ -186,6 +186,30 @@ def best_run_lowest(spark, sf):
     return runs.best_run(v.runs(spark, sf), metric, mode, scope="all").withColumn("val_loss", r("val_loss"))
 
 
+@query("best_run_nan", v.sql("""
+    SELECT series_id AS run_id, round(min(value) FILTER (k % 7 <> 0), 6) AS val_loss, count(*) AS epochs FROM su GROUP BY series_id
+    HAVING min(value) FILTER (k % 7 <> 0) IS NOT NULL ORDER BY min(value) FILTER (k % 7 <> 0), series_id LIMIT 1""", "su"))
+def best_run_nan(spark, sf):
+    """A seventh of the losses are not numbers; they are never the lowest."""
+    diverged = v.runs(spark, sf).withColumn("val_loss", F.when(F.round(F.col("val_roc_auc") * 100).cast("int") % 7 == 0, float("nan")).otherwise(F.col("val_loss")))
+    return runs.best_run(diverged, "val_loss", "min", scope="all").withColumn("val_loss", r("val_loss"))
+
+
+@query("early_stop_nan", v.sql("""
+    SELECT r.series_id AS run_id, min(s.idx) AS stop_idx FROM (SELECT DISTINCT series_id FROM su) r LEFT JOIN (
+      WITH RECURSIVE x AS (SELECT series_id, idx, CASE WHEN idx >= 10 THEN NULL ELSE value END AS value FROM su), fold AS (
+        SELECT series_id, idx, value AS best, 0 AS waited FROM x WHERE idx = 0
+        UNION ALL
+        SELECT s.series_id, s.idx, CASE WHEN f.best - s.value > 0.5::DOUBLE THEN s.value ELSE f.best END,
+               CASE WHEN f.best - s.value > 0.5::DOUBLE THEN 0 ELSE f.waited + 1 END
+        FROM fold f JOIN x s ON s.series_id = f.series_id AND s.idx = f.idx + 1)
+      SELECT * FROM fold WHERE waited >= 12) s USING (series_id) GROUP BY r.series_id""", "su"))
+def early_stop_nan(spark, sf):
+    """Every run diverges at its eleventh epoch: what is not a number improves nothing."""
+    diverged = v.runs(spark, sf).withColumn("val_loss", F.when(F.col("idx") >= 10, float("nan")).otherwise(F.col("val_loss")))
+    return runs.early_stop_epoch(diverged, "val_loss", 12, 0.5)
+
+
 @query("running_best", v.sql("""
     SELECT series_id AS run_id, idx + 1 AS epoch, round(min(value) OVER a, 6) AS best_val_loss, round(max(k) OVER a / 100, 6) AS best_val_roc_auc,
            CAST(coalesce(value < min(value) OVER b, true) AS INTEGER) AS improved_val_loss,

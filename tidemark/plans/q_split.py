@@ -14,6 +14,28 @@ def row_index(spark, sf):
     return v.series(spark, sf).select("series_id", "event_id", "idx", "n", r("gap_s").alias("gap_s"))
 
 
+@query("row_index_null_key", """
+    WITH e AS (SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 5 END AS series_id, event_id, ts FROM events)
+    SELECT series_id, event_id, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n
+    FROM e WINDOW w AS (PARTITION BY series_id ORDER BY ts, event_id)""")
+def row_index_null_key(spark, sf):
+    """A third of the rows have no key: they are one series."""
+    rows = v.events(spark, sf).withColumn("series_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 5))
+    return split.row_index(rows.select("series_id", "event_id", "us"), ["series_id"]).select("series_id", "event_id", "idx", "n")
+
+
+@query("chunk_split_short", """
+    WITH e AS (SELECT event_id % 700 AS series_id, event_id, row_number() OVER (PARTITION BY event_id % 700 ORDER BY ts, event_id) - 1 AS idx,
+                      count(*) OVER (PARTITION BY event_id % 700) AS n FROM events)
+    SELECT series_id, idx, CAST(CASE WHEN n < 3 THEN 2 ELSE least(idx // greatest(n // 3, 1), 2) END AS INTEGER) AS chunk FROM e""")
+def chunk_split_short(spark, sf):
+    """Series with fewer rows than chunks are all in their last chunk."""
+    rows = v.events(spark, sf).select((F.col("event_id") % 700).alias("series_id"), "event_id", "us")
+    rows = split.row_index(rows, ["series_id"])
+    plan = split.fixed_chunk_plan(rows, ["series_id"], 3, 0.34)
+    return split.chunk_split(rows, plan, split.choose_val_chunks(plan, ["series_id"]), ["series_id"]).select("series_id", "idx", "chunk")
+
+
 @query("row_index_long", v.sql("SELECT event_id, idx, n, round(gap_s, 6) AS gap_s FROM sl", "sl"))
 def row_index_long(spark, sf):
     return v.series(spark, sf, long=True).select("event_id", "idx", "n", r("gap_s").alias("gap_s"))
@@ -29,7 +51,7 @@ def row_index_long(spark, sf):
 def chunk_plan(spark, sf):
     rows = v.events(spark, sf)
     both = rows.select(F.explode(F.array(F.lit("all"), F.col("event_type"))).alias("series"))
-    return split.chunk_plan(both, ["series"], v.SPLIT, min_chunk=v.MIN_CHUNK).withColumn("chunks", F.col("chunks").cast("long"))
+    return split.chunk_plan(both, ["series"], v.SPLIT, min_chunk=v.MIN_CHUNK, on_missing="null").withColumn("chunks", F.col("chunks").cast("long"))
 
 
 @query("choose_val_chunks", v.sql("SELECT 0::BIGINT AS series_id, chunk FROM chosen", "chosen"))

@@ -23,20 +23,21 @@ KEYS = {
 
 def scan_kv_files(spark: SparkSession, path: str) -> DataFrame:
     """Read files and parse them; `file` is the file name."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    lines = whole.select("file", F.posexplode(F.split("value", "\\r?\\n")).alias("pos", "line"))
     return parse_kv_lines(lines)
 
 
-def parse_kv_lines(lines: DataFrame, file: str = "file", line: str = "line", check: bool = True) -> DataFrame:
-    """One typed row per file. Lines split at the first colon; unknown keys are ignored; a repeated key keeps its largest text.
+def parse_kv_lines(lines: DataFrame, file: str = "file", line: str = "line", pos: str = "pos", check: bool = True) -> DataFrame:
+    """One typed row per file. Lines split at the first colon; unknown keys are ignored; of a repeated key the last line (by `pos`) counts.
 
-    Parameters that are not valid JSON stay in `scaler_params_raw`. A file without `Feature columns` fails the job.
+    Parameters that are not valid JSON stay in `scaler_params_raw`. A file without `Feature columns` fails the job, also if it
+    has no known key at all; with `check=False` its columns are null.
     """
     pair = F.split(F.trim(line), ":", 2)
-    pairs = lines.where(F.col(line).contains(":")).select(
-        file, F.trim(pair[0]).alias("key"), F.trim(pair[1]).alias("value")
-    ).where(F.col("key").isin(list(KEYS)))
-    wide = pairs.groupBy(file).pivot("key", list(KEYS)).agg(F.max("value"))
+    pairs = lines.select(file, pos, F.trim(F.get(pair, F.lit(0))).alias("key"), F.trim(F.get(pair, F.lit(1))).alias("value"))
+    at = lambda k: F.when((F.col("key") == k) & F.col("value").isNotNull(), F.col(pos))
+    wide = pairs.groupBy(file).agg(*[F.max_by("value", at(k)).alias(k) for k in KEYS])
     number = lambda k: F.regexp_replace(F.col(f"`{k}`"), ",", "").try_cast("long")
     features = F.transform(F.split(F.col("`Feature columns`"), ","), lambda x: F.trim(x))
     if check:
