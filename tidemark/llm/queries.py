@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, jaccard_join, language_id, line_dedup, mixing, pii, sentence_pieces
-from tidemark.llm.common import table, whole
+from tidemark.llm.common import table
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,10 +64,8 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # must be at this path on every
 
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
-    back = sentence_pieces.decode(coded, PIECES)
-    plain = F.replace(whole("text"), F.lit(sentence_pieces.MARK), F.lit(" "))  # a mark in a text reads as a space
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == plain).alias("round_trip"))
+    coded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, check_col="round_trip")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 @query("op10_html_text")

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ UNIGRAM, BPE = 1, 2  # model types of the file format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the file format
 UNKNOWN_COST = 10.0  # a character outside the vocabulary scores this much below the worst piece
 NO_PIECE, AT_START = -2, -1  # last pieces of a prefix that are none
-KEPT = 600_000  # words, and pairs of pieces, that a process remembers; beyond that it forgets them all and goes on
+KEPT = 500_000  # words, and pairs of pieces, that a process remembers in each of two generations
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 SPACES = re.compile(" {2,}")
 
@@ -58,11 +59,17 @@ class Vocabulary:
         self.bytes = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(self.names, self.types, strict=True)) if t == BYTE}
         self.unknown = next(i for i, t in enumerate(self.types) if t == UNKNOWN)
         self.worst = min((self.score[i] for i in self.ids.values()), default=0.0) - UNKNOWN_COST
-        self.reach: dict[str, int] = {}  # the longest piece that ends with these two characters
-        for p in self.ids:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+        self.endings: dict = {}  # the pieces as a tree of characters from the last one on; a piece's id is at 0
+        for p, i in self.ids.items():
+            node = self.endings
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[0] = i
         self.admitted: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}  # the generation of words before
+        plain = {CONTROL: lambda p: b"", UNKNOWN: lambda p: " \u2047 ".encode(), BYTE: lambda p: bytes([int(p[1:-1], 16)])}
+        self.texts = [plain.get(t, lambda p: p.replace(MARK, " ").encode())(p) for p, t in zip(self.names, self.types, strict=True)]
 
     def mark(self, text: str) -> str:
         if self.squeeze:
@@ -73,28 +80,40 @@ class Vocabulary:
 
     def joins(self, left: str, right: str) -> bool:
         """Whether merging `left + right` from single characters ends with these two pieces."""
-        parts = list(left + right)
+        parts, border, get, score = list(left + right), len(left), self.ids.get, self.score
+        found = [get(a + b) for a, b in zip(parts, parts[1:])]  # the piece that each neighbour pair would become
         while True:
             best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = self.ids.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or self.score[found] > best):
-                    best, at = self.score[found], i
+            for i, f in enumerate(found):
+                if f is not None and (best is None or score[f] > best):
+                    best, at = score[f], i
             if best is None:
                 return parts == ([left, right] if left else [right])
+            if at == border - 1:
+                return False  # the first merge across the border settles it
+            border -= at < border
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = get(parts[at - 1] + parts[at])
+            if at < len(found):
+                found[at] = get(parts[at] + parts[at + 1])
 
     def ahead_bpe(self, word: str, start: int, best: list, last: list, piece: list) -> None:
         """Forward states of the prefixes longer than `start`: score, start and id of the last piece (`NO_PIECE` outside the vocabulary)."""
-        ids, score, reach, admitted = self.ids, self.score, self.reach, self.admitted
+        score, endings, admitted = self.score, self.endings, self.admitted
         for end in range(start + 1, len(word) + 1):
-            low = max(0, end - reach.get(word[max(0, end - 2) : end], 1))
-            for a in range(low, end):
-                found = ids.get(word[a:end])
-                if found is None:
-                    if a < end - 1:
-                        continue
-                    found = NO_PIECE
+            node, a, options = endings, end, []
+            while a:
+                node = node.get(word[a - 1])
+                if node is None:
+                    break
+                a -= 1
+                if 0 in node:
+                    options.append((a, node[0]))
+            if not options or options[0][0] != end - 1:
+                options.insert(0, (end - 1, NO_PIECE))
+            for a, found in reversed(options):
                 before = piece[a]
                 if found < 0 or before == NO_PIECE:
                     good = self.joins(word[last[a] : a], word[a:end])
@@ -149,36 +168,24 @@ class Vocabulary:
                 elif not ids or ids[-1] != self.unknown:  # neighbours outside the vocabulary are one unknown piece
                     ids.append(self.unknown)
                 end = a
-            self.words[word] = tuple(reversed(ids))
+            self.words[word] = np.array(ids[::-1], np.int32).tobytes()
             before = word
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [WORD.findall(self.mark(t)) for t in texts]
-        new = set().union(*cut) - self.words.keys() if cut else set()
+        new = set().union(*cut) - self.words.keys()
         if len(self.words) + len(new) > KEPT:
-            self.words, new = {}, set().union(*cut)
-        self.learn(list(new))
-        known = self.words
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+            self.older, self.words, new = self.words, {}, set().union(*cut)
+        for word in new & self.older.keys():  # words still in use move on to the new generation
+            self.words[word] = self.older[word]
+        self.learn(list(new - self.words.keys()))
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in cut]
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text of pieces: marks become spaces, the first one goes, bytes are joined and read as UTF-8."""
-        parts: list[bytes] = []
-        for i in ids:
-            kind = self.types[i]
-            if kind == BYTE:
-                parts.append(bytes([int(self.names[i][1:-1], 16)]))
-            elif kind == UNKNOWN:
-                parts.append(" ⁇ ".encode())
-            elif kind != CONTROL:
-                parts.append(self.names[i].encode())
-        text = b"".join(parts).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.texts.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -192,11 +199,11 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-SLICE = 500_000  # characters or ids handled at once
+SLICE = 2_000_000  # characters handled at once
 
 
 def slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
-    """Consecutive rows of about `SLICE` characters or ids together; a longer row is a slice of its own."""
+    """Consecutive rows of about `SLICE` characters together; a longer row is a slice of its own."""
     a, size = 0, 0
     for i, n in enumerate(lengths):
         size += n
@@ -207,26 +214,34 @@ def slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
         yield a, len(lengths)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """`docs` with the ids of its text. A null text counts as empty, and an empty text has no ids.
 
-    All other columns stay, and a column named `ids_col` is replaced. Repeated rows are each encoded; an empty table gives no
-    rows. Texts are encoded whole. There is no shuffle: the vocabulary's path must be readable on every executor.
+    With `check_col`, that column says whether decoding the ids gives the text back; a mark in a text reads as a space. All other
+    columns stay, and columns of these names are replaced. Repeated rows are each encoded; an empty table gives no rows. Texts
+    are encoded whole. There is no shuffle: the vocabulary's path must be readable on every executor.
     """
-    kept = [c for c in docs.columns if c != ids_col]
+    new = [ids_col, *([check_col] if check_col else [])]
+    kept = [c for c in docs.columns if c not in new]
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
-                ids = pa.array(own.encode([t or "" for t in texts[a:b]]), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), ids], names=[*kept, ids_col])
+            lengths = pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_pylist()
+            for a, b in slices(lengths):
+                part = batch.slice(a, b - a)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                ids = own.encode(texts)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                if check_col:
+                    out.append(pa.array([own.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*kept, *new])
 
     base = docs.select(*kept)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
-    return base.mapInArrow(run, ", ".join([*fields, f"`{ids_col}` array<int>"]))
+    return base.mapInArrow(run, ", ".join([*fields, f"`{ids_col}` array<int>", *([f"`{check_col}` boolean"] if check_col else [])]))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -238,10 +253,9 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
         own = vocabulary(path)
         for batch in batches:
             texts: list[str | None] = []
-            lengths = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()
-            for a, b in slices(lengths):  # Python numbers take nine times the memory of Arrow's
-                rows = batch.column(at).slice(a, b - a).to_pylist()
-                texts += [None if ids is None else own.decode([i for i in ids if i is not None]) for ids in rows]
+            for ids in batch.column(at):
+                found = None if ids.values is None else ids.values.drop_null().to_numpy(zero_copy_only=False)
+                texts.append(None if found is None else own.decode(found))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, text_col])
 
     base = docs.select(*kept)
