@@ -20,15 +20,17 @@ WINDOW, DIVISOR, BASE = 2, 3, 1_000_003
 SEP = "\n"
 
 
-def chunked(docs: DataFrame, text_col: str, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """`docs` with `__lines` and `__chunks`, an array of (start from 1, n).
+def chunked(docs: DataFrame, text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """`docs` with `__chunks`: the chunks of a text, in order, as marked text.
 
     A chunk ends after a line if the rolling hash of the last `window` line hashes is 0 modulo `divisor`, and after the last line.
     Lines are hashed without outer spaces. The rolling hash is a polynomial modulo 2**31 of these lines alone; lines before the
-    first count as 0. Each step has a column of its own, as an expression inside a lambda is computed anew for every item.
+    first count as 0. In a marked text each line has a mark in front, `S` where a chunk starts and `L` elsewhere, so that one
+    split gives all chunks, and equal chunks are equal marked texts. Every step has a column of its own, as an expression inside
+    a lambda is computed anew for every item.
     """
     ring = 1 << 31
-    rows = docs.withColumn("__lines", F.split(whole(text_col), SEP, -1))
+    rows = docs.withColumn("__lines", F.split(text, SEP, -1))
     rows = rows.withColumn("__hash", F.transform("__lines", lambda x: F.pmod(F.xxhash64(F.trim(x)), F.lit(ring))))
 
     def ends(x: Column, i: Column) -> Column:
@@ -36,13 +38,22 @@ def chunked(docs: DataFrame, text_col: str, window: int = WINDOW, divisor: int =
         for back in range(1, window):
             past = F.when(i >= back, F.get("__hash", i - back)).otherwise(F.lit(0).cast("long"))
             value = F.pmod(value + F.pmod(past * (BASE**back % ring), F.lit(ring)), F.lit(ring))
-        return F.when(F.pmod(F.xxhash64(value), F.lit(divisor)) == 0, i + 1)
+        return F.pmod(F.xxhash64(value), F.lit(divisor)) == 0
 
-    rows = rows.withColumn("__ends", F.filter(F.transform("__hash", ends), lambda i: i.isNotNull()))
-    rows = rows.withColumn("__ends", F.array_union("__ends", F.array(F.size("__lines"))))
-    before = F.concat(F.array(F.lit(0)), F.slice("__ends", F.lit(1), F.size("__ends") - 1))
-    chunks = F.zip_with(before, "__ends", lambda a, b: F.struct((a + 1).alias("start"), (b - a).alias("n")))
-    return rows.withColumn("__chunks", chunks).drop("__hash", "__ends")
+    rows = rows.withColumn("__end", F.transform("__hash", ends))
+    opens = F.concat(F.array(F.lit(True)), F.slice("__end", F.lit(1), F.greatest(F.size("__end") - 1, F.lit(0))))
+    marked = F.zip_with("__lines", opens, lambda x, o: F.concat(F.when(o, "S").otherwise("L"), x))
+    rows = rows.withColumn("__marked", F.array_join(marked, SEP))
+    return rows.withColumn("__chunks", F.split("__marked", SEP + "(?=S)", -1)).drop("__lines", "__hash", "__end", "__marked")
+
+
+def plain(marked: Column) -> Column:
+    """Marked text without its marks."""
+    return F.regexp_replace(marked, "(^|\n)[SL]", "$1")
+
+
+def line_count(marked: Column) -> Column:
+    return F.char_length(marked) - F.char_length(F.replace(marked, F.lit(SEP), F.lit(""))) + 1
 
 
 def remove_repeats(
@@ -58,28 +69,28 @@ def remove_repeats(
     """
     kept = [c for c in docs.columns if c != "removed_lines"]
     base = docs.select(*kept).withColumns({"__id": F.col(id_col).cast("long"), "__mark": F.xxhash64(whole(text_col))})
-    cut = chunked(base, text_col, window, divisor)
-    body = F.array_join(F.slice("__lines", F.col("c.start"), F.col("c.n")), SEP)
-    parts = cut.where(F.exists("__chunks", lambda c: c["n"] >= min_lines)).select(
-        "__id", "__mark", "__lines", F.explode(F.filter("__chunks", lambda c: c["n"] >= min_lines)).alias("c")
-    ).select("__id", "__mark", F.col("c.start").alias("start"), F.col("c.n").alias("n"), body.alias("body")).where(F.char_length("body") >= min_chars)
+    cut = chunked(base.select("__id", "__mark", whole(text_col).alias("t")), F.col("t"), window, divisor)
+    parts = cut.select("__id", "__mark", F.posexplode("__chunks").alias("at", "body")).withColumn("n", line_count(F.col("body")))
+    parts = parts.where((F.col("n") >= min_lines) & (F.char_length("body") - F.col("n") >= min_chars))
     parts = parts.withColumn("key", F.xxhash64("body")).withColumn("digest", F.md5(F.col("body").cast("binary")))
-    place = F.struct(F.coalesce("__id", F.lit(2**63 - 1)).alias("id"), F.col("__mark").alias("mark"), F.col("start").alias("start"))
+    last = F.lit(2**63 - 1)
+    place = F.struct(F.coalesce("__id", last).alias("id"), F.col("__mark").alias("mark"), F.col("at").alias("at"))
     groups = parts.groupBy("key", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses"), F.first("digest").alias("digest"))
     groups = stage(groups.where("uses > 1").select("key", "digest", "first", "uses"), "chunks")
     # one text for each key and digest, as the comparison has shown; with two, they could not be told apart without the text
     names = groups.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.sum("uses").alias("uses"))
     names = names.withColumn("first", F.when(F.col("texts") > 1, F.raise_error(F.lit("two chunks share key and digest")).cast(names.schema["first"].dataType)).otherwise(F.col("first")))
-    uses = stage(parts.select("__id", "__mark", "start", "n", "key", "digest"), "uses")
+    uses = stage(parts.select("__id", "__mark", "at", "n", "key", "digest"), "uses")
     met = with_share(uses, names.drop("texts"), ["key", "digest"], "uses", uses.count()).where("first IS NOT NULL")
-    met = met.where(~((F.coalesce("__id", F.lit(2**63 - 1)) == F.col("first.id")) & (F.col("__mark") == F.col("first.mark")) & (F.col("start") == F.col("first.start"))))
-    gone = met.groupBy("__id", "__mark").agg(F.collect_set(F.struct("start", "n")).alias("__gone"))
+    own = (F.coalesce("__id", last) == F.col("first.id")) & (F.col("__mark") == F.col("first.mark")) & (F.col("at") == F.col("first.at"))
+    gone = met.where(~own).groupBy("__id", "__mark").agg(F.collect_set(F.struct("at", "n")).alias("__gone"))
     gone = gone.select(F.col("__id").alias("__gid"), F.col("__mark").alias("__gmark"), "__gone")
     joined = base.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__mark") == F.col("__gmark")), "left")
-    dropped = F.coalesce(F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1))), F.array().cast("array<int>"))
-    joined = joined.withColumn("__drop", dropped).withColumn("__lines", F.when(F.size("__drop") > 0, F.split(F.col(text_col).cast("string"), SEP, -1)))
-    joined = joined.withColumn("__stay", F.array_except(F.sequence(F.lit(1), F.size("__lines")), F.col("__drop")))
-    rest = F.array_join(F.transform("__stay", lambda i: F.get("__lines", i - 1)), SEP)
-    text = F.when(F.size("__drop") > 0, rest).otherwise(F.col(text_col))
-    out = [text.alias(c) if c == text_col else F.col(c) for c in kept]
-    return joined.select(*out, F.size("__drop").cast("long").alias("removed_lines"))
+    hit = F.col("__gone").isNotNull()
+    again = chunked(joined, F.when(hit, F.col(text_col).cast("string")).otherwise(""), window, divisor)
+    left = F.array_except(F.sequence(F.lit(0), F.size("__chunks") - 1), F.transform("__gone", lambda g: g["at"]))
+    again = again.withColumn("__stay", F.when(hit, left))
+    rest = plain(F.array_join(F.transform("__stay", lambda i: F.get("__chunks", i)), SEP))
+    out = [F.when(hit, rest).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in kept]
+    removed = F.when(hit, F.aggregate("__gone", F.lit(0), lambda a, g: a + g["n"])).otherwise(0)
+    return again.select(*out, removed.cast("long").alias("removed_lines"))
