@@ -28,7 +28,7 @@ def _table(wide: DataFrame, features: Sequence[str], kind: str, fields: dict[str
     ])
     out = wide.select(F.inline(rows))
     safe = F.when((F.col("scale") == 0) | F.col("scale").isNull() | F.isnan("scale"), F.lit(1.0)).otherwise(F.col("scale"))
-    return out.withColumn("scale", safe)
+    return out.withColumn("scale", safe).withColumns({c: F.lit(None).cast("double") for c in ("q_low", "q_high")})
 
 
 def standard_fit(rows: DataFrame, features: Sequence[str], sample: bool = False) -> DataFrame:
@@ -68,6 +68,8 @@ def robust_fit(rows: DataFrame, features: Sequence[str], low: float = 0.25, high
         safe.alias("scale"),
         F.lit(None).cast("double").alias("var"),
         "n",
+        F.lit(float(low)).alias("q_low"),
+        F.lit(float(high)).alias("q_high"),
     )
 
 

@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import SPAN, Running, bucket_by_value, exact_quantiles, framed, running
+from tidemark.functions.ordered import SPAN, Running, bucket_by_value, exact_quantiles, framed, running, spread_join
 from tidemark.sources.stage import stage
 
-HOT = 10_000
-
 
 def mark_starts(rows: DataFrame, starts: DataFrame, keys: Sequence[str], idx: str = "idx", name: str = "is_start") -> DataFrame:
     """Add a boolean column: the row is one of `starts` (keys, idx)."""
@@ -94,29 +92,36 @@ def infer_period(rows: DataFrame, keys: Sequence[str], us: str = "us", idx: str
 
 
 def tumble_windows_wide(
-    rows: DataFrame, keys: Sequence[str], channels: Sequence[str], n: int | Column, period_us: int, us: str = "us", tie: str = "event_id"
+    rows: DataFrame,
+    keys: Sequence[str],
+    channels: Sequence[str],
+    n: int | Column,
+    period_us: int | None = None,
+    us: str = "us",
+    tie: str = "event_id",
+    idx: str = "idx",
+    most: int | None = None,
 ) -> DataFrame:
     """Epoch-aligned windows of `n` periods that hold exactly `n` rows: `tile` (start time) and one array per channel.
 
-    Rows with a missing channel are dropped first. Group sizes are counted before any row is collected: an overfull tile
-    is never gathered, and the rows of very large ones are dropped before the shuffle.
+    Rows with a missing channel are dropped first. Without `period_us` each series uses its own median step (rounded down to
+    microseconds), for which rows need `idx`. `n` may differ from row to row; then `most` is its largest value. Of a tile only
+    the first `most + 1` rows are gathered, which Spark cuts off before the shuffle: one more than fits tells that it is overfull.
     """
     size = F.lit(n) if isinstance(n, int) else n
+    most = n if isinstance(n, int) else most
+    if most is None:
+        raise ValueError("say the largest n in most")
     full = rows.dropna(subset=list(channels))
-    width = size * F.lit(period_us)
-    tiled = full.withColumn("tile", (F.floor(F.col(us) / width) * width).cast("long")).withColumn("_n", size)
+    if period_us is None:
+        full = spread_join(full, infer_period(rows, keys, us, idx), keys, idx).withColumn("_width", size * F.floor("period_us"))
+    else:
+        full = full.withColumn("_width", size * F.lit(period_us))
+    tiled = full.withColumn("tile", (F.floor(F.col(us) / F.col("_width")) * F.col("_width")).cast("long")).withColumn("_n", size)
     group = [*keys, "tile"]
-    sizes = tiled.groupBy(*group).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_want"))
-    whole = sizes.where("_c = _want")
-    # fewer than HOT tiles can each hold more than 1 / HOT of the rows, so this list is small enough to broadcast
-    all_rows = tiled.select(F.count(F.lit(1))).scalar()
-    hot = sizes.where((F.col("_c") > F.col("_want")) & (F.col("_c") * HOT > all_rows)).select(*group)
-    tiled = tiled.join(F.broadcast(hot), group, "left_anti")
-    item = F.struct(us, tie, *channels)
-    packed = tiled.drop("_n").join(whole.select(*group), group, "left_semi").groupBy(*group).agg(
-        F.array_sort(F.collect_list(item)).alias("_w")
-    )
-    return packed.select(*group, *[F.col(f"_w.{c}").alias(c) for c in channels])
+    first = tiled.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(us, tie))).where(F.col("_r") <= most + 1)
+    packed = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(us, tie, *channels))).alias("_w"), F.max("_n").alias("_n"))
+    return packed.where(F.size("_w") == F.col("_n")).select(*group, *[F.col(f"_w.{c}").alias(c) for c in channels])
 
 
 def multi_length_windows(
@@ -124,7 +129,7 @@ def multi_length_windows(
 ) -> DataFrame:
     """Tumbling windows for several lengths in one pass; `length` tells them apart."""
     fanned = rows.withColumn("length", F.explode(F.array(*[F.lit(x) for x in lengths])))
-    return tumble_windows_wide(fanned, [*keys, "length"], channels, F.col("length"), period_us, us, tie)
+    return tumble_windows_wide(fanned, [*keys, "length"], channels, F.col("length"), period_us, us, tie, most=max(lengths))
 
 
 def time_grid(

@@ -23,7 +23,7 @@ def scan_table(spark, sf):
 
 @query("scan_table_csv", v.sql("SELECT event_id, us, round(value, 6) AS value FROM ev", "ev"))
 def scan_table_csv(spark, sf):
-    path = fresh_path(spark, "telemetry") + ".csv"
+    path = fresh_path(spark, "telemetry", ".csv")
     v.events(spark, sf).select("event_id", "us", "value").write.option("header", True).csv(path)
     return tables.scan_table(spark, path, "event_id long, us long, value double").select("event_id", "us", r("value").alias("value"))
 
@@ -67,6 +67,16 @@ def sink_scaler(spark, sf):
     return store.read_scaler(spark, path).select("feature", r("center").alias("center"), r("scale").alias("scale"), "n")
 
 
+@query("read_robust_scaler", v.sql("""
+    SELECT 'value' AS feature, round(quantile_cont(value, 0.5), 6) AS center, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 6) AS scale,
+           0.1::DOUBLE AS q_low, 0.9::DOUBLE AS q_high FROM ev""", "ev"))
+def read_robust_scaler(spark, sf):
+    """A robust scaler and its quantile range, written and read again."""
+    path = fresh_path(spark, "scaler")
+    store.sink_scaler(scale.robust_fit(v.events(spark, sf), ["value"], 0.1, 0.9), path)
+    return store.read_scaler(spark, path).select("feature", r("center").alias("center"), r("scale").alias("scale"), "q_low", "q_high")
+
+
 @query("read_scaler", v.sql("""
     SELECT series_id, idx, round((value - m) / s, 6) AS value
     FROM su, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) f""", "su"))

@@ -105,6 +105,17 @@ def tumble_windows_wide(spark, sf):
     return out.select("series_id", "tile", joined("value").alias("value"), joined("k", 1).alias("k"))
 
 
+@query("tumble_windows_inferred", v.sql(f"""
+    SELECT series_id, us // (4 * p) * (4 * p) AS tile, {_TEXT('value', 'us, event_id')} AS value FROM su JOIN (
+      SELECT series_id, CAST(floor(quantile_cont(d, 0.5)) AS BIGINT) AS p FROM (
+        SELECT series_id, CAST(us - lag(us) OVER (PARTITION BY series_id ORDER BY idx) AS DOUBLE) AS d FROM su) WHERE d IS NOT NULL GROUP BY series_id)
+      USING (series_id) GROUP BY series_id, tile HAVING count(*) = 4""", "su"))
+def tumble_windows_inferred(spark, sf):
+    """The period of each series is its median step."""
+    out = windows.tumble_windows_wide(v.series(spark, sf, staged=True), v.KEY, ["value"], 4)
+    return out.select("series_id", "tile", joined("value").alias("value"))
+
+
 @query("tumble_windows_gaps", v.sql(f"""
     WITH w AS (SELECT series_id, (us // 86400000000) * 86400000000 AS tile, {_TEXT('value', 'us, event_id')} AS value
                FROM su GROUP BY series_id, tile HAVING count(*) = 4),

@@ -30,9 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 _STAGED: dict[str, list[str]] = {}
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
+def fresh_path(spark: SparkSession, name: str, suffix: str = "") -> str:
     """A path of its own under the shared folder, removed by `clear_stages`."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}{suffix}"
     _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 

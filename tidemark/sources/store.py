@@ -44,13 +44,13 @@ def read_splits(spark: SparkSession, path: str, split: str | None = None) -> Dat
 # ---------------------------------------------------------------- scaler
 
 def sink_scaler(scaler: DataFrame, path: str) -> None:
-    """Write the scaler table (one row per feature)."""
+    """Write the scaler table (one row per feature), the quantile range of a robust one included."""
     scaler.coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_scaler(spark: SparkSession, path: str) -> DataFrame:
     """The scaler table as `scale_apply` takes it."""
-    return spark.read.schema("pos int, feature string, kind string, center double, scale double, var double, n long").json(path)
+    return spark.read.schema("pos int, feature string, kind string, center double, scale double, var double, n long, q_low double, q_high double").json(path)
 
 
 # ---------------------------------------------------------------- evaluation set
