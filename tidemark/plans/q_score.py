@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, detect, scale, score, split, windows
+from tidemark.operators import clean, detect, inject, scale, score, split, windows
 from tidemark.plans import views as v
 from tidemark.plans.registry import query, r
 from tidemark.sources.stage import stage
@@ -52,6 +52,52 @@ def forecast_linear(spark, sf):
     return errs.select(*v.WIN, "pos", r("value", 5).alias("value"), r("gap_s", 3).alias("gap_s"))
 
 
+# Windows of two values: normal equations and the principal axis have a closed form there.
+_PAIRS = """p AS (SELECT * FROM (
+      SELECT series_id, idx AS start_idx, value AS a, lead(value) OVER w AS b, lead(value, 2) OVER w AS y FROM su WINDOW w AS (PARTITION BY series_id ORDER BY idx))
+      WHERE y IS NOT NULL AND start_idx % 2 = 0),
+    m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM p)"""
+
+
+def _pairs(spark, sf):
+    return windows.slide_windows(v.series(spark, sf, staged=True), v.KEY, ["value"], 2, F.col("idx") % 2 == 0, ahead=1)
+
+
+@query("forecast_linear_pair", v.sql(f"""
+    SELECT series_id, start_idx, round(my + ba * (a - ma) + bb_ * (b - mb), 4) AS out_value FROM (WITH {_PAIRS}
+      SELECT p.*, ma, mb, my, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ba, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS bb_ FROM p, m)""", "su"))
+def forecast_linear_pair(spark, sf):
+    """Linear autoregression on two values, one step ahead."""
+    win = _pairs(spark, sf)
+    out = detect.forecast_linear(win, detect.forecast_linear_fit(win, ["value"]), ["value"], 1)
+    return out.select(*v.WIN, r(F.get("out_value", F.lit(0)), 4).alias("out_value"))
+
+
+@query("recon_linear_pair", v.sql(f"""
+    SELECT series_id, start_idx, round(ma + c * (c * (a - ma) + s * (b - mb)), 4) AS first, round(mb + s * (c * (a - ma) + s * (b - mb)), 4) AS second
+    FROM (WITH {_PAIRS} SELECT p.*, ma, mb, cos(0.5 * atan2(2 * ab, aa - bb)) AS c, sin(0.5 * atan2(2 * ab, aa - bb)) AS s FROM p, m)""", "su"))
+def recon_linear_pair(spark, sf):
+    """The linear code of windows of two values keeps their principal axis."""
+    win = _pairs(spark, sf)
+    out = detect.recon_linear(win.select(*v.WIN, "value"), detect.recon_linear_fit(win, ["value"], 2), ["value"])
+    return out.select(*v.WIN, *[r(F.get("out_value", F.lit(i)), 4).alias(n) for i, n in enumerate(("first", "second"))])
+
+
+@query("inject_subspace_pair", v.sql(f"""
+    SELECT series_id, start_idx, round(a - g * c, 4) AS first, round(b - g * s, 4) AS second FROM (
+      SELECT *, CASE WHEN (a - ma) * c + (b - mb) * s < 0 THEN -1 ELSE 1 END * sqrt(0.5 * 2) * spread AS g FROM (
+        SELECT *, c0 * turn AS c, s0 * turn AS s FROM (
+          SELECT *, CASE WHEN abs(c0) >= abs(s0) THEN sign(c0) ELSE sign(s0) END AS turn FROM (WITH {_PAIRS}
+            SELECT p.*, ma, mb, cos(0.5 * atan2(2 * ab, aa - bb)) AS c0, sin(0.5 * atan2(2 * ab, aa - bb)) AS s0,
+                   (SELECT stddev_pop(x) FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p)) AS spread FROM p, m))))""", "su"))
+def inject_subspace_pair(spark, sf):
+    """Every window of two values moved against its principal axis."""
+    win = _pairs(spark, sf).select(*v.WIN, "value")
+    picked = inject.pick_type_channel(win, v.WIN, ["subspace"], ["value"])
+    out = inject.corrupt(picked, inject.injector_fit(win, ["value"]), v.WIN, ["value"], 2, 0.5, types=["subspace"], directions=inject.principal_directions(win, ["value"]))
+    return out.select(*v.WIN, *[r(F.get("value", F.lit(i)), 4).alias(n) for i, n in enumerate(("first", "second"))])
+
+
 def _window_mean(batch):
     """A user model: every channel of a window as its own mean."""
     return batch.mean(axis=1, keepdims=True).repeat(batch.shape[1], axis=1)
