@@ -464,3 +464,11 @@ def test_store(spark, tmp_path):
     store.sink_eval(spark.range(2), str(tmp_path / "raw"), {"is_standardized": False})
     with pytest.raises(ValueError, match="unscaled"):
         store.read_eval(spark, str(tmp_path / "raw"))
+
+
+@pytest.mark.parametrize("length, stride, ahead", [(3, 3, 0), (4, 2, 1), (2, 5, 0), (5, 1, 2)])
+def test_windows_by_stride_equal_framed_ones(spark, length, stride, ahead):
+    rows = rows_of(spark, range(23), [int(i % 5 == 0) for i in range(23)]).unionByName(rows_of(spark, range(2), s=1)).where("idx <> 11").withColumn("s", F.when(F.col("s") == 1, 1))
+    framed = windows.slide_windows(rows, ["s"], ["x"], length, F.col("idx") % stride == 0, "is_anomaly", ahead=ahead, carry=["us"])
+    grouped = windows.slide_windows(rows, ["s"], ["x"], length, label="is_anomaly", ahead=ahead, carry=["us"], stride=stride)
+    assert sorted(map(str, framed.collect())) == sorted(map(str, grouped.collect())) and framed.columns == grouped.columns

@@ -33,9 +33,12 @@ def slide_windows(
     carry: Sequence[str] = (),
     ahead: int = 0,
     target_channels: Sequence[str] | None = None,
+    stride: int | None = None,
 ) -> DataFrame:
     """Windows `[s, s + length)` at rows where `start` holds; incomplete ones are dropped.
 
+    With `stride` windows start at its multiples, and `start` may restrict them further. Each row is then copied to the windows
+    that hold it, `ceil((length + ahead) / stride)` at most, instead of a frame around every row; use it for wide strides.
     With `label` the set gets `labels` (NULLs when the column does not exist). With `ahead` the next `ahead` rows become
     `y_<channel>` and windows without a complete target are dropped.
     """
@@ -49,7 +52,11 @@ def slide_windows(
     frames = {"_w": (F.collect_list(item), 0, length - 1)}
     if ahead:
         frames["_y"] = (F.collect_list(item), length, length + ahead - 1)
-    out = framed(kept, keys, idx, frames, span).where(F.col("_start") & (F.size("_w") == length))
+    if stride:
+        out = _grouped(kept, keys, idx, item, length, ahead, stride, carry)
+    else:
+        out = framed(kept, keys, idx, frames, span)
+    out = out.where(F.col("_start") & (F.size("_w") == length))
     if ahead:
         out = out.where(F.size("_y") == ahead)
     cols = [F.col(f"_w.{c}").alias(c) for c in channels]
@@ -62,9 +69,28 @@ def slide_windows(
     return out.select(*keys, F.col(idx).alias("start_idx"), *carry, *cols)
 
 
+def _grouped(
+    kept: DataFrame, keys: Sequence[str], idx: str, item: Column, length: int, ahead: int, stride: int, carry: Sequence[str]
+) -> DataFrame:
+    """Rows gathered by the windows that hold them: `_w`, `_y`, `_start` and `carry` of the first row."""
+    pos, reach = F.col(idx), length + ahead
+    first = F.greatest(F.lit(0), F.ceil((pos - F.lit(reach - 1)) / F.lit(stride))).cast("long")
+    held = F.sequence(first, F.floor(pos / F.lit(stride)).cast("long"))
+    spread = kept.withColumn("_s", F.explode(F.when(first <= F.floor(pos / F.lit(stride)), held).otherwise(F.array().cast("array<bigint>"))))
+    spread = spread.withColumn("_s", F.col("_s") * F.lit(stride))
+    own = F.col(idx) == F.col("_s")
+    gathered = spread.groupBy(*keys, "_s").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), item.alias("v")))).alias("_a"),
+        F.coalesce(F.max(F.when(own, F.col("_start"))), F.lit(False)).alias("_start"),
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in carry],
+    )
+    inside = lambda lo, hi: F.transform(F.filter("_a", lambda x: (x["i"] >= F.col("_s") + lo) & (x["i"] < F.col("_s") + hi)), lambda x: x["v"])
+    return gathered.select(*keys, F.col("_s").alias(idx), "_start", *carry, inside(0, length).alias("_w"), inside(length, reach).alias("_y"))
+
+
 def whole_table_windows(rows: DataFrame, keys: Sequence[str], channels: Sequence[str], length: int, **options) -> DataFrame:
     """Non-overlapping windows over whole series."""
-    return slide_windows(rows, keys, channels, length, F.col(options.get("idx", "idx")) % length == 0, **options)
+    return slide_windows(rows, keys, channels, length, stride=length, **options)
 
 
 def clamp_starts(starts: DataFrame, keys: Sequence[str], length: int, idx: str = "idx", n: str = "n") -> DataFrame:

@@ -36,7 +36,7 @@ def recon_linear(spark, sf):
       SELECT series_id, idx, n, round(lead(value, 15) OVER w, 6) AS last_v, round(lead(value, 16) OVER w, 6) AS n1, lead(idx, 19) OVER w AS e
       FROM su WINDOW w AS (PARTITION BY series_id ORDER BY idx)) WHERE e IS NOT NULL AND idx % 4 = 0""", "su"))
 def forecast_last(spark, sf):
-    win = windows.slide_windows(v.series(spark, sf), v.KEY, ["value"], v.L, F.col("idx") % 4 == 0, ahead=4)
+    win = windows.slide_windows(v.series(spark, sf), v.KEY, ["value"], v.L, ahead=4, stride=4)
     out = detect.forecast_last(win, ["value"], 4)
     return out.select(*v.WIN, r(F.element_at("out_value", -1)).alias("out_value"), r(F.get("y_value", F.lit(0))).alias("first_target"))
 
@@ -60,7 +60,7 @@ _PAIRS = """p AS (SELECT * FROM (
 
 
 def _pairs(spark, sf):
-    return windows.slide_windows(v.series(spark, sf, staged=True), v.KEY, ["value"], 2, F.col("idx") % 2 == 0, ahead=1)
+    return windows.slide_windows(v.series(spark, sf, staged=True), v.KEY, ["value"], 2, ahead=1, stride=2)
 
 
 @query("forecast_linear_pair", v.sql(f"""

@@ -69,7 +69,7 @@ def split_long(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> D
 def user_windows(spark: SparkSession, sf: str, step: int = L, rows: DataFrame | None = None, label: bool = True) -> DataFrame:
     """Windows of the user series at every `step`-th position."""
     rows = series(spark, sf) if rows is None else rows
-    return windows.slide_windows(rows, KEY, CH, L, F.col("idx") % step == 0, "is_anomaly" if label else None)
+    return windows.slide_windows(rows, KEY, CH, L, label="is_anomaly" if label else None, stride=step)
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
