@@ -9,13 +9,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.moments import array_moments
 from tidemark.functions.ordered import double_array
 from tidemark.operators.windows import explode_positions
 
@@ -42,15 +40,10 @@ def _flat(channels: Sequence[str]):
 
 def recon_linear_fit(windows: DataFrame, channels: Sequence[str], compression: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Mean and principal directions of flattened training windows; `max(1, size // compression)` directions are kept."""
-    sized = windows.select(_flat(channels).alias("a"))
-    size = sized.select(F.size("a")).first()[0]
-    means = sized.select(F.posexplode("a").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
-    mean = np.zeros(size)
-    for row in means.collect():  # one row per flattened position
-        mean[row["i"]] = row["m"]
-    centred = sized.select(array_to_vector(F.zip_with("a", double_array(mean), lambda x, m: x - m)).alias("v"))
-    k = max(1, size // compression)
-    return mean, PCA(k=k, inputCol="v", outputCol="o").fit(centred).pc.toArray()
+    _, mean, spread = array_moments(windows, {"window": _flat(channels)})["window"]
+    values, vectors = np.linalg.eigh(spread)
+    k = max(1, len(mean) // compression)
+    return mean, vectors[:, np.argsort(values)[::-1][:k]]
 
 
 def recon_linear(windows: DataFrame, fitted: tuple[np.ndarray, np.ndarray], channels: Sequence[str]) -> DataFrame:
@@ -66,12 +59,15 @@ def recon_linear(windows: DataFrame, fitted: tuple[np.ndarray, np.ndarray], chan
 
 
 def forecast_linear_fit(windows: DataFrame, channels: Sequence[str]) -> dict[str, tuple[float, list[float]]]:
-    """Per channel: intercept and coefficients predicting the next value from the window; needs `y_<channel>`."""
+    """Per channel: intercept and coefficients predicting the next value from the window; needs `y_<channel>`.
+
+    Least squares from the moments of all channels, found in one pass.
+    """
+    both = {c: F.concat(F.col(c), F.slice(f"y_{c}", 1, 1)) for c in channels}
     out = {}
-    for c in channels:
-        data = windows.select(array_to_vector(F.col(c)).alias("features"), F.get(f"y_{c}", F.lit(0)).alias("label"))
-        model = LinearRegression(solver="normal").fit(data)
-        out[c] = (float(model.intercept), [float(x) for x in model.coefficients])
+    for c, (_, mean, spread) in array_moments(windows, both).items():
+        weights = np.linalg.lstsq(spread[:-1, :-1], spread[:-1, -1], rcond=1e-12)[0]
+        out[c] = (float(mean[-1] - weights @ mean[:-1]), [float(x) for x in weights])
     return out
 
 

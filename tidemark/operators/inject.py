@@ -13,12 +13,12 @@ import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
+from tidemark.functions.moments import array_moments
 from tidemark.operators.clean import has_anomaly
 from tidemark.operators.score import by_channel
 from tidemark.operators.split import take_ranked
@@ -169,12 +169,10 @@ def injector_fit(windows: DataFrame, channels: Sequence[str]) -> DataFrame:
 def principal_directions(windows: DataFrame, channels: Sequence[str]) -> dict[str, tuple[list[float], list[float]]]:
     """Per channel: mean window and first principal direction (arrays of the window length)."""
     out = {}
-    for c in channels:
-        vectors = windows.select(array_to_vector(F.col(c)).alias("v"))
-        w = PCA(k=1, inputCol="v", outputCol="o").fit(vectors).pc.toArray()[:, 0]
+    for c, (_, mean, spread) in array_moments(windows, {c: F.col(c) for c in channels}).items():
+        w = np.linalg.eigh(spread)[1][:, -1]
         w = w if w[abs(w).argmax()] > 0 else -w
-        means = windows.agg(*[F.avg(F.get(c, F.lit(i))).alias(f"m{i}") for i in range(len(w))]).first()
-        out[c] = ([float(m) for m in means], [float(x) for x in w])
+        out[c] = ([float(m) for m in mean], [float(x) for x in w])
     return out
 
 
