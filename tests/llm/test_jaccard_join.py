@@ -107,3 +107,11 @@ def test_long_text_is_hashed_like_short_pieces():
     whole = list(words.word_hashes([text, "a B", None]))
     assert len(whole[0]) == 400_000 and np.array_equal(whole[0][:100], list(words.word_hashes([text[:1500]]))[0][:100])
     assert len(whole[1]) == 2 and len(whole[2]) == 0
+
+
+def test_sketches_bound_what_sets_share():
+    r = np.random.default_rng(4)
+    for n, m in ((1, 1), (7, 9), (60, 80), (500, 400), (3000, 3900)):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], r.integers(0, 2**63, m, dtype=np.uint64)]))
+        assert len(np.intersect1d(a, b)) <= jaccard_join.most_common(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= min(len(a), len(b))
