@@ -70,7 +70,8 @@ def remove_repeats(
     kept = [c for c in docs.columns if c != "removed_lines"]
     base = docs.select(*kept).withColumns({"__id": F.col(id_col).cast("long"), "__mark": F.xxhash64(whole(text_col))})
     cut = chunked(base.select("__id", "__mark", whole(text_col).alias("t")), F.col("t"), window, divisor)
-    parts = cut.select("__id", "__mark", F.posexplode("__chunks").alias("at", "body")).withColumn("n", line_count(F.col("body")))
+    # outer: for a plain explode Spark filters on the array's size first, and computes the chunks a second time for that, all steps in one
+    parts = cut.select("__id", "__mark", F.posexplode_outer("__chunks").alias("at", "body")).withColumn("n", line_count(F.col("body")))
     parts = parts.where((F.col("n") >= min_lines) & (F.char_length("body") - F.col("n") >= min_chars))
     parts = parts.withColumn("key", F.xxhash64("body")).withColumn("digest", F.md5(F.col("body").cast("binary")))
     last = F.lit(2**63 - 1)
