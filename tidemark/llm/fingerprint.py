@@ -39,7 +39,8 @@ def numbers(text: Column) -> Column:
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """Term numbers whose document frequency, counted over all rows, is within the band; at least two rows must have a term."""
     total = docs.count()
-    counts = docs.select(F.explode(numbers(whole(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # outer: for a plain explode Spark filters on the array's size first and computes the array a second time for that
+    counts = docs.select(F.explode_outer(numbers(whole(text_col))).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return counts.where((F.col("df") >= max(2, low * total)) & (F.col("df") <= high * total)).select("term")
 
 
@@ -137,7 +138,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "bucket", "halo", "seq", "doc_id", "tie", "n_chars", F.md5(F.col("t").cast("binary")).alias("own"), F.md5(F.col("edited").cast("binary")).alias("edited_own"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.concat(sided("t", 0), sided("edited", 1), always).alias("xs"),
     )
-    each = each.withColumn("x", F.explode("xs")).drop("xs").select("*", F.col("x.side").alias("side"), F.col("x.term").alias("term")).drop("x")
+    each = each.withColumn("x", F.explode_outer("xs")).drop("xs").select("*", F.col("x.side").alias("side"), F.col("x.term").alias("term")).drop("x")
     small = words.count() <= BROADCAST_ROWS
     met = each.join(F.broadcast(words) if small else words, "term")
     info = ["halo", "doc_id", "tie", "n_chars", "own", "edited_own", "edited_sha256"]
