@@ -186,6 +186,9 @@ def mix(
 ) -> DataFrame:
     """`docs` with `n_tokens`, `posteriors` (domains in order of name), `rate` and `copies`, whole copies drawn by a hash of id and text.
 
+    `wanted` and `reached` are the same in all rows: for each domain, in order of name, the tokens that the weights ask for and
+    the expected tokens that the rates give. They differ where no nonnegative rates meet the weights.
+
     `labelled` has `id_col` and `domain`; ids with a null or unlisted domain teach nothing, of several domains of an id the
     largest name counts. `train_rows` bounds the labelled documents that are used for training. A null or empty text has no
     tokens and the prior as posterior, so it takes part in no target. Without any label all domains are equally likely. A null
@@ -193,16 +196,17 @@ def mix(
     result's names are replaced, and an empty table gives no rows.
     """
     domains = sorted(weights)
-    new = ["n_tokens", "posteriors", "rate", "copies"]
+    new = ["n_tokens", "posteriors", "rate", "copies", "wanted", "reached"]
     base = docs.select(*[c for c in docs.columns if c not in new])
     model = train(training_rows(base, labelled, id_col, text_col, train_rows), domains)
     rows = stage(with_posteriors(base, model, text_col), "posteriors")
-    steps, _ = fit_rates(rows.select("__tokens", "__p"), [weights[d] for d in domains], keep=tuple(domains.index(d) for d in keep))
+    steps, report = fit_rates(rows.select("__tokens", "__p"), [weights[d] for d in domains], keep=tuple(domains.index(d) for d in keep))
     rate = F.round(rate_of(steps), 6)
     out = rows.select(*base.columns, F.col("__tokens").alias("n_tokens"), F.col("__p").alias("posteriors"), rate.alias("rate"))
     luck = uniform(seed, "copies", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(whole(text_col)))
     extra = (luck < F.col("rate") - F.floor("rate")).cast("long")
-    return out.withColumn("copies", F.floor("rate").cast("long") + extra)
+    wanted, reached = (F.array(*[F.lit(float(x)) for x in report[k]]) for k in ("want", "have"))
+    return out.withColumn("copies", F.floor("rate").cast("long") + extra).withColumns({"wanted": wanted, "reached": reached})
 
 
 def domains_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -91,7 +91,9 @@ WEIGHTS = {"high": 0.93, "low": 0.05, "toxic": 0.02}
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled, WEIGHTS)
-    return found.select("doc_id", "n_tokens", *[F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(WEIGHTS))], "rate", "copies")
+    shown = {"p": "posteriors", "wanted": "wanted", "reached": "reached"}
+    p, wanted, reached = ([F.get(c, F.lit(i)).alias(f"{k}_{d}") for i, d in enumerate(sorted(WEIGHTS))] for k, c in shown.items())
+    return found.select("doc_id", "n_tokens", *p, "rate", "copies", *wanted, *reached)
 
 
 @query("op7_ngram_jaccard")
