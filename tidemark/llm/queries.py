@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, jaccard_join, language_id, line_dedup, mixing, pii, sentence_pieces
+from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, jaccard_join, language_id, line_dedup, mixing, periodic_runs, pii, sentence_pieces, whitening
 from tidemark.llm.common import table
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -99,3 +99,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    best = F.aggregate("runs", F.struct(*[F.lit(None).cast("long").alias(c) for c in ("start", "length", "period")]), lambda b, r: F.when(b["length"].isNull() | (r["length"] > b["length"]), r).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    digests = [F.sha2(x.cast("binary"), 256).alias(name) for x, name in ((lines, "runs_sha256"), (F.col("collapsed"), "collapsed_sha256"))]
+    shown = found.withColumn("best", best)
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli")
+    return shown.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, *digests)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
