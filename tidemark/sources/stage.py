@@ -45,10 +45,24 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete these tables from `stage` now. Every table and result that is still read must have been written, not only planned."""
+    for df in tables:
+        own = _STAGED.get(df.sparkSession.sparkContext.applicationId, [])
+        for folder in {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}:
+            for path in [p for p in own if p.rsplit("/", 1)[-1] == folder]:
+                _delete(df.sparkSession, path)
+                own.remove(path)
+
+
 def clear_stages(spark: SparkSession) -> int:
     """Delete everything under paths from `fresh_path` in this application; call it when no result that reads those tables is needed any more."""
     paths = _STAGED.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     return len(paths)
