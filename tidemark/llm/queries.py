@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, jaccard_join, language_id, line_dedup, mixing, periodic_runs, pii, sentence_pieces, whitening
+from tidemark.llm import chat_format, exact_dedup, fingerprint, html_text, jaccard_join, language_id, line_dedup, minhash, mixing, periodic_runs, pii, sentence_pieces, whitening
 from tidemark.llm.common import table
 from tidemark.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -101,6 +101,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op11_minhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
