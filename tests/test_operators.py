@@ -158,21 +158,83 @@ def test_upsample(spark, n):
     line = rows.withColumnRenamed("x", "v")
     got = [r.v for r in resample.upsample(line, ["s"], ["v"], 3, span=2).orderBy("g").collect()]
     np.testing.assert_allclose(got, np.interp(points, t, y))
-    cubic = [r.v for r in resample.upsample(line, ["s"], ["v"], 3, "cubic").orderBy("g").collect()]
+    cubic = [r.v for r in resample.upsample(line, ["s"], ["v"], 3, "cubic_local").orderBy("g").collect()]
     assert len(cubic) == len(points) and all(c is not None for c in cubic)
+    whole = [r.v for r in resample.upsample(line, ["s"], ["v"], 3, "cubic").orderBy("g").collect()]
+    np.testing.assert_allclose(whole, not_a_knot(t, y, points), atol=1e-9)
+
+
+def not_a_knot(t, y, at):
+    """The cubic spline with not-a-knot ends by one dense system for the polynomials' coefficients; linear under four points."""
+    n = len(t)
+    if n < 4:
+        return np.interp(at, t, y)
+    rows, right = [], []
+
+    def put(values, result):
+        row = np.zeros(4 * (n - 1))
+        for piece, terms in values.items():
+            row[4 * piece : 4 * piece + 4] = terms
+        rows.append(row / np.abs(row).max())
+        result /= np.abs(row).max()
+        right.append(result)
+
+    for k in range(n - 1):  # each polynomial in its own interval's length, to keep the system well conditioned
+        put({k: [1, 0, 0, 0]}, y[k])
+        put({k: [1, 1, 1, 1]}, y[k + 1])
+        if k < n - 2:
+            q = float(t[k + 1] - t[k]) / float(t[k + 2] - t[k + 1])
+            put({k: [0, 1, 2, 3], k + 1: [0, -q, 0, 0]}, 0)
+            put({k: [0, 0, 2, 6], k + 1: [0, 0, -2 * q * q, 0]}, 0)
+            if k in (0, n - 3):
+                put({k: [0, 0, 0, 1], k + 1: [0, 0, 0, -(q**3)]}, 0)
+    c = np.linalg.solve(np.array(rows), np.array(right)).reshape(-1, 4)
+    piece = np.clip(np.searchsorted(t, at, "right") - 1, 0, n - 2)
+    d = (at - np.asarray(t)[piece]) / np.diff(t)[piece]
+    return (c[piece] * np.stack([np.ones_like(d), d, d * d, d**3], axis=1)).sum(axis=1)
+
+
+def test_spline_over_many_buckets(spark):
+    """One series cut in buckets of the least size, uneven steps, repeated times, two channels, a null and another key."""
+    draw = np.random.default_rng(3)
+    t = np.cumsum(np.exp(draw.normal(0, 2, 700)).astype(int) + 1) + 10**15
+    y, z = draw.normal(size=700), np.cumsum(draw.normal(size=700))
+    data = [(None, i, int(t[i]), float(y[i]), float(z[i])) for i in range(700)] + [(7, i, 5 * i, float(i * i), 1.0) for i in range(5)]
+    df = spark.createDataFrame(data, "s long, idx long, us long, v double, w double")
+    got = resample.upsample(df, ["s"], ["v", "w"], 3, "cubic", span=8)
+    mine = sorted((r.g, r["x"], r.v, r.w) for r in got.where("s IS NULL").collect())
+    assert [g for g, *_ in mine] == list(range(699 * 3 + 1))
+    x = np.array([p[1] for p in mine]) - 1e15
+    np.testing.assert_allclose([p[2] for p in mine], not_a_knot(t - 10**15, y, x), rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose([p[3] for p in mine], not_a_knot(t - 10**15, z, x), rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose([r.v for r in got.where("s = 7").orderBy("g").collect()], [(r / 3) ** 2 for r in range(13)], atol=1e-9)
+    again = [(1, 0, 0, 9.0), (1, 1, 0, 0.0), (1, 2, 1, 1.0), (1, 3, 2, 5.0), (1, 4, 2, 8.0), (1, 5, 3, 27.0), (1, 6, 4, 64.0)]
+    out = resample.upsample(spark.createDataFrame(again, "s long, idx long, us long, v double"), ["s"], ["v"], 2, "cubic").orderBy("g").collect()
+    np.testing.assert_allclose([r.v for r in out], [r["x"] ** 3 for r in out], atol=1e-9)
+    assert len(out) == 13
+
+
+def test_upsample_a_wide_gap(spark):
+    """An interval that holds nearly all grid points is dealt out in pieces."""
+    df = spark.createDataFrame([(1, i, i if i < 2999 else 10**9, float(i)) for i in range(3000)], "s long, idx long, us long, v double")
+    got = resample.upsample(df, ["s"], ["v"], 20)
+    assert got.count() == 2999 * 20 + 1 and got.select("g").distinct().count() == 2999 * 20 + 1
+    assert got.agg({"v": "max"}).first()[0] == 2999.0
 
 
 def test_cubic_is_exact_on_a_cubic(spark):
     rows = rows_of(spark, [i ** 3 for i in range(10)]).withColumnRenamed("x", "v").withColumn("us", F.col("idx"))
-    out = resample.upsample(rows, ["s"], ["v"], 4, "cubic").where("x between 1 and 8").collect()
+    out = resample.upsample(rows, ["s"], ["v"], 4, "cubic_local").where("x between 1 and 8").collect()
     np.testing.assert_allclose([r.v for r in out], [r.x ** 3 for r in out], rtol=1e-9)
+    out = resample.upsample(rows, ["s"], ["v"], 4, "cubic").collect()
+    np.testing.assert_allclose([r.v for r in out], [r.x ** 3 for r in out], rtol=1e-9, atol=1e-9)
 
 
 def test_factor_one_and_bad_names(spark):
     rows = rows_of(spark, range(4))
     assert resample.upsample(rows, ["s"], ["x"], 1) is rows
     with pytest.raises(ValueError):
-        resample.upsample(rows, ["s"], ["x"], 2, "spline")
+        resample.upsample(rows, ["s"], ["x"], 2, "quintic")
     with pytest.raises(ValueError):
         scale.fit_named(rows, ["x"], "OtherScaler")
 

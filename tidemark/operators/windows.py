@@ -11,14 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import SPAN, Running, bucket_by_value, exact_quantiles, framed, running, spread_join
+from tidemark.functions.ordered import SPAN, Running, bucket_by_value, exact_quantiles, framed, null_safe, running, spread_join
 from tidemark.sources.stage import stage
 
 
 def mark_starts(rows: DataFrame, starts: DataFrame, keys: Sequence[str], idx: str = "idx", name: str = "is_start") -> DataFrame:
-    """Add a boolean column: the row is one of `starts` (keys, idx)."""
-    marks = starts.select(*keys, idx).distinct().withColumn(name, F.lit(True))
-    return rows.join(marks, [*keys, idx], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    """Add a boolean column: the row is one of `starts` (keys, idx). A null key meets a null key."""
+    marks = starts.select(null_safe([*keys, idx]).alias("_k")).distinct().withColumn("_mark", F.lit(True))
+    met = rows.withColumn("_k", null_safe([*keys, idx])).join(marks, "_k", "left")
+    return met.select(*[F.col(c) for c in rows.columns if c != name], F.coalesce("_mark", F.lit(False)).alias(name))
 
 
 def slide_windows(
@@ -207,7 +208,7 @@ def melt_channels(rows: DataFrame, ids: Sequence[str], channels: Sequence[str],
 
 
 def window_rank(windows: DataFrame, series: str = "series_id", start: str = "start_idx", name: str = "rank") -> DataFrame:
-    """0-based rank of every window in (series, start) order over the whole set."""
+    """0-based rank of every window in (series, start) order over the whole set; windows of a null series come first."""
     starts = stage(windows.select(series, start), "starts")
     ranked = running(
         bucket_by_value(starts, series, start),
@@ -215,7 +216,8 @@ def window_rank(windows: DataFrame, series: str = "series_id", start: str = "sta
         [F.col(series), F.col(start)],
         {name: Running("count", F.lit(1), exclusive=True)},
     )
-    return windows.join(ranked, [series, start], "inner")
+    ranks = ranked.select(null_safe([series, start]).alias("_k"), name)
+    return windows.withColumn("_k", null_safe([series, start])).join(ranks, "_k", "inner").drop("_k")
 
 
 def windows_to_timeline(

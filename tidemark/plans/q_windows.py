@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import resample, split, windows
 from tidemark.plans import views as v
 from tidemark.plans.registry import joined, query, r
+from tidemark.sources.stage import stage
 
 _TEXT = lambda c, order="pos", scale=100: f"string_agg(CAST(round({c} * {scale}) AS BIGINT)::VARCHAR, ',' ORDER BY {order})"
 
@@ -234,16 +235,93 @@ def upsample_next(spark, sf):
     return _upsampled(spark, sf, "next")
 
 
-@query("upsample_cubic", _asof(f"""CASE WHEN xp < us AND x1 < x2 AND n >= 4 THEN
+@query("upsample_cubic_local", _asof(f"""CASE WHEN xp < us AND x1 < x2 AND n >= 4 THEN
     vp * (x - us) / (xp - us) * (x - x1) / (xp - x1) * (x - x2) / (xp - x2)
     + value * (x - xp) / (us - xp) * (x - x1) / (us - x1) * (x - x2) / (us - x2)
     + v1 * (x - xp) / (x1 - xp) * (x - us) / (x1 - us) * (x - x2) / (x1 - x2)
     + v2 * (x - xp) / (x2 - xp) * (x - us) / (x2 - us) * (x - x1) / (x2 - x1)
     ELSE {_LINE} END"""))
+def upsample_cubic_local(spark, sf):
+    return _upsampled(spark, sf, "cubic_local")
+
+
+# the spline through a whole series: forward elimination and back substitution of its tridiagonal system, one sample a step
+_SPLINE = """
+    SELECT * FROM (WITH RECURSIVE d AS (
+        SELECT series_id, idx, n, us::DOUBLE AS us, value AS y, (us - lag(us) OVER o)::DOUBLE AS hb, (lead(us) OVER o - us)::DOUBLE AS h,
+               value - lag(value) OVER o AS db, lead(value) OVER o - value AS da
+        FROM su WINDOW o AS (PARTITION BY series_id ORDER BY idx)),
+      e AS (
+        SELECT series_id, idx, n, CASE WHEN idx = 1 THEN 0 WHEN idx = n - 2 THEN hb - h ELSE hb END AS a,
+               CASE WHEN idx = 1 THEN 2 * h + hb WHEN idx = n - 2 THEN 2 * hb + h ELSE 2 * (hb + h) END AS b,
+               CASE WHEN idx = 1 THEN h - hb WHEN idx = n - 2 THEN 0 ELSE h END AS c,
+               6 * (da / h - db / hb) * CASE WHEN idx = 1 THEN h / (hb + h) WHEN idx = n - 2 THEN hb / (hb + h) ELSE 1 END AS q
+        FROM d WHERE n >= 4 AND idx BETWEEN 1 AND n - 2),
+      f AS (
+        SELECT series_id, idx, n, c / b AS c, q / b AS q FROM e WHERE idx = 1 UNION ALL
+        SELECT e.series_id, e.idx, e.n, e.c / (e.b - e.a * f.c), (e.q - e.a * f.q) / (e.b - e.a * f.c)
+        FROM f JOIN e ON e.series_id = f.series_id AND e.idx = f.idx + 1),
+      m AS (
+        SELECT series_id, idx, q AS m FROM f WHERE idx = n - 2 UNION ALL
+        SELECT f.series_id, f.idx, f.q - f.c * m.m FROM m JOIN f ON f.series_id = m.series_id AND f.idx = m.idx - 1),
+      w AS (
+        SELECT d.*, CASE WHEN idx = 0 THEN lead(m) OVER o - h / lead(h) OVER o * (lead(m, 2) OVER o - lead(m) OVER o)
+                         WHEN idx = n - 1 THEN lag(m) OVER o + hb / lag(hb) OVER o * (lag(m) OVER o - lag(m, 2) OVER o) ELSE m END AS m
+        FROM d LEFT JOIN m USING (series_id, idx) WINDOW o AS (PARTITION BY series_id ORDER BY idx)),
+      s AS (
+        SELECT *, lead(us) OVER o AS u1, lead(y) OVER o AS y1, lead(m) OVER o AS m1 FROM w WINDOW o AS (PARTITION BY series_id ORDER BY idx))
+    SELECT p.series_id, p.g, round(CASE WHEN u1 IS NULL THEN y WHEN s.n < 4 THEN y + (y1 - y) * (x - us) / h ELSE
+             (y * (u1 - x) + y1 * (x - us)) / h + m * (u1 - x) / 6 * ((u1 - x) * (u1 - x) / h - h) + m1 * (x - us) / 6 * ((x - us) * (x - us) / h - h) END, 4) AS value
+    FROM (%s) p ASOF JOIN s ON p.series_id = s.series_id AND p.x >= s.us)"""
+
+
+@query("upsample_cubic", v.sql(_SPLINE % _POINTS, "su"))
 def upsample_cubic(spark, sf):
     return _upsampled(spark, sf, "cubic")
 
 
+def _without_key(rows):
+    """The rows with one series in three merged under a null key."""
+    return rows.withColumn("series_id", F.expr("CASE WHEN series_id % 3 <> 0 THEN series_id END"))
+
+
+_NO_KEY = """(SELECT *, row_number() OVER (PARTITION BY s ORDER BY us, event_id) - 1 AS i, count(*) OVER (PARTITION BY s) AS m
+    FROM (SELECT *, CASE WHEN series_id % 3 <> 0 THEN series_id END AS s FROM su))"""
+
+
+@query("upsample_null_key", v.sql(f"""
+    SELECT p.s AS series_id, p.g, round(CASE WHEN u1 IS NULL THEN a.value ELSE a.value + (v1 - a.value) * (x - a.us) / (u1 - a.us) END, 4) AS value
+    FROM (SELECT s, coalesce(s, -1) AS k, m, i * 4 + j AS g, min(us) OVER w + (i * 4 + j)::DOUBLE * (max(us) OVER w - min(us) OVER w)::DOUBLE / greatest((m - 1) * 4, 1) AS x
+          FROM {_NO_KEY}, range(0, 4) q(j) WHERE i < m - 1 OR j = 0 WINDOW w AS (PARTITION BY s)) p
+    ASOF JOIN (SELECT coalesce(s, -1) AS k, us::DOUBLE AS us, value, lead(us::DOUBLE) OVER o AS u1, lead(value) OVER o AS v1
+               FROM {_NO_KEY} WINDOW o AS (PARTITION BY s ORDER BY i)) a ON p.k = a.k AND p.x >= a.us""", "su"))
+def upsample_null_key(spark, sf):
+    rows = stage(split.row_index(_without_key(v.keyed(spark, sf)), v.KEY), "rows")
+    return resample.upsample(rows, v.KEY, ["value"], 4).select("series_id", "g", r("value", 4).alias("value"))
+
+
+@query("regular_grid_null_key", v.sql("""
+    SELECT * FROM (WITH d AS (
+        SELECT CASE WHEN series_id % 3 <> 0 THEN series_id END AS series_id, (us // 86400000000) * 86400000000 AS us, round(sum(value), 6) AS value FROM su GROUP BY 1, 2),
+      g AS (SELECT series_id, unnest(range(min(us), max(us) + 1, 86400000000)) AS us FROM d GROUP BY series_id)
+    SELECT g.series_id, g.us, d.value FROM g LEFT JOIN d ON g.series_id IS NOT DISTINCT FROM d.series_id AND g.us = d.us)""", "su"))
+def regular_grid_null_key(spark, sf):
+    day = (F.floor(F.col("us") / (24 * v.HOUR)) * (24 * v.HOUR)).cast("long")
+    daily = _without_key(v.keyed(spark, sf)).groupBy("series_id", day.alias("us")).agg(F.sum("value").alias("value"))
+    return resample.regular_grid(daily, v.KEY, ["value"], 24 * v.HOUR).select("series_id", "us", r("value").alias("value"))
+
+
+@query("slide_windows_null_key", v.sql(f"""
+    SELECT a.s AS series_id, a.i AS start_idx, CAST(count(*) AS INTEGER) AS length, round(sum(b.value), 4) AS total
+    FROM {_NO_KEY} a JOIN {_NO_KEY} b ON a.s IS NOT DISTINCT FROM b.s AND b.i BETWEEN a.i AND a.i + 15
+    WHERE a.i % 5 = 2 AND a.i + 16 <= a.m GROUP BY 1, 2""", "su"))
+def slide_windows_null_key(spark, sf):
+    rows = stage(split.row_index(_without_key(v.keyed(spark, sf)), v.KEY), "rows")
+    marked = windows.mark_starts(rows, rows.where("idx % 5 = 2"), v.KEY)
+    out = windows.slide_windows(marked, v.KEY, ["value"], v.L, F.col("is_start"))
+    return out.select("series_id", "start_idx", F.size("value").alias("length"), r(F.aggregate("value", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
 @query("propagate_labels", v.sql("""
     SELECT series_id, g, f.is_anomaly AS forward, b.is_anomaly AS backward FROM (
       SELECT series_id, idx * 4 + j AS g, n FROM su, range(0, 4) q(j) WHERE idx < n - 1 OR j = 0) p
