@@ -1,6 +1,7 @@
 """Operators against brute force and by their properties, on small edge cases."""
 
 import math
+import itertools
 import random
 
 import numpy as np
@@ -337,19 +338,44 @@ def test_strategies(spark):
         inject.evaluation_set("both", good, bad, real, 8, (True, False))
 
 
-@pytest.mark.parametrize("share", [0.0, 0.05, 0.1])
-def test_random_label_runs(spark, share):
-    rows = rows_of(spark, range(2000))
-    out = inject.random_label_runs(rows, ["s"], share, 5, 40).orderBy("idx").collect()
-    labels = [r.label for r in out]
-    assert len(labels) == 2000 and sum(labels) == int(2000 * share)
+def run_lengths(labels):
+    return [len(list(g)) for x, g in itertools.groupby(labels) if x]
 
 
-@pytest.mark.parametrize("n, share, lo, hi", [(40, 0.1, 4, 64), (127, 0.6, 4, 16), (5, 1.0, 1, 2), (3, 0.2, 1, 9)])
-def test_random_label_runs_meet_any_target(spark, n, share, lo, hi):
+@pytest.mark.parametrize("n, share, lo, hi", [(2000, 0.0, 5, 40), (2000, 0.1, 5, 40), (127, 0.6, 4, 16), (40, 0.1, 4, 64), (3, 0.4, 1, 9), (60, 0.5, 1, 1), (60, 0.75, 3, 3), (500, 1.0, 7, 1500), (90, 0.9, 8, 11)])
+def test_random_label_runs(spark, n, share, lo, hi):
+    """The share is exact, each run has an admissible length, and no two touch, for every series and several seeds."""
     two = rows_of(spark, range(n)).unionByName(rows_of(spark, range(3 * n), s=1)).withColumn("s", F.when(F.col("s") == 1, 1))
-    out = {r.s: r.label for r in inject.random_label_runs(two, ["s"], share, lo, hi).groupBy("s").agg(F.sum("label").alias("label")).collect()}
-    assert out == {None: int(n * share), 1: int(3 * n * share)}
+    seen = set()
+    for seed in (1, 2):
+        rows = inject.random_label_runs(two, ["s"], share, lo, hi, seed).orderBy("idx").collect()
+        assert len(rows) == 4 * n
+        for s, size in ((None, n), (1, 3 * n)):
+            labels = [r.label for r in rows if r.s == s]
+            runs_found = run_lengths(labels)
+            assert sum(labels) == int(size * share) and all(lo <= x <= hi for x in runs_found)
+            seen.add((seed, s, tuple(labels)))
+    assert len(seen) == 4 or share in (0.0, 1.0) or n < 100
+
+
+def test_label_runs_that_do_not_fit(spark):
+    rows = rows_of(spark, range(5))
+    for share, lo, hi in ((1.0, 1, 2), (0.6, 4, 9), (0.8, 1, 1)):
+        with pytest.raises(Exception, match="no runs of this length cover"):
+            inject.random_label_runs(rows, ["s"], share, lo, hi).collect()
+        assert {r.label for r in inject.random_label_runs(rows, ["s"], share, lo, hi, on_impossible="none").collect()} == {0}
+    with pytest.raises(ValueError):
+        inject.random_label_runs(rows, ["s"], 0.5, 3, 2)
+
+
+def test_label_runs_are_spread(spark):
+    """Over a long series, lengths and places take their whole range."""
+    sizes = spark.createDataFrame([(1, 400_000)], "s int, n long")
+    out = inject.label_runs(sizes, ["s"], 0.3, 4, 20).orderBy("start").collect()
+    ends = [0] + [r.start + r.length for r in out]
+    assert sum(r.length for r in out) == 120_000 and {r.length for r in out} == set(range(4, 21)) and ends[-1] <= 400_000
+    assert all(r.start > e or (r.start == 0 and not i) for i, (r, e) in enumerate(zip(out, ends)))
+    assert 0.28 < sum(r.length for r in out if r.start < 200_000) / 200_000 < 0.32
 
 
 def test_unknown_injectors_are_named(spark):

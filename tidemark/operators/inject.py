@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
 from tidemark.functions.moments import array_moments
+from tidemark.functions.ordered import SPAN, Running, bucket_by_digest, null_safe, running
 from tidemark.operators.clean import has_anomaly
 from tidemark.operators.score import by_channel
 from tidemark.operators.split import take_ranked
@@ -325,44 +326,64 @@ def check_untouched(pairs: DataFrame, channels: Sequence[str], prefix: str = "cl
     )
 
 
-def random_label_runs(
-    rows: DataFrame, keys: Sequence[str], share: float, min_len: int, max_len: int, seed: int = 42, idx: str = "idx", n: str = "n"
+def label_runs(
+    sizes: DataFrame, keys: Sequence[str], share: float, min_len: int, max_len: int, seed: int = 42, n: str = "n", on_impossible: str = "error"
 ) -> DataFrame:
-    """Add `label`: non-overlapping random runs of 1 covering exactly `int(n * share)` rows of each series.
+    """Random runs `keys, run, start, length`: exactly `int(n * share)` positions of each series, no two runs touching.
 
-    Rows fall in slots of `max_len`; slots are taken in random order, each with a run of random length at a random place
-    inside it, until the target is met; the last run is cut short. What whole slots cannot hold (short series, tails, large
-    shares) is then filled up slot by slot, in random order, from the first free row on; runs may grow together there.
+    `sizes` has one row per series. The number of runs is the one whose mean length is nearest to the middle of [min_len, max_len], as far
+    as the target and the gaps between runs allow it. Lengths are drawn evenly; what their sum misses or exceeds is made up by moving
+    runs, in random order, to their longest or shortest. Gaps are the steps between sorted draws, and starts are running sums. A series
+    that no such runs fit fails the job, or gets none with `on_impossible='none'`.
     """
-    from tidemark.functions.ordered import Running, bucket_by_digest, null_safe, running, spread_join
-
-    slots = rows.where((F.col(idx) % max_len == 0) & (F.col(idx) + max_len <= F.col(n))).select(
-        *keys, F.floor(F.col(idx) / max_len).cast("long").alias("slot"), n
-    )
-    length = F.lit(min_len) + F.floor(hashing.uniform(seed, "len", *keys, "slot") * (max_len - min_len + 1)).cast("int")
-    drawn = slots.withColumn("len", length).withColumn("_d", hashing.digest(seed, "slot", *keys, "slot"))
-    used = running(
-        bucket_by_digest(drawn, "_d"), keys, [F.col("_d"), F.col("slot")], {"_used": Running("sum", F.col("len"), exclusive=True)}
-    )
+    if not 1 <= min_len <= max_len or on_impossible not in ("error", "none"):
+        raise ValueError("min_len from 1 to max_len, and on_impossible 'error' or 'none'")
+    cap, middle = max_len - min_len, (min_len + max_len) / 2
     target = (F.col(n).cast("double") * F.lit(share)).cast("long")
-    kept = used.withColumn("len", F.least(F.col("len").cast("long"), target - F.col("_used"))).where("len > 0")
-    offset = F.floor(hashing.uniform(seed, "off", *keys, "slot") * (F.lit(max_len) - F.col("len") + 1)).cast("long")
-    runs = kept.select(*keys, "slot", offset.alias("_from"), "len")
-    slotted = rows.withColumn("slot", F.floor(F.col(idx) / max_len).cast("long"))
-    runs = runs.withColumn("_k", null_safe(keys)).drop(*keys)
-    joined = slotted.withColumn("_k", null_safe(keys)).join(runs, ["_k", "slot"], "left").drop("_k")
-    inside = F.col(idx) - F.col("slot") * max_len
-    hit = (inside >= F.col("_from")) & (inside < F.col("_from") + F.col("len"))
-    labelled = joined.withColumn("label", F.coalesce(hit, F.lit(False)).cast("int")).drop("_from", "len")
-    have = labelled.groupBy(*keys).agg(F.sum("label").alias("_have"), F.max(n).alias("_n"))
-    missing = (F.col("_n").cast("double") * F.lit(share)).cast("long") - F.col("_have")
-    short = stage(have.select(*keys, missing.alias("_miss")).where("_miss > 0"), "short")
-    if short.isEmpty():
-        return labelled.drop("slot")
-    drawn = labelled.withColumn("_d", hashing.digest(seed, "fill", *keys, "slot"))
-    free = running(
-        bucket_by_digest(drawn, "_d"), keys, [F.col("_d"), F.col(idx)], {"_free": Running("sum", 1 - F.col("label"), exclusive=True)}
+    plan = sizes.select(*keys, F.col(n).cast("long").alias("_n"), target.alias("_t"))
+    low, high = F.ceil(F.col("_t") / max_len).cast("long"), F.least(F.floor(F.col("_t") / min_len).cast("long"), F.col("_n") - F.col("_t") + 1)
+    fits = low <= high
+    count = F.least(F.greatest(F.round(F.col("_t") / middle).cast("long"), low), high)
+    if on_impossible == "error":
+        told = F.concat(F.lit("no runs of this length cover "), F.col("_t"), F.lit(" of "), F.col("_n"), F.lit(" positions"))
+        plan = plan.withColumn("_m", F.when(fits, count).otherwise(F.raise_error(told).cast("long")))
+    else:
+        plan = plan.where(fits).withColumn("_m", count)
+    plan = plan.withColumn("_z", F.col("_n") - F.col("_t") - F.col("_m") + 1).where("_m > 0")
+    block = 10_000
+    blocks = plan.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(block).cast("long")))).repartition(*keys, "_s")
+    drawn = blocks.withColumn("run", F.explode(F.sequence("_s", F.least(F.col("_m"), F.col("_s") + block) - 1))).drop("_s")
+    drawn = drawn.withColumns({
+        "_x": F.floor(hashing.uniform(seed, "len", *keys, "run") * (cap + 1)).cast("long"),
+        "_g": F.floor(hashing.uniform(seed, "gap", *keys, "run") * (F.col("_z") + 1)).cast("long"),
+        "_d": hashing.digest(seed, "fill", *keys, "run"),
+    })
+    filled = running(
+        bucket_by_digest(drawn, "_d"), keys, [F.col("_d"), F.col("run")],
+        {"_more": Running("sum", cap - F.col("_x"), exclusive=True), "_less": Running("sum", F.col("_x"), exclusive=True)}, {"_sum": ("sum", F.col("_x"))},
     )
-    filled = spread_join(free, short, keys, idx, how="left")
-    more = (F.col("label") == 0) & (F.coalesce(F.col("_free"), F.lit(0)) < F.coalesce(F.col("_miss"), F.lit(0)))
-    return filled.withColumn("label", F.when(more, 1).otherwise(F.col("label"))).drop("slot", "_d", "_free", "_miss")
+    miss = F.col("_t") - F.col("_m") * min_len - F.col("_sum")
+    up = F.least(F.greatest(miss - F.col("_more"), F.lit(0)), cap - F.col("_x"))
+    down = F.least(F.greatest(-miss - F.col("_less"), F.lit(0)), F.col("_x"))
+    sized = filled.withColumn("length", min_len + F.col("_x") + up - down).select(*keys, "run", "length", "_g", "_m", "_z")
+    placed = sized.withColumn("_b", F.floor(F.col("_g").cast("double") * F.ceil(F.col("_m") / SPAN) / (F.col("_z") + 1)).cast("long"))
+    placed = running(placed, keys, [F.col("_g"), F.col("run")], {"_before": Running("sum", F.col("length") + 1, exclusive=True)})
+    return placed.select(*keys, "run", (F.col("_g") + F.col("_before")).cast("long").alias("start"), "length")
+
+
+def random_label_runs(
+    rows: DataFrame, keys: Sequence[str], share: float, min_len: int, max_len: int, seed: int = 42, idx: str = "idx", n: str = "n", on_impossible: str = "error"
+) -> DataFrame:
+    """Add `label`: random runs of 1 from `label_runs`, of `min_len` to `max_len` rows each, covering exactly `int(n * share)` rows of each series.
+
+    Rows meet the few runs that reach their stretch of `max_len` positions, so no task holds a series.
+    """
+    sizes = rows.groupBy(*keys).agg(F.max(n).alias(n))
+    runs = label_runs(sizes, keys, share, min_len, max_len, seed, n, on_impossible)
+    ends = F.col("start") + F.col("length")
+    part = F.explode(F.sequence(F.floor(F.col("start") / max_len).cast("long"), F.floor((ends - 1) / max_len).cast("long")))
+    reached = runs.select(null_safe(keys).alias("_k"), part.alias("_p"), F.struct("start", ends.alias("end")).alias("r"))
+    held = reached.groupBy("_k", "_p").agg(F.collect_list("r").alias("_runs"))  # max_len / (min_len + 1) + 2 at most
+    met = rows.withColumns({"_k": null_safe(keys), "_p": F.floor(F.col(idx) / max_len).cast("long")}).join(held, ["_k", "_p"], "left")
+    hit = F.exists("_runs", lambda r: (F.col(idx) >= r["start"]) & (F.col(idx) < r["end"]))
+    return met.select(*[F.col(c) for c in rows.columns if c != "label"], F.coalesce(hit, F.lit(False)).cast("int").alias("label"))

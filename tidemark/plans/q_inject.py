@@ -170,17 +170,31 @@ def join_pairs(spark, sf):
     return pairs.select(*v.WIN, "channel", r(moved, 5).alias("moved"))
 
 
-_SLOTS = f"""
-    SELECT slot, least(len, target - used) AS len, floor({v.u_sql('off', '0', 'slot', seed=42)} * (64 - least(len, target - used) + 1))::BIGINT AS off FROM (
-      SELECT slot, len, target, coalesce(sum(len) OVER (ORDER BY d, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM (
-        SELECT slot, 8 + floor({v.u_sql('len', '0', 'slot', seed=42)} * 57)::BIGINT AS len, trunc(n * 0.1::DOUBLE)::BIGINT AS target,
-               md5(concat_ws('|', '42', 'slot', '0', slot::VARCHAR)) AS d
-        FROM (SELECT idx // 64 AS slot, n FROM sl WHERE idx % 64 = 0 AND idx + 64 <= n))) WHERE target - used > 0"""
+def _label_runs_sql(series: str) -> str:
+    """Runs of 8 to 64 over a tenth of each series with `n` rows in `series` (columns series_id, n)."""
+    u = lambda purpose: v.u_sql(purpose, "series_id", "run", seed=42)
+    return f"""
+    SELECT series_id, run, g + coalesce(sum(length + 1) OVER (PARTITION BY series_id ORDER BY g, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length
+    FROM (
+      SELECT *, 8 + x + least(greatest(t - m * 8 - total - more, 0), 56 - x) - least(greatest(total - t + m * 8 - less, 0), x) AS length FROM (
+        SELECT *, sum(x) OVER (PARTITION BY series_id) AS total, coalesce(sum(56 - x) OVER o, 0) AS more, coalesce(sum(x) OVER o, 0) AS less FROM (
+          SELECT *, floor({u('len')} * 57)::BIGINT AS x, floor({u('gap')} * (n - t - m + 2))::BIGINT AS g, md5(concat_ws('|', '42', 'fill', series_id::VARCHAR, run::VARCHAR)) AS d
+          FROM (SELECT *, unnest(range(0, m)) AS run FROM (
+            SELECT *, least(greatest(round(t / 36.0::DOUBLE)::BIGINT, ceil(t / 64.0::DOUBLE)::BIGINT), t // 8, n - t + 1) AS m
+            FROM (SELECT series_id, n, trunc(n * 0.1::DOUBLE)::BIGINT AS t FROM ({series})) WHERE t = 0 OR ceil(t / 64.0::DOUBLE) <= least(t // 8, n - t + 1))))
+        WINDOW o AS (PARTITION BY series_id ORDER BY d, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
 
 
 @query("random_label_runs", v.sql(f"""
-    SELECT idx, CAST(coalesce(idx % 64 >= off AND idx % 64 < off + len, false) AS INTEGER) AS label
-    FROM sl LEFT JOIN ({_SLOTS}) s ON s.slot = sl.idx // 64""", "sl"))
+    SELECT idx, CAST(r.series_id IS NOT NULL AS INTEGER) AS label
+    FROM sl LEFT JOIN ({_label_runs_sql('SELECT DISTINCT series_id, n FROM sl')}) r ON sl.idx >= r.start AND sl.idx < r.start + r.length""", "sl"))
 def random_label_runs(spark, sf):
     rows = v.series(spark, sf, long=True, staged=True)
     return inject.random_label_runs(rows, v.KEY, 0.1, 8, 64, v.SPLIT_SEED).select("idx", "label")
+
+
+@query("random_label_runs_series", v.sql(_label_runs_sql("SELECT series_id, n FROM su GROUP BY ALL"), "su"))
+def random_label_runs_series(spark, sf):
+    """Runs for every user; series too short for a run of the least length get none."""
+    sizes = v.keyed(spark, sf).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    return inject.label_runs(sizes, v.KEY, 0.1, 8, 64, v.SPLIT_SEED, on_impossible="none")
