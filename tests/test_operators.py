@@ -560,3 +560,28 @@ def test_windows_by_stride_equal_framed_ones(spark, length, stride, ahead):
     framed = windows.slide_windows(rows, ["s"], ["x"], length, F.col("idx") % stride == 0, "is_anomaly", ahead=ahead, carry=["us"])
     grouped = windows.slide_windows(rows, ["s"], ["x"], length, label="is_anomaly", ahead=ahead, carry=["us"], stride=stride)
     assert sorted(map(str, framed.collect())) == sorted(map(str, grouped.collect())) and framed.columns == grouped.columns
+
+
+def test_scoring_grid_drops_equal_settings(spark):
+    grid = runs.scoring_grid(spark, {"error": ["se", "abs"], "normaliser": ["none", "median"], "epsilon": [1e-3, 1e-1, 1.0]})
+    assert len(grid) == 8 and sum(s["normaliser"] == "none" for s in grid) == 2
+    assert [s["config_id"] for s in grid] == sorted(s["config_id"] for s in grid) and {s["level"] for s in grid} == {"step"}
+    with pytest.raises(ValueError, match="scaler"):
+        runs.scoring_grid(spark, {"scaler": ["x"]})
+    with pytest.raises(ValueError, match="cube"):
+        runs.scoring_grid(spark, {"error": ["cube"]})
+
+
+def test_results_published_twice(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    first = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.4), (2, 1, 0.9)], "run_id long, epoch int, loss double")
+    for _ in range(3):
+        store.sink_results(first, path)
+    rows = lambda: sorted(tuple(r) for r in store.read_results(spark, path).select("run_id", "epoch", "loss").collect())
+    assert rows() == [(1, 1, 0.5), (1, 2, 0.4), (2, 1, 0.9)]
+    store.sink_results(spark.createDataFrame([(1, 2, 0.3, 7), (1, 3, 0.2, 8)], "run_id long, epoch int, loss double, more int"), path)
+    assert rows() == [(1, 1, 0.5), (1, 2, 0.3), (1, 3, 0.2), (2, 1, 0.9)]
+    assert {r.more for r in store.read_results(spark, path).collect()} == {None, 7, 8}
+    with pytest.raises(Exception, match="broken"):
+        store.sink_results(first.select("run_id", F.raise_error(F.lit("broken")).cast("int").alias("epoch")), path)
+    assert len(rows()) == 4

@@ -112,6 +112,63 @@ def sweep(
     )
 
 
+def scoring_grid(spark: SparkSession, options: dict[str, Sequence]) -> list[dict]:
+    """The settings of an option grid over `error`, `normaliser`, `epsilon` and `level`, each meaning once, in listing order.
+
+    With `normaliser='none'` nothing is divided, so all values of `epsilon` mean the same and the first is kept.
+    """
+    known = {"error": ["abs"], "normaliser": ["median"], "epsilon": [1e-3], "level": ["step"]}
+    unknown = set(options) - set(known)
+    if unknown:
+        raise ValueError(f"unknown options {sorted(unknown)}")
+    full = {k: list(options.get(k, v)) for k, v in known.items()}
+    if bad := [v for k, allowed in (("error", ("abs", "se")), ("normaliser", ("median", "none")), ("level", ("step", "window"))) for v in full[k] if v not in allowed]:
+        raise ValueError(f"unknown values {bad}")
+    grid = settings_grid(spark, full).withColumn("epsilon", F.col("epsilon").cast("double"))
+    merged = drop_equal_settings(grid, F.col("normaliser") == "none", "epsilon", full["epsilon"][0])
+    return [r.asDict() for r in merged.orderBy("config_id").collect()]  # as many as the caller listed
+
+
+def sweep_grid(
+    deltas: DataFrame, ids: Sequence[str], channels: Sequence[str], settings: Sequence[dict], normal: str = "normal"
+) -> DataFrame:
+    """One metrics record per setting of `scoring_grid`, all in one plan.
+
+    `deltas` holds per (ids, pos) the output minus target of each channel, `label`, and `normal` = 1 for rows that set the normaliser.
+    Every step is read once and carries one score column for each way of scoring; windows average all columns in one grouping. Only
+    then are scores listed by setting: equal ones collapse in the map tasks, and all curves run over one order of scores.
+    """
+    kinds = sorted({s["error"] for s in settings})
+    errors = {(k, c): elementwise_error(F.col(c), F.lit(0.0), k) for k in kinds for c in channels}
+    wanted = F.array(*[F.struct(F.lit(f"{k}|{c}").alias("k"), e.alias("err")) for (k, c), e in errors.items()])
+    medians = {}
+    if any(s["normaliser"] == "median" for s in settings):
+        long = deltas.where(F.col(normal) == 1).select(F.inline(wanted))
+        medians = {row["k"]: row["q"] for row in exact_quantiles(long, ["k"], "err", [0.5]).collect()}  # error kinds x channels
+
+    def scored(s: dict) -> Column:
+        parts = [errors[s["error"], c] if s["normaliser"] == "none" else errors[s["error"], c] / F.lit(medians[f"{s['error']}|{c}"] + s["epsilon"]) for c in channels]
+        return sum(parts) / F.lit(float(len(channels)))
+
+    label = (F.coalesce("label", F.lit(0)) > 0).cast("int")
+    parts = []
+    for kind in ("step", "window"):
+        own = [s for s in settings if s["level"] == kind]
+        if not own:
+            continue
+        wide = deltas.select(*ids, label.alias("label"), *[scored(s).alias(f"s{s['config_id']}") for s in own])
+        if kind == "window":
+            wide = wide.groupBy(*ids).agg(F.max("label").alias("label"), *[F.avg(f"s{s['config_id']}").alias(f"s{s['config_id']}") for s in own])
+        listed = F.array(*[F.struct(F.lit(s["config_id"]).alias("config_id"), F.col(f"s{s['config_id']}").alias("score")) for s in own])
+        parts.append(wide.select(F.inline(listed), "label"))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    names = F.array(*[F.struct(*[F.lit(s[k]).alias(k) for k in ("config_id", "error", "normaliser", "epsilon", "level")]) for s in settings])
+    named = metrics_record(both, ["config_id"]).withColumn("s", F.get(F.filter(names, lambda s: s["config_id"] == F.col("config_id")), F.lit(0)))
+    return named.select(
+        "config_id", "s.error", "s.normaliser", "s.epsilon", "s.level", "roc_auc", "threshold", "tpr", "fpr", "precision", "recall", "f1", "p", "n"
+    )
+
+
 # ---------------------------------------------------------------- runs
 
 def number_or_null(value: Column) -> Column:

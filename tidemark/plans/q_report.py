@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect, joins, report, runs, score, windows
 from tidemark.plans import views as v
 from tidemark.plans.registry import joined, query, r
-from tidemark.sources.stage import stage
+from tidemark.sources import store
+from tidemark.sources.stage import fresh_path, stage
 
 
 def _pair_errors(spark, sf):
@@ -159,7 +162,7 @@ def _sweep_sql(i: int, s: dict) -> str:
            round(sum(neg1 * (tp - pos1 + pos1 / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)), 6) AS roc_auc,
            round(max(tp / p - fp / n), 6) AS youden FROM (
       SELECT score, sum(pos1) OVER d AS tp, sum(neg1) OVER d AS fp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
-        SELECT round(score, 6) AS score, count(*) FILTER (label = 1) AS pos1, count(*) FILTER (label = 0) AS neg1 FROM ({steps}) GROUP BY 1)
+        SELECT score, count(*) FILTER (label = 1) AS pos1, count(*) FILTER (label = 0) AS neg1 FROM ({steps}) GROUP BY 1)
       WINDOW d AS (ORDER BY score DESC))"""
 
 
@@ -170,6 +173,50 @@ def sweep(spark, sf):
     return out.select("config_id", "error", "epsilon", "level", r("roc_auc").alias("roc_auc"), r(F.col("tpr") - F.col("fpr")).alias("youden"))
 
 
+OPTIONS = {"error": ["abs", "se"], "normaliser": ["median", "none"], "epsilon": [1e-3, 1e-1], "level": ["step", "window"]}
+
+
+def _grid_sql() -> str:
+    """Every setting of the grid, those without a normaliser once, ranked as `best_run` ranks them."""
+    parts, i = [], -1
+    for error, normaliser, epsilon, level in itertools.product(*OPTIONS.values()):
+        i += 1
+        if normaliser == "none" and epsilon != OPTIONS["epsilon"][0]:
+            continue
+        e = (lambda c: c) if error == "abs" else (lambda c: f"({c} * {c})")
+        by = (lambda c: "") if normaliser == "none" else (lambda c: f" / (f_{c} + {epsilon:.10f}::DOUBLE)")
+        total = " + ".join(f"{e(c)}{by(c)}" for c in v.CH)
+        medians = ", ".join(f"quantile_cont({e(c)}, 0.5) FILTER (anomalous = 0) AS f_{c}" for c in v.CH)
+        steps = f"SELECT series_id, start_idx, ({total}) / 3 AS score, label FROM er, (SELECT {medians} FROM er) f"
+        if level == "window":
+            steps = f"SELECT avg(score) AS score, max(label) AS label FROM ({steps}) GROUP BY series_id, start_idx"
+        parts.append(f"""
+        SELECT {i} AS config_id, '{error}' AS error, '{normaliser}' AS normaliser, {epsilon}::DOUBLE AS epsilon, '{level}' AS level,
+               sum(neg1 * (tp - pos1 + pos1 / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)) AS val_roc_auc, max(tp / p - fp / n) AS youden FROM (
+          SELECT score, sum(pos1) OVER d AS tp, sum(neg1) OVER d AS fp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
+            SELECT score, count(*) FILTER (label = 1) AS pos1, count(*) FILTER (label = 0) AS neg1 FROM ({steps}) GROUP BY 1)
+          WINDOW d AS (ORDER BY score DESC))""")
+    listed = " UNION ALL ".join(parts)
+    return f"""
+    SELECT config_id, error, normaliser, epsilon, level, round(val_roc_auc, 6) AS val_roc_auc, round(youden, 6) AS youden,
+           row_number() OVER (ORDER BY round(val_roc_auc, 9) DESC, config_id) = 1 AS best FROM ({listed})"""
+
+
+@query("sweep_grid", v.sql(_grid_sql(), "er"))
+def sweep_grid(spark, sf):
+    """A grid of scoring options: equal settings dropped, every run stored, the best one chosen from the store."""
+    errs = store.reuse_or_rebuild(spark, fresh_path(spark, "errors"), lambda: v.step_errors(spark, sf).withColumn("normal", 1 - F.col("anomalous")))
+    found = runs.sweep_grid(errs, v.WIN, v.CH, runs.scoring_grid(spark, OPTIONS))
+    records = found.select(F.col("config_id").alias("run_id"), F.lit(1).alias("epoch"), r("roc_auc", 9).alias("val_roc_auc"), (F.col("tpr") - F.col("fpr")).alias("youden"), "error", "normaliser", "epsilon", "level")
+    path = fresh_path(spark, "runs")
+    store.sink_results(records, path)
+    store.sink_results(store.read_results(spark, path), path)  # publishing again changes nothing
+    stored = store.read_results(spark, path)
+    best = runs.best_run(stored, *runs.choose_metric("val_roc_auc", stored.columns, True)).select(F.col("run_id").alias("best_id"))
+    marked = stored.join(best, F.col("run_id") == F.col("best_id"), "left")
+    return marked.select(F.col("run_id").alias("config_id"), "error", "normaliser", "epsilon", "level", r("val_roc_auc").alias("val_roc_auc"), r("youden").alias("youden"), F.col("best_id").isNotNull().alias("best"))
+
+
 @query("best_run", v.sql("""
     SELECT series_id AS run_id, round(arg_max(k, idx) / 100, 6) AS val_roc_auc, count(*) AS epochs FROM su GROUP BY series_id
     ORDER BY arg_max(k, idx) DESC, series_id LIMIT 1""", "su"))

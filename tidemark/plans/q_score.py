@@ -167,12 +167,12 @@ def normalise(spark, sf):
 
 
 def _steps(spark, sf):
-    return score.step_score(_normalised(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 6))
+    return score.step_score(_normalised(spark, sf), v.WIN, v.CH)
 
 
-@query("step_score", v.sql("SELECT series_id, start_idx, pos, score, label FROM ss", "ss"))
+@query("step_score", v.sql("SELECT series_id, start_idx, pos, round(score, 6) AS score, label FROM ss", "ss"))
 def step_score(spark, sf):
-    return _steps(spark, sf).select(*v.WIN, F.col("pos").cast("long").alias("pos"), "score", "label")
+    return _steps(spark, sf).select(*v.WIN, F.col("pos").cast("long").alias("pos"), r("score").alias("score"), "label")
 
 
 @query("sequence_score", v.sql("SELECT series_id, start_idx, round(avg((value + k + gap_s) / 3), 5) AS score, max(label) AS label FROM en GROUP BY series_id, start_idx", "en"))
@@ -194,7 +194,7 @@ def sequence_labels(spark, sf):
 
 
 @query("roc_curve", v.sql("""
-    SELECT score AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM rc
+    SELECT round(score, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM rc
     UNION ALL SELECT 'infinity'::DOUBLE, 0, 0""", "rc"))
 def roc_curve(spark, sf):
     out = score.roc_curve(score.roc_counts(_steps(spark, sf)))
@@ -209,11 +209,11 @@ def roc_auc(spark, sf):
 @query("roc_auc_window_label", v.sql("""
     SELECT round(sum(neg1 * (tp - pos1 + pos1 / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)), 6) AS roc_auc FROM (
       SELECT score, sum(pos1) OVER d AS tp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
-        SELECT round((value + k + gap_s) / 3, 6) AS score, count(*) FILTER (anomalous = 1) AS pos1, count(*) FILTER (anomalous = 0) AS neg1 FROM er GROUP BY 1)
+        SELECT (value + k + gap_s) / 3 AS score, count(*) FILTER (anomalous = 1) AS pos1, count(*) FILTER (anomalous = 0) AS neg1 FROM er GROUP BY 1)
       WINDOW d AS (ORDER BY score DESC))""", "er"))
 def roc_auc_window_label(spark, sf):
     """Window label repeated on every step of the window."""
-    steps = score.step_score_window_label(v.scored_windows(spark, sf), v.WIN, v.CH).withColumn("score", r("score", 6))
+    steps = score.step_score_window_label(v.scored_windows(spark, sf), v.WIN, v.CH)
     return score.roc_auc(score.roc_counts(steps)).withColumn("roc_auc", r("roc_auc"))
 
 
@@ -269,7 +269,7 @@ def flagship(spark, sf):
     clean_val = errors(normal.where("split = 'val'"))
     factors = score.median_normaliser(windows.melt_channels(clean_val, [], v.CH))
     val = score.normalise(errors(rows.where("split = 'val'")), factors, v.CH)
-    steps = val.select(r(score.mean_of(v.CH), 6).alias("score"), F.col("is_anomaly").alias("label"))
+    steps = val.select(score.mean_of(v.CH).alias("score"), F.col("is_anomaly").alias("label"))
     out = score.metrics_record(steps)
     return out.withColumns({c: r(c) for c in ("roc_auc", "threshold", "tpr", "fpr", "precision", "recall", "f1")})
 
@@ -283,7 +283,7 @@ query("flagship", v.sql(f"""
         SELECT sum(neg1 * (tp - pos1 + pos1 / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)) AS auc, arg_max(score, (tp / p - fp / n, score)) AS threshold,
                arg_max(tp / p, (tp / p - fp / n, score)) AS tpr, arg_max(fp / n, (tp / p - fp / n, score)) AS fpr, max(p) AS p, max(n) AS n FROM (
           SELECT score, sum(pos1) OVER d AS tp, sum(neg1) OVER d AS fp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
-            SELECT round(({" + ".join(f"abs({c} - m_{c}) / s_{c} / (f_{c} + 0.001::DOUBLE)" for c in _CHS)}) / 3, 6) AS score,
+            SELECT ({" + ".join(f"abs({c} - m_{c}) / s_{c} / (f_{c} + 0.001::DOUBLE)" for c in _CHS)}) / 3 AS score,
                    count(*) FILTER (is_anomaly = 1) AS pos1, count(*) FILTER (is_anomaly = 0) AS neg1
             FROM sp, (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _CHS)} FROM nr WHERE split = 'train') a,
               (SELECT {", ".join(f"quantile_cont(abs({c} - m_{c}) / s_{c}, 0.5) AS f_{c}" for c in _CHS)} FROM nr,

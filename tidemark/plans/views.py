@@ -195,7 +195,7 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
         FROM er, (SELECT max(factor) FILTER (channel = 'value') AS fv, max(factor) FILTER (channel = 'k') AS fk,
                          max(factor) FILTER (channel = 'gap_s') AS fg FROM md) f"""),
     "ss": (("en",), """
-        SELECT series_id, start_idx, pos, anomalous, label, round((value + k + gap_s) / 3.0::DOUBLE, 6) AS score FROM en"""),
+        SELECT series_id, start_idx, pos, anomalous, label, (value + k + gap_s) / 3.0::DOUBLE AS score FROM en"""),
     "rc": (("ss",), """
         SELECT score, sum(pos1) OVER d AS tp, sum(neg1) OVER d AS fp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
           SELECT score, count(*) FILTER (label = 1) AS pos1, count(*) FILTER (label = 0) AS neg1 FROM ss GROUP BY score)

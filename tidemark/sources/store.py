@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,11 +77,28 @@ def read_eval(spark: SparkSession, path: str, require_scaled: bool = True) -> tu
 
 # ---------------------------------------------------------------- runs
 
-def sink_results(results: DataFrame, path: str) -> None:
-    """Append result rows (one per epoch and run)."""
-    results.write.mode("append").parquet(path)
-
-
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """All result rows so far."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+def sink_results(results: DataFrame, path: str, run: str = "run_id", epoch: str = "epoch") -> None:
+    """Publish result rows (one per run and epoch); publishing the same rows again changes nothing.
+
+    Rows are written beside the table, in a folder that readers skip, and then renamed to a batch named by the runs and epochs it
+    holds. So a failed job leaves nothing behind that is read, and a repeated one replaces its own batch.
+    """
+    spark = results.sparkSession
+    beside = f"{path}/_new-{uuid.uuid4().hex}"
+    results.withColumn("_written", F.lit(time.time_ns())).write.parquet(beside)
+    keys = F.xxhash64(F.struct(F.col(run).cast("string"), F.col(epoch).cast("string")))
+    held = spark.read.parquet(beside).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(keys).alias("x"), F.sum(keys.cast("decimal(20,0)")).alias("s")).first()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(beside), hadoop.Path(f"{path}/batch=b{held['n']}_{(held['x'] or 0) & (2**64 - 1):016x}_{int(held['s'] or 0) % 2**64:016x}")
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"could not publish {target}")
+
+
+def read_results(spark: SparkSession, path: str, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
+    """All result rows so far; of several for one run and epoch the one published last."""
+    table = spark.read.option("mergeSchema", True).parquet(path)
+    values = [c for c in table.columns if c not in (run, epoch, "batch", "_written")]
+    latest = table.groupBy(run, epoch).agg(F.max_by(F.struct(*values), F.struct("_written", "batch")).alias("_v"))
+    return latest.select(run, epoch, *[F.col("_v")[c].alias(c) for c in values])
