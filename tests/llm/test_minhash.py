@@ -99,6 +99,11 @@ def test_large_groups(spark, monkeypatch):
         chain[2 * i % 80] = f"new{i}"
         rows.append((1000 + i, " ".join(chain)))
     draw.shuffle(rows)
+    for i in range(60):  # copies too far from the first text, some near each other
+        x = list(base)
+        for k in range(8):
+            x[(7 * k + i // 6) % 60] = f"d{i // 3}.{k}" if i % 3 else f"e{i}.{k}"
+        rows.append((2000 + i, " ".join(x)))
     want = brute(rows)
     assert len({r[2] for r in want}) > 3
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == sorted(want, key=key)

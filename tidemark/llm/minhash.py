@@ -4,9 +4,10 @@ Documents with equal shingle sets form a class; all work is on classes.
 
 1. Each set gets `HASHES` minima under hash functions a * x + b modulo 2**64 (upper half). A band is `ROWS` of them; classes that agree
    in a band share its bucket. With 32 bands of 4, two sets of similarity 0.8 miss every bucket with probability 5e-8.
-2. Buckets are not expanded into pairs. Their members are compared with a pivot, first the member that shares the most bucket places with
-   others, then a drawn one; linked members form components. Only members that are then not in the largest component of their bucket are
-   compared with all members of other components, in blocks.
+2. Buckets are not expanded into pairs. Their members are compared with a pivot, the member that shares the most bucket places with
+   others; linked members form components. Only members that are then not in the largest component of their bucket are compared with all
+   members of other components, in blocks, each pair in the first band it shares. A block passes on the members that have a possible partner,
+   then counts whole sets and writes the links that unite components, so what leaves it grows with its members and not with their pairs.
 3. A pair is checked by signatures of 8 bits a minimum: fewer agreeing ones than `signature_floor` end it, which loses a link with probability
    of about 1e-7. What passes is counted on whole sets.
 4. Components come from alternating large-star and small-star: every node hands its larger neighbours, then its smaller ones, to the
@@ -31,7 +32,6 @@ from tidemark.sources.stage import release, stage
 
 HASHES, ROWS = 128, 4
 TAIL = 5.5  # standard deviations below its mean at which the count of agreeing minima counts as too few
-PIVOTS = 2  # rounds of comparison with one member of each bucket
 BLOCK = 1024  # members of a bucket, about, that are compared with as many others in one piece of work
 SHARE = 512  # rows of one key that meet one copy of its value
 GATHER = 1 << 19  # shingles hashed at once
@@ -77,27 +77,28 @@ def band_keys(lows: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """`doc_id, n, cid, sig, bands, shingles` of every row of `doc_id, text`.
+    """`doc_id, n, cid, mark, bands, shingles` of every row of `doc_id, text`.
 
-    A task writes signature and bands of a class once and null after that, and `shingles` only where there is no id to find the text by.
+    `mark` holds the signature, 8 bits a minimum, and the keys of the bands. A task writes it and `bands` of a class once and null after
+    that, and `shingles` only where there is no id to find the text by.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, bool]] = set()
 
         def flush(rows: list, fresh: list, sets: list) -> pa.RecordBatch:
-            sig, bands, named = [None] * len(rows), [None] * len(rows), [None] * len(rows)
+            marks, bands, named = [None] * len(rows), [None] * len(rows), [None] * len(rows)
             if sets:
                 lows = minima(sets)
                 keys = band_keys(lows)
                 low8 = lows.astype(np.uint8)
                 for k, at in enumerate(fresh):
-                    sig[at], bands[at] = low8[k].tobytes(), keys[k].tolist()
+                    marks[at], bands[at] = low8[k].tobytes() + keys[k].tobytes(), keys[k].tolist()
                     if rows[at][0] is None:
                         named[at] = sets[k].tobytes()
             ids, n, cid = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(named, pa.binary()),
-            ], names=["doc_id", "n", "cid", "sig", "bands", "shingles"])
+                pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(named, pa.binary()),
+            ], names=["doc_id", "n", "cid", "mark", "bands", "shingles"])
 
         for b in batches:
             rows, fresh, sets, size = [], [], [], 0
@@ -116,7 +117,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             if rows:
                 yield flush(rows, fresh, sets)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, sig binary, bands array<long>, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cid long, mark binary, bands array<long>, shingles binary")
 
 
 def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -137,20 +138,20 @@ def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int)
     return named.unionByName(blank).groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
-def with_value(pairs: DataFrame, side: str, values: DataFrame, column: str) -> DataFrame:
-    """`pairs` with the value of the class in column `side`. A class of many pairs is dealt to copies, so that none meets more than about `SHARE`."""
-    counts = pairs.groupBy(F.col(side).alias("cid")).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("copies"))
-    dealt = values.join(counts, "cid").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    many = counts.where("copies > 1").select(F.col("cid").alias(side), "copies")  # (pairs / SHARE) classes at most
-    part = F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("a", "b"), F.col("copies").cast("long"))).cast("int")
-    placed = pairs.join(many, side, "left").withColumn("__part", part).drop("copies")
-    right = dealt.select(F.col("cid").alias(side), "__part", F.col(column).alias(f"__{side}"))
+def with_value(pairs: DataFrame, side: str, values: DataFrame, column: str, total: int) -> DataFrame:
+    """`total` `pairs` with the value of the class in column `side`. A class of many pairs is dealt to copies, so that none meets more than about `SHARE`."""
+    counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("uses")).withColumn("copies", F.ceil(F.col("uses") / SHARE).cast("int"))
+    dealt = counts.join(values.select(F.col("cid").alias(side), F.col(column).alias(f"__{side}")), side)
+    right = dealt.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(side, "__part", f"__{side}")
+    placed = with_share(pairs, counts, [side], "uses", total).drop("uses")
+    placed = placed.withColumn("__part", F.pmod(F.xxhash64("a", "b"), F.col("copies").cast("long")).cast("int")).drop("copies")
     return placed.join(right, [side, "__part"]).drop("__part")
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """The pairs with enough agreeing minima."""
-    both = with_value(with_value(pairs, "a", sigs, "sig"), "b", sigs, "sig").select("a", "b", "__a", "__b")
+    total = pairs.count()
+    both = with_value(with_value(pairs, "a", sigs, "sig", total), "b", sigs, "sig", total).select("a", "b", "__a", "__b")
     floor = signature_floor(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +165,8 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, counted on whole sets."""
-    both = with_value(with_value(pairs, "a", sets, "shingles"), "b", sets, "shingles").select("a", "b", "__a", "__b")
+    total = pairs.count()
+    both = with_value(with_value(pairs, "a", sets, "shingles", total), "b", sets, "shingles", total).select("a", "b", "__a", "__b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,115 +212,154 @@ def stars(edges: DataFrame) -> DataFrame:
     return now
 
 
-def block_pairs(members: DataFrame, total: int, sigs: DataFrame, percent: int) -> DataFrame:
-    """`a, b`: pairs of a bucket with enough agreeing minima whose components differ. `members` has `key, cid, comp`, of buckets of several components.
+def meetings(members: DataFrame, total: int) -> DataFrame:
+    """`work, key, i, j, side, cid, comp`: the members of buckets of several components (`key, cid, comp`) in pairs of blocks.
 
     A bucket is parted in its largest component and the rest, each in blocks by a hash of the class. Blocks of the rest meet each other
-    (i <= j) and those of the largest component (j < 0); each meeting is a key of its own, and a task holds two blocks at a time.
+    (i <= j) and those of the largest component (j < 0); `side` is 1 for members of block j where that is not i. A task holds two blocks.
     """
     kinds = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("uses"))
     buckets = kinds.groupBy("key").agg(F.max_by("comp", F.struct("uses", "comp")).alias("top"), F.sum("uses").alias("n"), F.max("uses").alias("most"))
     sizes = [F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("rests"), F.ceil(F.col("most") / BLOCK).cast("int").alias("tops")]
-    met = with_share(members, buckets.select("key", "top", "n", *sizes), ["key"], "n", total)
+    met = with_share(members, buckets.where("n > most").select("key", "top", "n", *sizes), ["key"], "n", total).where("top IS NOT NULL")
     rest = F.col("comp") != F.col("top")
     met = met.withColumn("own", F.pmod(F.xxhash64("cid"), F.when(rest, F.col("rests")).otherwise(F.col("tops")).cast("long")).cast("int"))
 
-    def meeting(i: Column | str, j: Column, side: Column) -> Column:
-        return F.struct((F.col(i) if isinstance(i, str) else i).alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    def meeting(i: Column, j: Column, side: Column) -> Column:
+        return F.struct(i.alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
 
     own, none = F.col("own"), F.lit(0)
     rests, tops = F.sequence(none, F.col("rests") - 1), F.sequence(none, F.col("tops") - 1)
     among = F.transform(rests, lambda x: meeting(F.least(own, x), F.greatest(own, x), x < own))
     keys = F.when(rest, F.concat(among, F.transform(tops, lambda x: meeting(own, -1 - x, none)))).otherwise(F.transform(rests, lambda x: meeting(x, -1 - own, F.lit(1))))
-    spread = met.select("key", "cid", "comp", F.explode(keys).alias("m")).select(F.xxhash64("key", "m.i", "m.j").alias("work"), "key", "m.*", "cid", "comp")
-    work = spread.join(sigs, "cid").select("work", "key", "i", "j", "side", "cid", "comp", "sig")
+    spread = met.select("key", "cid", "comp", F.explode(keys).alias("m")).select("key", "m.*", "cid", "comp")
+    return spread.select(F.xxhash64("key", "i", "j").alias("work"), "key", "i", "j", "side", "cid", "comp")
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], numbers: int, cuts_by: int) -> Iterator[tuple[list[np.ndarray], list[list]]]:
+    """Sorted rows in packs of equal first `cuts_by` columns: the first `numbers` columns as arrays, the others as lists."""
+    held: tuple[list[np.ndarray], list[list]] | None = None
+    for b in batches:
+        rows = [b.column(k).to_numpy(zero_copy_only=False) for k in range(numbers)]
+        more = [b.column(k).to_pylist() for k in range(numbers, b.num_columns)]
+        if held is not None:
+            rows, more = [np.concatenate([h, r]) for h, r in zip(held[0], rows, strict=True)], [h + m for h, m in zip(held[1], more, strict=True)]
+        if not len(rows[0]):
+            continue
+        new = np.zeros(len(rows[0]), bool)
+        for r in rows[:cuts_by]:
+            new[1:] |= r[1:] != r[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            yield [r[a:z] for r in rows], [m[a:z] for m in more]
+        held = [r[cuts[-1] :] for r in rows], [m[cuts[-1] :] for m in more]
+    if held is not None and len(held[0][0]):
+        yield held
+
+
+def possible_partners(rows: list[np.ndarray], marks: list[bytes], floor: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per member of a meeting the others it has to be compared with: other components, first shared band here, enough agreeing minima."""
+    _, key, i, j, side, cid, comp = rows
+    both = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1)
+    sig, bands = both[:, :HASHES], np.ascontiguousarray(both[:, HASHES:]).view(np.int64)
+    here = int(np.flatnonzero(bands[0] == key[0])[0])
+    left = int((side == 0).sum())
+    for x in range(left):
+        others = np.arange(x + 1 if i[0] == j[0] else left, len(cid))
+        others = others[comp[others] != comp[x]]
+        others = others[(sig[others] == sig[x]).sum(axis=1) >= floor]
+        if here and len(others):
+            others = others[~(bands[others, :here] == bands[x, :here]).any(axis=1)]
+        if len(others):
+            yield x, others
+
+
+def block_links(members: DataFrame, total: int, docs: DataFrame, rows: DataFrame, marks: DataFrame, words: int, percent: int) -> DataFrame:
+    """`a, b`: links between components inside buckets, as many as unite all that link within a meeting of two blocks."""
     floor = signature_floor(percent)
-
-    def compare(rows: list[np.ndarray], sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, _, i, j, side, cid, comp = rows
-        left = int((side == 0).sum())
-        found: list[np.ndarray] = []
-        for x in range(left):
-            others = np.arange(x + 1 if i[0] == j[0] else left, len(cid))
-            others = others[comp[others] != comp[x]]
-            good = others[(sig[others] == sig[x]).sum(axis=1) >= floor]
-            if len(good):
-                found.append(np.stack([np.minimum(cid[x], cid[good]), np.maximum(cid[x], cid[good])]))
-        if found:
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list[np.ndarray], np.ndarray] | None = None
-        for b in batches:
-            rows = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-            sig = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, HASHES)
-            if held is not None:
-                rows, sig = [np.concatenate([h, r]) for h, r in zip(held[0], rows, strict=True)], np.concatenate([held[1], sig])
-            if not len(sig):
-                continue
-            new = np.zeros(len(sig), bool)
-            for r in rows[:4]:
-                new[1:] |= r[1:] != r[:-1]
-            cuts = [0, *np.flatnonzero(new).tolist()]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from compare([r[a:z] for r in rows], sig[a:z])
-            held = [r[cuts[-1] :] for r in rows], sig[cuts[-1] :]
-        if held is not None and len(held[1]):
-            yield from compare(*held)
-
-    return work.repartition("work").sortWithinPartitions("work", "key", "i", "j", "side").mapInArrow(run, "a long, b long").distinct()
+    names = ["work", "key", "i", "j", "side", "cid", "comp"]
+    schema = "work long, key long, i int, j int, side int, cid long, comp long"
+    order = names[:5]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, (mark,) in pieces_of(batches, 7, 4):
+            some = np.zeros(len(mark), bool)
+            for x, others in possible_partners(own, mark, floor):
+                some[x] = True
+                some[others] = True
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(r[some]) for r in own], names=names)
+
+    met = stage(meetings(members, total), "meetings")
+    with_marks = met.join(marks, "cid").select(*names, "mark").repartition("work").sortWithinPartitions(*order)
+    chosen = stage(with_marks.mapInArrow(choose, schema), "chosen")
+    release(met)
+    sets = stage(whole_sets(docs, rows, chosen.select("cid").distinct(), words), "sets")
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, (mark, sets) in pieces_of(batches, 7, 4):
+            cid, root = own[5], {c: c for c in own[6].tolist()}
+            found: list[tuple[int, int]] = []
+
+            def top(c: int, root: dict[int, int] = root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for x, others in possible_partners(own, mark, floor):
+                apart = [y for y in others.tolist() if top(own[6][y]) != top(own[6][x])]
+                if not apart:
+                    continue
+                mine = np.frombuffer(sets[x], np.uint64)
+                flat = np.frombuffer(b"".join(sets[y] for y in apart), np.uint64)
+                sizes = np.array([len(sets[y]) // 8 for y in apart])
+                same = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                common = np.add.reduceat(same.astype(np.int64), np.cumsum(np.concatenate([[0], sizes[:-1]])))
+                for y in np.flatnonzero(100 * common >= percent * (len(mine) + sizes - common)).tolist():
+                    a, b = top(own[6][x]), top(own[6][apart[y]])
+                    if a != b:
+                        root[a] = b
+                        found.append((int(min(cid[x], cid[apart[y]])), int(max(cid[x], cid[apart[y]]))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    ready = chosen.join(marks, "cid").join(sets, "cid").select(*names, "mark", "shingles")
+    links = stage(ready.repartition("work").sortWithinPartitions(*order).mapInArrow(unite, "a long, b long"), "links")
+    release(chosen, sets)
+    return links
 
 
 def near_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """`rows` (doc_id, n, cid, ... of every row) and `members` (u, v: class and smallest class of its component, where they differ), both staged."""
     rows = stage(signatures(docs, words), "signatures")
-    banded = rows.where("sig IS NOT NULL").select("cid", F.explode("bands").alias("key")).distinct()
+    banded = rows.where("mark IS NOT NULL").select("cid", F.explode("bands").alias("key")).distinct()
     places = stage(banded, "places")
     buckets = places.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
     shared = stage(with_share(places, buckets, ["key"], "uses", places.count()).where("uses IS NOT NULL"), "shared")
     release(places)
     total = shared.count()
-    edges, none = None, docs.sparkSession.createDataFrame([], "u long, v long")
     if not total:
-        return rows, none
-    sigs = rows.where("sig IS NOT NULL").select("cid", "sig").join(shared.select("cid").distinct(), "cid", "left_semi")
-    sigs = stage(sigs.groupBy("cid").agg(F.first("sig").alias("sig")), "sigs")
+        return rows, docs.sparkSession.createDataFrame([], "u long, v long")
     degree = shared.groupBy("cid").agg(F.sum(F.col("uses") - 1).alias("degree"))
-    members = stage(shared.join(degree, "cid").select("key", "cid", "uses", "degree", F.col("cid").alias("comp")), "members")
+    members = stage(shared.join(degree, "cid"), "members")
     release(shared)
-    found = none
-
-    def widened(pairs: DataFrame) -> DataFrame:
-        """Components with the links of these pairs, too."""
-        close = stage(agreeing(pairs, sigs, percent), "close")
-        wanted = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct()
-        sets = stage(whole_sets(docs, rows, wanted, words), "sets")
-        links = stage(linked(close, sets, percent), "links")
-        out = stars(links.union(found.select("u", "v")))
-        release(close, sets, links)
-        return out
-
-    for turn in range(PIVOTS + 1):
-        mixed = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-        left = stage(with_share(members, mixed.select("key", "n"), ["key"], "n", total).where("n IS NOT NULL").drop("n"), "left")
-        release(members)
-        total = left.count()
-        if not total:
-            return rows, found
-        if turn == PIVOTS:
-            return rows, widened(stage(block_pairs(left.select("key", "cid", "comp"), total, sigs, percent), "met"))
-        order = F.struct("degree", "cid") if turn == 0 else F.struct(F.xxhash64("cid", "key"), "cid")
-        pivots = left.groupBy("key").agg(F.max_by(F.struct("cid", "comp"), order).alias("pivot"), F.count(F.lit(1)).alias("n"))
-        met = with_share(left, pivots, ["key"], "n", total).where(F.col("comp") != F.col("pivot.comp"))
-        last, found = found, widened(stage(met.select(*pair(F.col("cid"), F.col("pivot.cid"))).distinct(), "pairs"))
-        named = found.select(F.col("u").alias("cid"), F.col("v").alias("new"))
-        members = stage(left.join(named, "cid", "left").select("key", "cid", "uses", "degree", F.coalesce("new", "cid").alias("comp")), "members")
-        total = members.count()
-        release(left)
-        if turn:
-            release(last)
-    raise AssertionError("not reached")
+    marks = rows.where("mark IS NOT NULL").join(members.select("cid").distinct(), "cid", "left_semi")
+    marks = stage(marks.groupBy("cid").agg(F.first("mark").alias("mark")), "marks")
+    pivots = members.groupBy("key").agg(F.max_by("cid", F.struct("degree", "cid")).alias("pivot"), F.count(F.lit(1)).alias("n"))
+    met = with_share(members.select("key", "cid"), pivots, ["key"], "n", total).where("cid != pivot")
+    pairs = stage(met.select(*pair(F.col("cid"), F.col("pivot"))).distinct(), "pairs")
+    close = stage(agreeing(pairs, marks.select("cid", F.substring("mark", 1, HASHES).alias("sig")), percent), "close")
+    sets = stage(whole_sets(docs, rows, close.select(F.col("a").alias("cid")).union(close.select("b")).distinct(), words), "sets")
+    links = stage(linked(close, sets, percent), "links")
+    found = stars(links)
+    release(pairs, close, sets, links)
+    named = members.select("key", "cid").join(found.select(F.col("u").alias("cid"), F.col("v").alias("new")), "cid", "left")
+    placed = stage(named.select("key", "cid", F.coalesce("new", "cid").alias("comp")), "placed")
+    release(members)
+    links = block_links(placed, total, docs, rows, marks, words, percent)
+    out = stars(links.union(found))
+    release(placed, links, marks, found)
+    return rows, out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 80) -> DataFrame:
