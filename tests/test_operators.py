@@ -585,3 +585,50 @@ def test_results_published_twice(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         store.sink_results(first.select("run_id", F.raise_error(F.lit("broken")).cast("int").alias("epoch")), path)
     assert len(rows()) == 4
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 40])
+def test_surroundings_in_small_buckets(spark, length):
+    """Nearest marks against all rows, over buckets smaller than the surroundings, with gaps, two series and a null label."""
+    draw = random.Random(length)
+    data = [(s, i, draw.choice([0, 0, 0, 0, 0, 0, 1, None]) if i % 50 < 20 else 0, draw.choice(["train", "val"]), 120) for s in (None, 1) for i in range(120) if s is None or i % 11]
+    df = spark.createDataFrame(data, "s int, idx long, is_anomaly int, split string, n long")
+    near = lambda s, i, part=None: any(x[0] == s and x[2] == 1 and abs(x[1] - i) < length and part in (None, x[3]) for x in data)
+    out = split.anomaly_covered_rows(df, ["s"], length, span=16).collect()
+    assert len(out) == len(data) and all(r.covered == near(r.s, r.idx) for r in out)
+    out = split.mark_normal(df, ["s"], length, span=16).collect()
+    assert len(out) == len(data) and all(r.normal == (not near(r.s, r.idx, r.split)) for r in out)
+    full = df.where("s IS NULL")
+    starts = {r.start_idx for r in split.anomaly_starts(full, ["s"], length, span=16).collect()}
+    assert starts == {i for i in range(120 - length + 1) if any(x[0] is None and x[2] == 1 and i <= x[1] < i + length for x in data)}
+
+
+def test_windows_from_blocks(spark, monkeypatch):
+    """Slices of blocks against plain slices: any starts, targets, carried columns, missing positions, null keys."""
+    monkeypatch.setattr(windows, "BLOCK", 8)
+    data = [(s, i, float(i), i % 3) for s in (None, 2) for i in range(60) if s is None or i not in (20, 41)]
+    df = spark.createDataFrame(data, "s int, idx long, x double, tag int")
+    out = windows.slide_windows(df, ["s"], ["x"], 5, F.col("idx") % 3 == 1, carry=["tag"], ahead=2, span=8).collect()
+    have = {(s, i) for s, i, _, _ in data}
+    want = {(s, i) for s, i in have if i % 3 == 1 and all((s, j) in have for j in range(i, i + 7))}
+    assert {(r.s, r.start_idx) for r in out} == want
+    assert all(r.x == [float(j) for j in range(r.start_idx, r.start_idx + 5)] and r.y_x == [r.start_idx + 5.0, r.start_idx + 6.0] and r.tag == r.start_idx % 3 for r in out)
+
+
+def test_asof_and_interval_with_one_frequent_time(spark):
+    """A time that a third of the rows share is spread over buckets, and ties between the sides keep their rule."""
+    left = [(s, 500 if i % 3 == 0 else i, i) for s in (None, 1) for i in range(900)]
+    right = [(s, t, v) for s in (None, 1) for t in (0, 250, 500, 700) for v in (1, 5, 3)] + [(7, 1, 1)]
+    a = spark.createDataFrame(left, "s int, t long, id int")
+    b = spark.createDataFrame(right, "s int, t long, v int")
+    sizes = [r["count"] for r in joins._both_sides(a, b, ["s"], "t", ["v"], True).groupBy("_b").count().collect()]
+    assert max(sizes) <= 3 * sum(sizes) / len(sizes) + 64
+    back = {(r.s, r.id): (r.at_t, r.at_v) for r in joins.join_asof(a, b, ["s"], "t", ["v"]).collect()}
+    fore = {(r.s, r.id): (r.at_t, r.at_v) for r in joins.join_asof(a, b, ["s"], "t", ["v"], "forward").collect()}
+    near = {(r.s, r.id): (r.before_t, r.after_t) for r in joins.join_interval(a, b.select("s", "t"), ["s"], "t", 40).collect()}
+    times = [0, 250, 500, 700]
+    for s, t, i in left:
+        before, after = max(x for x in times if x <= t), min((x for x in times if x >= t), default=None)
+        assert back[s, i] == (before, 5) and fore[s, i] == (after, None if after is None else 1)
+        close = t - before < 40 or (after is not None and after - t < 40)
+        assert near.get((s, i)) == ((before, after) if close else None)

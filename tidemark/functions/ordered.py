@@ -246,6 +246,25 @@ def framed(
     return out.where("_own").drop("_own", *([] if keep_bucket else ["_b"]))
 
 
+def nearest_marks(
+    df: DataFrame, keys: Sequence[str], idx: str, marks: dict[str, Column], reach: int, span: int = SPAN, keep_bucket: bool = False
+) -> DataFrame:
+    """Add `<name>_before` and `<name>_after`: the last marked position up to, and the first one from each row on, as far as `reach`.
+
+    Both are running values of a bucket with `reach` rows of its neighbours, so the work of a row does not depend on `reach`. A
+    position beyond `reach` is null.
+    """
+    haloed = with_halo(df, idx, reach, reach, span)
+    parts = Window.partitionBy(*keys, "_b")
+    up, down = (parts.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(idx).asc(), F.col(idx).desc()))
+    at = {n: F.when(m, F.col(idx)) for n, m in marks.items()}
+    out = haloed.select("*", *[F.max(c).over(up).alias(f"{n}_before") for n, c in at.items()])
+    out = out.select("*", *[F.min(c).over(down).alias(f"{n}_after") for n, c in at.items()]).where("_own")
+    near = {f"{n}_before": F.when(F.col(idx) - F.col(f"{n}_before") <= reach, F.col(f"{n}_before")) for n in marks}
+    near |= {f"{n}_after": F.when(F.col(f"{n}_after") - F.col(idx) <= reach, F.col(f"{n}_after")) for n in marks}
+    return out.withColumns(near).drop("_own", *([] if keep_bucket else ["_b"]))
+
+
 def spread_join(
     rows: DataFrame, small: DataFrame, keys: Sequence[str], idx: str, span: int = SPAN, how: str = "inner"
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from tidemark.functions.ordered import (
     bucket_by_value,
     digest_rank,
     framed,
+    nearest_marks,
     null_safe,
     running,
     spread_join,
@@ -142,13 +143,25 @@ def label_present(df: DataFrame, label: str | Sequence[str]) -> bool:
     return bool(names) and all(c in df.columns for c in names)
 
 
+def anomaly_starts(
+    df: DataFrame, keys: Sequence[str], length: int, label: str = "is_anomaly", idx: str = "idx", n: str = "n", span: int = SPAN
+) -> DataFrame:
+    """Starts (`keys, start_idx`) of all complete windows that contain an anomaly: rows with one among the next `length` ones."""
+    rows = df.select(*keys, idx, label, n)
+    seen = nearest_marks(rows, keys, idx, {"_a": F.col(label) == 1}, length - 1, span)
+    return seen.where(F.col("_a_after").isNotNull() & (F.col(idx) + length <= F.col(n))).select(*keys, F.col(idx).alias("start_idx"))
+
+
 def anomaly_windows(
     df: DataFrame, keys: Sequence[str], length: int, label: str = "is_anomaly", idx: str = "idx", span: int = SPAN
 ) -> DataFrame:
-    """Starts of all complete windows that contain an anomaly, each with its 0/1 `labels` array."""
-    out = framed(
-        df.select(*keys, idx, label), keys, idx, {"labels": (F.collect_list(label), 0, length - 1)}, span
-    )
+    """Starts of all complete windows that contain an anomaly, each with its 0/1 `labels` array.
+
+    Only rows that some such window holds go into frames; all others leave after one running value.
+    """
+    marked = nearest_marks(df.select(*keys, idx, label), keys, idx, {"_a": F.col(label) == 1}, length - 1, span)
+    held = marked.where(F.coalesce("_a_before", "_a_after").isNotNull()).drop("_a_before", "_a_after")
+    out = framed(held, keys, idx, {"labels": (F.collect_list(label), 0, length - 1)}, span)
     return out.where((F.size("labels") == length) & F.exists("labels", lambda x: x == 1)).select(
         *keys, F.col(idx).alias("start_idx"), "labels"
     )
@@ -165,30 +178,36 @@ def anomaly_covered_rows(
     keep_bucket: bool = False,
 ) -> DataFrame:
     """Add `covered` = 1 on rows that lie in some complete window containing an anomaly (within length - 1 of one)."""
-    out = framed(df, keys, idx, {"_near": (F.max(label), 1 - length, length - 1)}, span, keep_bucket)
-    near = (F.col(n) >= length) & (F.col("_near") == 1)
-    return out.withColumn("covered", F.coalesce(near, F.lit(False)).cast("int")).drop("_near")
+    out = nearest_marks(df, keys, idx, {"_a": F.col(label) == 1}, length - 1, span, keep_bucket)
+    near = (F.col(n) >= length) & F.coalesce("_a_before", "_a_after").isNotNull()
+    return out.withColumn("covered", F.coalesce(near, F.lit(False)).cast("int")).drop("_a_before", "_a_after")
 
 
 def mark_normal(
     df: DataFrame,
     keys: Sequence[str],
     length: int,
-    label: str = "is_anomaly",
+    label: str | Sequence[str] = "is_anomaly",
     idx: str = "idx",
     n: str = "n",
     span: int = SPAN,
 ) -> DataFrame:
-    """Add `normal` = 1 on rows not covered by an anomaly of their own split. Without a label column all rows are normal."""
+    """Add `normal` = 1 on rows not covered by an anomaly of their own split.
+
+    `label` is a column or a list of columns, of which any can mark an anomaly. Without the column, or where one of the list is missing,
+    all rows are normal.
+    """
     if not label_present(df, label):
         return df.withColumn("normal", F.lit(1))
-    frames = {
-        f"_{s}": (F.max(F.when(F.col("split") == s, F.col(label))), 1 - length, length - 1) for s in ("train", "val")
-    }
-    near = F.when(F.col("split") == "train", F.col("_train")).otherwise(F.col("_val"))
-    out = framed(df, keys, idx, frames, span)
-    is_normal = (F.col(n) < length) | (F.coalesce(near, F.lit(0)) == 0)
-    return out.withColumn("normal", is_normal.cast("int")).drop("_train", "_val")
+    names = [label] if isinstance(label, str) else list(label)
+    hit = F.lit(False)
+    for c in names:
+        hit = hit | F.coalesce(F.col(c) == 1, F.lit(False))
+    parts = ("train", "val")
+    out = nearest_marks(df, keys, idx, {f"_{s}": hit & (F.col("split") == s) for s in parts}, length - 1, span)
+    near = F.when(F.col("split") == "train", F.coalesce("_train_before", "_train_after")).otherwise(F.coalesce("_val_before", "_val_after"))
+    is_normal = (F.col(n) < length) | near.isNull()
+    return out.withColumn("normal", is_normal.cast("int")).drop(*[f"_{s}_{side}" for s in parts for side in ("before", "after")])
 
 
 def normal_rows(df: DataFrame, keys: Sequence[str], length: int, **names) -> DataFrame:

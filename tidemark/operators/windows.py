@@ -1,7 +1,7 @@
 """Fixed-length windows over ordered rows.
 
-A window set is one row per window: keys, `start_idx`, one array column per channel, and optionally `labels`. Arrays are
-cut from rows by one bounded frame, so rows move once whatever the overlap.
+A window set is one row per window: keys, `start_idx`, one array column per channel, and optionally `labels`. Rows are packed in
+blocks once and windows are slices of blocks, so rows move once whatever the overlap.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from tidemark.functions.ordered import SPAN, Running, bucket_by_value, exact_qua
 from tidemark.sources.stage import stage
 
 
+BLOCK = 512  # positions of a block that windows are cut from, or twice the window if that is more
+
+
 def mark_starts(rows: DataFrame, starts: DataFrame, keys: Sequence[str], idx: str = "idx", name: str = "is_start") -> DataFrame:
     """Add a boolean column: the row is one of `starts` (keys, idx). A null key meets a null key."""
     marks = starts.select(null_safe([*keys, idx]).alias("_k")).distinct().withColumn("_mark", F.lit(True))
@@ -38,8 +41,10 @@ def slide_windows(
 ) -> DataFrame:
     """Windows `[s, s + length)` at rows where `start` holds; incomplete ones are dropped.
 
+    Rows are packed in blocks of positions with the first rows of the next block; a window is a slice of a block. So rows are copied
+    little whatever the overlap, and the other work follows the number of windows. `span` bounds the positions of a block.
     With `stride` windows start at its multiples, and `start` may restrict them further. Each row is then copied to the windows
-    that hold it, `ceil((length + ahead) / stride)` at most, instead of a frame around every row; use it for wide strides.
+    that hold it, `ceil((length + ahead) / stride)` at most; use it for wide strides.
     With `label` the set gets `labels` (NULLs when the column does not exist). With `ahead` the next `ahead` rows become
     `y_<channel>` and windows without a complete target are dropped.
     """
@@ -50,13 +55,10 @@ def slide_windows(
         *dict.fromkeys([*keys, idx, *fields, *([label] if known else []), *carry]),
         (F.lit(True) if start is None else start).alias("_start"),
     )
-    frames = {"_w": (F.collect_list(item), 0, length - 1)}
-    if ahead:
-        frames["_y"] = (F.collect_list(item), length, length + ahead - 1)
     if stride:
         out = _grouped(kept, keys, idx, item, length, ahead, stride, carry)
     else:
-        out = framed(kept, keys, idx, frames, span)
+        out = _blocked(kept, keys, idx, item, length, ahead, min(span, max(BLOCK, 2 * (length + ahead))), carry)
     out = out.where(F.col("_start") & (F.size("_w") == length))
     if ahead:
         out = out.where(F.size("_y") == ahead)
@@ -70,6 +72,29 @@ def slide_windows(
     return out.select(*keys, F.col(idx).alias("start_idx"), *carry, *cols)
 
 
+def _blocked(
+    kept: DataFrame, keys: Sequence[str], idx: str, item: Column, length: int, ahead: int, size: int, carry: Sequence[str]
+) -> DataFrame:
+    """Slices of blocks of `size` positions at the marked rows: `_w`, `_y`, `_start` and `carry` of the first row."""
+    pos, reach = F.col(idx), length + ahead
+    first, own = F.floor((pos - F.lit(reach - 1)) / F.lit(size)).cast("long"), F.floor(pos / F.lit(size)).cast("long")
+    spread = kept.withColumn("_b", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), own)))
+    begins = F.coalesce(F.col("_start"), F.lit(False)) & (own == F.col("_b"))
+    cell = F.struct(pos.alias("i"), item.alias("v"), F.when(begins, F.struct(F.lit(True).alias("on"), *carry)).alias("s"))
+    blocks = spread.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(cell), lambda a, b: (a["i"] - b["i"]).cast("int")).alias("_a"))
+    starts = F.filter(F.transform("_a", lambda x, p: F.struct(p.alias("p"), x["i"].alias("i"), x["s"].alias("s"))), lambda x: x["s"].isNotNull())
+    each = blocks.where(F.exists("_a", lambda x: x["s"].isNotNull())).select(*keys, "_a", F.explode(starts).alias("_s"))
+
+    def held(low: int, count: int) -> Column:
+        """The rows of `count` positions from `low` after the start; fewer where positions are missing."""
+        part = F.slice("_a", F.col("_s.p") + (low + 1), F.lit(count))
+        inside = lambda x: (x["i"] >= F.col("_s.i") + low) & (x["i"] < F.col("_s.i") + (low + count))
+        return F.transform(F.filter(part, inside), lambda x: x["v"])
+
+    marks = [F.col(f"_s.s.{c}").alias(c) for c in carry]
+    return each.select(*keys, F.col("_s.i").alias(idx), F.lit(True).alias("_start"), *marks, held(0, length).alias("_w"), *([held(length, ahead).alias("_y")] if ahead else []))
+
+
 def _grouped(
     kept: DataFrame, keys: Sequence[str], idx: str, item: Column, length: int, ahead: int, stride: int, carry: Sequence[str]
 ) -> DataFrame:

@@ -94,7 +94,7 @@ _FRAMED = """SELECT *, count(*) OVER f AS c, max(is_anomaly) OVER f AS a FROM su
 
 @query("anomaly_window_starts", v.sql(f"SELECT series_id, idx AS start_idx FROM ({_FRAMED}) WHERE c = 16 AND a = 1", "su"))
 def anomaly_window_starts(spark, sf):
-    return split.anomaly_windows(v.series(spark, sf), v.KEY, v.L).select("series_id", "start_idx")
+    return split.anomaly_starts(v.series(spark, sf), v.KEY, v.L).select("series_id", "start_idx")
 
 
 @query("anomaly_window_labels", v.sql("""
@@ -127,6 +127,20 @@ def normal_rows(spark, sf):
     return split.normal_rows(v.split_long(spark, sf), v.KEY, v.L).select("idx", "split")
 
 
+@query("normal_rows_label_list", v.sql("""
+    SELECT idx, split FROM (
+      SELECT *, CASE WHEN split = 'train' THEN max(CASE WHEN split = 'train' THEN hit END) OVER w ELSE max(CASE WHEN split = 'val' THEN hit END) OVER w END AS near
+      FROM (SELECT *, CAST(value > 250 OR (event_type = 'error' AND k > 90) AS INTEGER) AS hit FROM sp)
+      WINDOW w AS (ORDER BY idx ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING))
+    WHERE coalesce(near, 0) = 0 OR n < 16""", "sp"))
+def normal_rows_label_list(spark, sf):
+    """Two label columns, either of which marks an anomaly; a list with a column that is not there marks none."""
+    rows = v.split_long(spark, sf).withColumn("fault", ((F.col("event_type") == "error") & (F.col("k") > 90)).cast("int"))
+    normal = split.normal_rows(rows, v.KEY, v.L, label=["is_anomaly", "fault"])
+    kept = split.mark_normal(normal.select("series_id", "idx", "split", "n", "is_anomaly"), v.KEY, v.L, label=["is_anomaly", "absent"])
+    return kept.where("normal = 1").select("idx", "split")
+
+
 @query("scaler_fit_rows", v.sql("SELECT round(value, 6) AS value, k, round(gap_s, 6) AS gap_s FROM nr WHERE split = 'train'", "nr"))
 def scaler_fit_rows(spark, sf):
     out = split.scaler_fit_rows(split.normal_rows(v.split_long(spark, sf), v.KEY, v.L), v.CH)

@@ -31,12 +31,10 @@ def slide_windows(spark, sf):
     WHERE reach = 15""", "nr"))
 def slide_windows_splits(spark, sf):
     """Every complete window inside a run of normal rows, for both splits in one pass."""
-    normal = split.normal_rows(v.split_long(spark, sf), v.KEY, v.L)
+    normal = stage(split.normal_rows(v.split_long(spark, sf), v.KEY, v.L), "normal")
     starts = split.run_stride(normal, ["series_id", "split"], v.L, 1 - 1 / v.L)
-    runs = starts.select("series_id", "split", "idx", "run_end", "value")
-    out = windows.slide_windows(
-        normal, ["series_id", "split"], ["value"], v.L, None, carry=()
-    ).join(runs.select("series_id", "split", F.col("idx").alias("start_idx")), ["series_id", "split", "start_idx"], "left_semi")
+    marked = windows.mark_starts(normal, starts, ["series_id", "split"])
+    out = windows.slide_windows(marked, ["series_id", "split"], ["value"], v.L, F.col("is_start"))
     total = F.aggregate("value", F.lit(0.0), lambda a, x: a + x)
     return out.select("split", "start_idx", r(total, 4).alias("total"))
 
