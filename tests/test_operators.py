@@ -1,14 +1,15 @@
 """Operators against brute force and by their properties, on small edge cases."""
 
-import math
+import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, detect, inject, joins, resample, runs, scale, score, split, windows
+from tidemark.operators import clean, detect, evaluate, inject, joins, resample, runs, scale, score, split, windows
 from tidemark.sources import keyvalue, store
 
 
@@ -632,3 +633,82 @@ def test_asof_and_interval_with_one_frequent_time(spark):
         assert back[s, i] == (before, 5) and fore[s, i] == (after, None if after is None else 1)
         close = t - before < 40 or (after is not None and after - t < 40)
         assert near.get((s, i)) == ((before, after) if close else None)
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 300, 5000])
+def test_sample_of_lowest_hashes(spark, k):
+    """The same rows as by ranking everything, with null ids and other columns."""
+    ids = [(None if i == 3 else i // 40, i) for i in range(900)]
+    df = spark.createDataFrame([(*x, [float(x[1])] * 3) for x in ids], "a int, b int, x array<double>")
+    digest = lambda x: hashlib.md5("|".join(["5", "pick", *[str(v) for v in x if v is not None]]).encode()).hexdigest()
+    order = sorted(ids, key=digest)[:k]
+    got = split.take_ranked(df, ["a", "b"], k, 5, "pick").collect()
+    assert sorted((r["rank"], r.a, r.b) for r in got) == [(i + 1, *x) for i, x in enumerate(order)]
+    assert all(r.x == [float(r.b)] * 3 for r in got)
+
+
+def test_evaluate(spark):
+    """Every field of the record against plain numbers, for both sources and levels; bad errors are named."""
+    draw = np.random.default_rng(6)
+    rows = lambda n, shift: [(i, p, float(draw.random() + shift), float(draw.random() * 3), int(p == 2)) for i in range(n) for p in range(4)]
+    bad, good = rows(6, 0.4), rows(20, 0.0)
+    schema = "id int, pos int, u double, w double, label int"
+    errors = spark.createDataFrame(bad, schema), spark.createDataFrame(good, schema).drop("label")
+    for level, source in (("step", "evaluation_set"), ("window", "validation")):
+        record, sampled = evaluate.evaluate(*errors, ["id"], ["u", "w"], source, ratio=1.5, level=level)
+        r, picked = record.first(), {x.id for x in sampled.collect()}
+        assert len(picked) == 9 == r.normal_windows and r.anomalous_windows == 6 and r.normals_from == source
+        normal = [x for x in good if x[0] in picked]
+        factors = [np.median([x[c] for x in normal]) for c in (2, 3)]
+        np.testing.assert_allclose([r.normalisation["u"], r.normalisation["w"]], factors)
+        for stats, part in ((r.normal_stats, normal), (r.anomaly_stats, bad)):
+            flat = np.array([x[c] for x in part for c in (2, 3)])
+            np.testing.assert_allclose([stats["mean"], stats["std"], stats["min"], stats["max"], stats["q05"], stats["median"]], [flat.mean(), flat.std(), flat.min(), flat.max(), np.quantile(flat, 0.05), np.median(flat)])
+            assert stats["count"] == len(flat)
+        scored = [(np.mean([x[2] / (factors[0] + 1e-5), x[3] / (factors[1] + 1e-5)]), y, (k, x[0])) for k, part in enumerate((normal, bad)) for x in part for y in [x[4] * k]]
+        if level == "window":
+            scored = [(np.mean([s for s, _, i in scored if i == w]), max(y for _, y, i in scored if i == w), w) for w in {i for *_, i in scored}]
+        pos, neg = [s for s, y, _ in scored if y], [s for s, y, _ in scored if not y]
+        assert r.p == len(pos) and r.n == len(neg)
+        assert r.roc_auc == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]))
+    with pytest.raises(ValueError):
+        evaluate.evaluate(*errors, ["id"], ["u", "w"], "elsewhere")
+    with pytest.raises(ValueError, match="no normal window"):
+        evaluate.evaluate(errors[0], errors[1].limit(0), ["id"], ["u", "w"])
+    with pytest.raises(Exception, match="error of w is missing"):
+        evaluate.evaluate(errors[0].withColumn("w", F.when(F.col("pos") > 0, F.col("w"))), errors[1], ["id"], ["u", "w"])
+
+
+@pytest.mark.parametrize("patience", [1, 3, 6])
+def test_early_stop_over_many_levels(spark, monkeypatch, patience):
+    """Maps of small buckets, composed two at a time, against the plain loop."""
+    monkeypatch.setattr(runs, "FAN", 2)
+    draw = random.Random(patience)
+    values = {r: [10 - 0.2 * i + draw.random() * r for i in range(n)] for r, n in ((1, 70), (2, 55), (6, 90), (9, 3), (30, 40))}
+    df = spark.createDataFrame([(r, i, v) for r, vs in values.items() for i, v in enumerate(vs)], "run_id int, idx long, loss double")
+    got = {r.run_id: r.stop_idx for r in runs.early_stop_epoch(df, "loss", patience, 0.1, span=4).collect()}
+    for r, vs in values.items():
+        best, waited, stop = vs[0], 0, None
+        for i, v in enumerate(vs[1:], 1):
+            best, waited = (v, 0) if best - v > 0.1 else (best, waited + 1)
+            if waited >= patience:
+                stop = i
+                break
+        assert got[r] == stop
+
+
+def test_running_totals_in_two_levels(spark, monkeypatch):
+    """Running values over many groups of buckets, both ways, with negative bucket numbers and a null key."""
+    from tidemark.functions import ordered
+
+    monkeypatch.setattr(ordered, "GROUP", 3)
+    draw = random.Random(2)
+    data = [(k, i, draw.randrange(50)) for k in (None, 1) for i in range(200)]
+    df = spark.createDataFrame(data, "k int, i long, x long").withColumn("_b", F.floor((F.col("i") - 100) / 4).cast("long"))
+    out = ordered.running(df, ["k"], [F.col("i")], {
+        "up": ordered.Running("sum", F.col("x"), exclusive=True), "low": ordered.Running("min", F.col("x")), "left": ordered.Running("max", F.col("x"), backward=True),
+    }, {"all": ("sum", F.col("x")), "n": ("count", F.lit(1))}).collect()
+    assert len(out) == 400
+    for r in out:
+        xs = [x for k, _, x in data if k == r.k]
+        assert (r.up, r.low, r.left, r["all"], r.n) == (sum(xs[: r.i]), min(xs[: r.i + 1]), max(xs[r.i :]), sum(xs), 200)

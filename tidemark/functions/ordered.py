@@ -24,6 +24,7 @@ from tidemark.session import shuffle_width
 from tidemark.sources.stage import stage
 
 SAMPLE_PER_BUCKET = 64
+GROUP = 1 << 12  # bucket numbers whose totals are ordered in one piece
 SPAN = 1 << 14  # positions per bucket: halos stay under a percent, bucket totals stay few
 
 
@@ -158,8 +159,9 @@ def running(
     """Running aggregates of each key in `order`, and aggregates over the whole key (`totals`), exact over all buckets.
 
     `order` is ascending and `bucket` must follow it. Rows move once, by (key, bucket); the table of earlier totals has
-    one row per (key, bucket). Backward aggregates run over the reversed order, since a frame that reaches from the
-    current row to the end is recomputed for every row. `bucket` is dropped from the result.
+    one row per (key, bucket), and is summed up in groups of `GROUP` buckets and over the groups, so no task orders all of a
+    key's. Backward aggregates run over the reversed order, since a frame that reaches from the current row to the end is
+    recomputed for every row. `bucket` is dropped from the result.
     """
     totals = totals or {}
     columns = [c for c in df.columns if c != bucket]
@@ -168,19 +170,26 @@ def running(
         *[_AGG[s.agg](s.value).alias(f"_p_{n}") for n, s in specs.items()],
         *[_AGG[a](v).alias(f"_t_{n}") for n, (a, v) in totals.items()],
     )
-    before = Window.partitionBy("_k").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("_k").orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_k")
     again = {"count": F.sum}
-    offsets = per_bucket.select(
-        "_k",
-        bucket,
-        *[
-            again.get(s.agg, _AGG[s.agg])(f"_p_{n}").over(after if s.backward else before).alias(f"_o_{n}")
-            for n, s in specs.items()
-        ],
+    per_bucket = per_bucket.withColumn("_s", F.floor(F.col(bucket) / F.lit(GROUP)).cast("long"))
+    per_group = per_bucket.groupBy("_k", "_s").agg(
+        *[again.get(s.agg, _AGG[s.agg])(f"_p_{n}").alias(f"_p_{n}") for n, s in specs.items()],
+        *[again.get(a, _AGG[a])(f"_t_{n}").alias(f"_t_{n}") for n, (a, _) in totals.items()],
+    )
+
+    def earlier(parts: list[str], by: str, s: Running, n: str) -> Column:
+        order = F.col(by).desc() if s.backward else F.col(by).asc()
+        return again.get(s.agg, _AGG[s.agg])(f"_p_{n}").over(Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+    whole = Window.partitionBy("_k")
+    groups = per_group.select(
+        "_k", "_s", *[earlier(["_k"], "_s", s, n).alias(f"_g_{n}") for n, s in specs.items()],
         *[again.get(a, _AGG[a])(f"_t_{n}").over(whole).alias(n) for n, (a, _) in totals.items()],
     )
+    inside = per_bucket.select("_k", "_s", bucket, *[earlier(["_k", "_s"], bucket, s, n).alias(f"_i_{n}") for n, s in specs.items()])
+    offsets = inside.join(groups, ["_k", "_s"]).select(
+        "_k", bucket, *[_merge(s.agg, F.col(f"_g_{n}"), F.col(f"_i_{n}")).alias(f"_o_{n}") for n, s in specs.items()], *totals
+    )
 
     def local(s: Running) -> Column:
         way = [c.desc() if s.backward else c.asc() for c in order]

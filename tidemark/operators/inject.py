@@ -130,7 +130,7 @@ def known_types(types: Sequence[str], on_unknown: str = "error") -> list[str]:
 def pick_windows(windows: DataFrame, ids: Sequence[str], ratio: float, seed: int = 123) -> DataFrame:
     """`int(N * ratio)` windows without replacement; `rank` is the choice order."""
     k = (F.col("rank_n").cast("double") * F.lit(float(ratio))).cast("long")
-    return take_ranked(windows, ids, k, seed, "pick").drop("rank_n")
+    return take_ranked(windows, ids, k, seed, "pick")
 
 
 def pick_type_channel(

@@ -120,8 +120,8 @@ def sample_pairs(
 
     Each comes with its original and corrupted channel and the clean previous and next channel in channel order.
     """
-    k = F.least((F.col(total).cast("double") * F.lit(float(share))).cast("long"), F.lit(limit).cast("long"))
-    chosen = take_ranked(pairs.where(has_anomaly("labels")), ids, k, seed, "sample")
+    n = pairs.agg(F.max(total).alias("n")).first()["n"] or 0
+    chosen = take_ranked(pairs.where(has_anomaly("labels")), ids, min(int(n * float(share)), limit), seed, "sample")
     order = list(channels)
 
     def neighbour(step: int):

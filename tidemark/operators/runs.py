@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import SPAN, Running, bucket_by_index, exact_quantiles, framed, running
 from tidemark.operators.score import elementwise_error, metrics_record
+from tidemark.sources.stage import stage
 
 # fixed values: direction of each metric, looked up by the metric's name
 METRIC_MODES = {
@@ -24,6 +25,7 @@ METRIC_MODES = {
     "mae": "min",
     "mse": "min",
 }
+FAN = 64  # maps of neighbouring buckets that are composed into one at a time
 # fixed values: metrics in order of preference
 PREFERRED_METRICS = ["val_loss", "val_roc_auc", "val_f1_score", "val_tpr", "val_fpr"]
 
@@ -231,7 +233,8 @@ def early_stop_epoch(
     A value that is not a number improves nothing; a run whose first value is none never improves. The best only moves on such an
     improvement, so each row points to the first row among the next `patience` ones that
     beats it, and the bests of a run are the chain of pointers from its first row. A chain enters a bucket on one of its
-    first `patience` rows: each bucket is reduced to (entry -> exit), and a run's buckets are then followed in order.
+    first `patience` rows: each bucket is reduced to (entry -> exit). Such maps compose, so `FAN` of them in a row become one, level by
+    level, until a run has one map; no row grows with the run.
     """
     cost = F.col(metric) if mode == "min" else -F.col(metric)
     base = runs.select(run, idx, cost.cast("double").alias("v"))
@@ -259,11 +262,19 @@ def early_stop_epoch(
     first = F.col("_b") * F.lit(width)
     exits = F.map_from_entries(F.transform(entries, lambda e: F.struct((first + e).alias("entry"), walk(first + e).alias("exit"))))
     reduced = packed.select(run, "_b", exits.alias("exits"))
-    hops = reduced.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("_b", F.map_entries("exits").alias("exits")))).alias("hops"))
 
     def hop(acc: Column, bucket: Column) -> Column:
         found = F.get(F.filter(bucket["exits"], lambda e: e["key"] == acc["at"]), F.lit(0))
         return F.when(found.isNotNull(), found["value"]).otherwise(acc)
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("stop")).cast(state)
-    return hops.select(run, F.aggregate("hops", start, hop)["stop"].alias("stop_idx"))
+    level = stage(reduced, "exits")
+    last = level.agg(F.max("_b")).first()[0] or 0
+    while last > 0:
+        last //= FAN
+        hops = level.groupBy(run, F.floor(F.col("_b") / FAN).cast("long").alias("_b")).agg(
+            F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"), F.map_entries("exits").alias("exits")))).alias("hops")
+        )
+        through = lambda e: F.aggregate("hops", F.struct(e["key"].alias("at"), none.alias("stop")).cast(state), hop)
+        level = hops.select(run, "_b", F.map_from_entries(F.transform(F.get("hops", F.lit(0))["exits"], lambda e: F.struct(e["key"].alias("entry"), through(e).alias("exit")))).alias("exits"))
+    start = F.element_at("exits", F.lit(0).cast("bigint"))
+    return level.select(run, start["stop"].alias("stop_idx"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, detect, inject, scale, score, split, windows
+from tidemark.operators import clean, detect, evaluate, inject, scale, score, split, windows
 from tidemark.plans import views as v
 from tidemark.plans.registry import query, r
 from tidemark.sources.stage import stage
@@ -254,6 +254,74 @@ def metrics_record(spark, sf):
     return out.withColumns({c: r(c) for c in ("roc_auc", "threshold", "tpr", "fpr", "precision", "recall", "f1")})
 
 
+_STATS = ("count", "mean", "std", "min", "max", *score.DISTRIBUTION_PROBS)
+
+
+def _evaluation_sql(normals: str, level: str, source: str) -> str:
+    """The whole record: corrupted windows against a sample of the clean windows that `normals` admits."""
+    errs = ", ".join(f"abs(m.{c} - w.{c}) AS {c}" for c in _CHS)
+    agg = ", ".join(["count(err) AS count", "avg(err) AS mean", "stddev_pop(err) AS std", "min(err) AS min", "max(err) AS max", *[f"quantile_cont(err, {p}) AS {n}" for n, p in score.DISTRIBUTION_PROBS.items()]])
+    melted = " UNION ALL ".join(f"SELECT anomalous, {c} AS err FROM b" for c in _CHS)
+    total = " + ".join(f"{c} / (f_{c} + 0.00001::DOUBLE)" for c in _CHS)
+    steps = f"SELECT series_id, start_idx, anomalous, ({total}) / 3 AS score, label FROM b, f"
+    if level == "window":
+        steps = f"SELECT avg(score) AS score, max(label) AS label FROM ({steps}) GROUP BY series_id, start_idx, anomalous"
+    shown = ", ".join(f"round(max({s}) FILTER (anomalous = {a}), 5) AS {p}_{s}" if s != "count" else f"max({s}) FILTER (anomalous = {a}) AS {p}_{s}" for a, p in ((0, "normal"), (1, "anomaly")) for s in _STATS)
+    return f"""
+    SELECT * FROM (WITH
+      a AS (SELECT *, 1 AS anomalous FROM (SELECT series_id, start_idx, pos, {", ".join(_CHS)}, label, max(label) OVER (PARTITION BY series_id, start_idx) AS hit FROM pe) WHERE hit = 1),
+      k AS (
+        SELECT series_id, start_idx FROM (
+          SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '123', 'normals', series_id::VARCHAR, start_idx::VARCHAR)), series_id, start_idx) AS rk
+          FROM (SELECT DISTINCT series_id, start_idx FROM wz WHERE {normals}))
+        WHERE rk <= (SELECT trunc(count(*) * 0.7::DOUBLE) FROM (SELECT DISTINCT series_id, start_idx FROM a))),
+      b AS (
+        SELECT series_id, start_idx, pos, {", ".join(_CHS)}, label, anomalous FROM a UNION ALL
+        SELECT w.series_id, w.start_idx, w.pos, {errs}, 0, 0 FROM wz w JOIN rm m USING (pos) JOIN k USING (series_id, start_idx)),
+      f AS (SELECT {", ".join(f"quantile_cont({c}, 0.5) AS f_{c}" for c in _CHS)} FROM b WHERE anomalous = 0),
+      t AS (SELECT anomalous, {agg} FROM ({melted}) GROUP BY anomalous),
+      c AS (
+        SELECT score, sum(pos1) OVER d AS tp, sum(neg1) OVER d AS fp, pos1, neg1, sum(pos1) OVER () AS p, sum(neg1) OVER () AS n FROM (
+          SELECT score, count(*) FILTER (label = 1) AS pos1, count(*) FILTER (label = 0) AS neg1 FROM ({steps}) GROUP BY score) WINDOW d AS (ORDER BY score DESC)),
+      r AS (
+        SELECT sum(neg1 * (tp - pos1 + pos1 / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)) AS roc_auc, arg_max(score, (tp / p - fp / n, score)) AS threshold,
+               arg_max(tp / p, (tp / p - fp / n, score)) AS tpr, arg_max(fp / n, (tp / p - fp / n, score)) AS fpr, max(p) AS p, max(n) AS n FROM c)
+    SELECT round(roc_auc, 6) AS roc_auc, round(threshold, 5) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr,
+           round(tpr * p / (tpr * p + fpr * n + 1e-12::DOUBLE), 6) AS precision, round(tpr, 6) AS recall,
+           round(2 * tpr * (tpr * p / (tpr * p + fpr * n + 1e-12::DOUBLE)) / (tpr * p / (tpr * p + fpr * n + 1e-12::DOUBLE) + tpr + 1e-12::DOUBLE), 6) AS f1,
+           CAST(p AS BIGINT) AS p, CAST(n AS BIGINT) AS n, '{source}' AS normals_from, {", ".join(f"round(f_{c}, 6) AS factor_{c}" for c in _CHS)},
+           (SELECT count(*) FROM k) AS normal_windows, (SELECT count(*) FROM (SELECT DISTINCT series_id, start_idx FROM a)) AS anomalous_windows, s.*
+    FROM r, f, (SELECT {shown} FROM t) s)"""
+
+
+def _evaluated(spark, sf, keep, level, source):
+    """Clean windows, injection, a detector fitted on the clean ones, and the record over both."""
+    good = v.scaled_windows(spark, sf).drop("labels")
+    fitted = detect.recon_mean_fit(good, v.CH)
+    bad = inject.really_changed(v.corrupted_windows(spark, sf, list(v.MIXED), clean_windows=good))
+    errors = score.window_errors(detect.recon_mean(bad, fitted, v.CH), v.WIN, v.CH)
+    clean_errors = score.window_errors(detect.recon_mean(good.where(keep), fitted, v.CH), v.WIN, v.CH, labels=None)
+    record, _ = evaluate.evaluate(errors, clean_errors, v.WIN, v.CH, source, ratio=0.7, level=level)
+    numbers = [r(c, 5 if c == "threshold" else 6).alias(c) for c in ("roc_auc", "threshold", "tpr", "fpr", "precision", "recall", "f1")]
+    stats = [(F.col(f"{p}_stats")[s] if s == "count" else r(F.col(f"{p}_stats")[s], 5)).alias(f"{p}_{s}") for p in ("normal", "anomaly") for s in _STATS]
+    factors = [r(F.col("normalisation")[c]).alias(f"factor_{c}") for c in v.CH]
+    return record.select(*numbers, "p", "n", "normals_from", *factors, "normal_windows", "anomalous_windows", *stats)
+
+
+_CHS = ("value", "k", "gap_s")
+
+
+@query("evaluate_corrupted", v.sql(_evaluation_sql("true", "step", "evaluation_set"), "pe", "rm", "wz"))
+def evaluate_corrupted(spark, sf):
+    return _evaluated(spark, sf, F.lit(True), "step", "evaluation_set")
+
+
+@query("metrics_record_external", v.sql(_evaluation_sql("start_idx % 32 = 0", "window", "validation"), "pe", "rm", "wz"))
+def metrics_record_external(spark, sf):
+    """Normal errors from outside the evaluation set, here every other clean window; scores by window."""
+    return _evaluated(spark, sf, F.col("start_idx") % 32 == 0, "window", "validation")
+
+
 def flagship(spark, sf):
     """One long series: split, fit on clean training rows, score every validation step, judge the flag."""
     rows = stage(split.mark_normal(v.split_long(spark, sf), v.KEY, v.L), "split")
@@ -274,7 +342,6 @@ def flagship(spark, sf):
     return out.withColumns({c: r(c) for c in ("roc_auc", "threshold", "tpr", "fpr", "precision", "recall", "f1")})
 
 
-_CHS = ("value", "k", "gap_s")
 query("flagship", v.sql(f"""
     SELECT round(auc, 6) AS roc_auc, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(prec, 6) AS precision,
            round(tpr, 6) AS recall, round(2 * (prec * tpr) / (prec + tpr + 1e-12::DOUBLE), 6) AS f1, CAST(p AS BIGINT) AS p, CAST(n AS BIGINT) AS n,
