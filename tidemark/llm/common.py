@@ -25,18 +25,22 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def with_share(df: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+def with_share(df: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000, inner: bool = False) -> DataFrame:
     """Left join of `df` with `right`, whose rows are unique by `keys` and say in `weight` how many rows of `df` meet them.
 
     Keys that hold at least one in `share` of `total` rows are joined by broadcast, so no task receives a hot key. There are
     `share` such keys at most, whatever the size of the data, as their weights add up to `total` at most. The other keys are
-    joined by shuffle. Neither side may have null keys.
+    joined by shuffle. With `inner`, rows of `df` that meet none go. Neither side may have null keys.
     """
     floor = max(1, math.ceil(total / share))
     values = [c for c in right.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in values])
     hot = right.where(F.col(weight) >= floor).select(*keys, packed.alias("__hot"))
     cold = right.where(F.col(weight) < floor).select(*keys, packed.alias("__cold"))
+    if inner:
+        met = df.join(F.broadcast(hot), keys).select(*df.columns, F.col("__hot").alias("__v"))
+        rest = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys).select(*df.columns, F.col("__cold").alias("__v"))
+        return met.unionByName(rest).select(*df.columns, *[F.col("__v")[c].alias(c) for c in values])
     left = df.join(F.broadcast(hot), keys, "left")
     met = left.where(F.col("__hot").isNotNull()).select(*df.columns, F.col("__hot").alias("__v"))
     rest = left.where(F.col("__hot").isNull()).drop("__hot").join(cold, keys, "left").select(*df.columns, F.col("__cold").alias("__v"))

@@ -335,7 +335,7 @@ def near_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
     banded = rows.where("mark IS NOT NULL").select("cid", F.explode("bands").alias("key")).distinct()
     places = stage(banded, "places")
     buckets = places.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    shared = stage(with_share(places, buckets, ["key"], "uses", places.count()).where("uses IS NOT NULL"), "shared")
+    shared = stage(with_share(places, buckets, ["key"], "uses", places.count(), inner=True), "shared")
     release(places)
     total = shared.count()
     if not total:
