@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,17 @@ def release(*tables: DataFrame) -> None:
                 own.remove(path)
 
 
+def stage_result(spark: SparkSession, build: Callable[[], DataFrame], name: str = "stage") -> DataFrame:
+    """`stage` of what `build` returns, after which the tables that `build` staged on its way are released."""
+    before = set(_STAGED.get(spark.sparkContext.applicationId, []))
+    out = stage(build(), name)
+    own = _STAGED[spark.sparkContext.applicationId]
+    for path in [p for p in own[:-1] if p not in before]:
+        _delete(spark, path)
+        own.remove(path)
+    return out
+
+
 def clear_stages(spark: SparkSession) -> int:
     """Delete everything under paths from `fresh_path` in this application; call it when no result that reads those tables is needed any more."""
     paths = _STAGED.pop(spark.sparkContext.applicationId, [])
