@@ -244,3 +244,21 @@ def test_page_blocks_survive_broken_markup():
     for page in ("<p", "<<<>", "</p></div>", "<p>a<!-- ", "<script>x", "&#xZZ; &am", "<li>a<li>b<ul><li>c</ul>d", "<a href='>x", "<table><tr><td>1<td>2<tr><td>3"):
         html_text.blocks(page)
     assert [b.text for b in html_text.blocks("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>1<td>2<tr><td>3</table>")] == ["a", "b", "c", "1", "2", "3"]
+
+
+def test_html_deep_and_late_cues():
+    """Open tags that are never closed cost their number, not its square, and cues are looked for in whole blocks."""
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        seq = html_text.blocks("<div><p>" * n + "a text" + "</span></li></p>" * n)
+        assert len(seq) == 1 and seq[0].path == {"html", "div", "p"}
+        return time.process_time() - start
+
+    seconds(2000)
+    assert seconds(32_000) < 40 * max(seconds(2000), 0.02)
+    late = " ".join(["word"] * 60) + " Copyright 2024 all rights reserved"
+    cues = [x for x in html_text.features(html_text.blocks(f"<p>{late}</p>"))[0] if x.startswith("cue=")]
+    early = [x for x in html_text.features(html_text.blocks("<p>Copyright 2024 all rights reserved</p>"))[0] if x.startswith("cue=")]
+    assert cues and set(cues) == set(early)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -66,7 +67,7 @@ MAIN, OTHER = 1, 0
 class Block:
     text: str
     tag: str
-    path: tuple[str, ...]
+    path: frozenset[str]  # tags of the element and its ancestors
     roles: frozenset[str]
     near: frozenset[str]  # what the innermost element that says anything says
     link: float  # share of its characters inside links
@@ -75,9 +76,18 @@ class Block:
 
 @dataclass
 class Node:
+    """An open element with what it and its ancestors say, so that a block need not look through all of them."""
+
     tag: str
-    roles: frozenset[str] = frozenset()
-    mark: str | None = None
+    roles: frozenset[str] = frozenset()  # of the element and its ancestors
+    mark: str | None = None  # the innermost label
+    near: frozenset[str] = frozenset()  # of the innermost element that says anything
+    path: frozenset[str] = frozenset({"html"})
+
+    def inside(self, tag: str, roles: frozenset[str], mark: str | None) -> Node:
+        """An element opened in this one."""
+        own = roles | ({tag} & SAYING)
+        return Node(tag, self.roles | roles if roles else self.roles, mark or self.mark, own or self.near, self.path if tag in self.path else self.path | {tag})
 
 
 def attributes(raw: str) -> tuple[frozenset[str], str | None]:
@@ -100,16 +110,20 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     size = linked = 0
     in_link, at, n = 0, 0, len(page)
+    opened: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
 
     def flush() -> None:
         nonlocal size, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                marks = [x.mark for x in stack if x.mark]
-                roles = frozenset().union(*(x.roles for x in stack))
-                near = next((x.roles | ({x.tag} & SAYING) for x in reversed(stack) if x.roles or x.tag in SAYING), frozenset())
-                out.append(Block(text, stack[-1].tag, tuple(x.tag for x in stack), roles, near, linked / max(1, size), marks[-1] if marks else None))
+                held = stack[-1]
+                out.append(Block(text, held.tag, held.path, held.roles, held.near, linked / max(1, size), held.mark))
             parts.clear()
         size = linked = 0
 
@@ -142,24 +156,26 @@ def blocks(page: str | None) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        close(i)
                         break
                     if tag in SIBLINGS and stack[i].tag in SCOPES:
                         break
             else:
                 if tag in CLOSES_P and stack[-1].tag == "p":
-                    stack.pop()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in SIBLINGS.get(tag, ()):
-                        del stack[i:]
+                    close(len(stack) - 1)
+                ends = SIBLINGS.get(tag, ())
+                for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
+                    if stack[i].tag in ends:
+                        close(i)
                         break
                     if stack[i].tag in SCOPES:
                         break
                 roles, mark = attributes(m[3])
                 if tag not in VOID:
-                    stack.append(Node(tag, roles, mark))
+                    stack.append(stack[-1].inside(tag, roles, mark))
+                    opened[tag] += 1
                     in_link = 0
     flush()
     return out
@@ -170,13 +186,13 @@ def features(seq: list[Block]) -> list[list[str]]:
     rows = []
     for i, b in enumerate(seq):
         words = b.text.count(" ") + 1
-        own = [f"tag={b.tag}", *(f"in={t}" for t in set(b.path)), *(f"role={r}" for r in b.roles), *(f"near={r}" for r in b.near)]
+        own = [f"tag={b.tag}", *(f"in={t}" for t in b.path), *(f"role={r}" for r in b.roles), *(f"near={r}" for r in b.near)]
         own.append(f"words={min(6, words.bit_length())}")
         own.append(f"link={0 if b.link == 0 else 1 if b.link < 0.34 else 2 if b.link < 0.8 else 3}")
         own.append("ends" if b.text[-1] in ".!?…:;”\"»" else "open")
-        own += [f"cue={k}" for k, p in CUE.items() if p.search(b.text if words < 40 else b.text[:80])]
+        own += [f"cue={k}" for k, p in CUE.items() if p.search(b.text)]
         own += [f"short+cue={k}" for k, p in CUE.items() if words < 25 and p.search(b.text)]
-        if not any(r in b.roles for r in ROLES) and not set(b.path) & {"nav", "header", "footer", "aside", "form", "article", "main"}:
+        if not any(r in b.roles for r in ROLES) and not b.path & {"nav", "header", "footer", "aside", "form", "article", "main"}:
             own.append("plain")
             own.append(f"plain+words={min(6, words.bit_length())}")
         if i == 0:
