@@ -712,3 +712,20 @@ def test_running_totals_in_two_levels(spark, monkeypatch):
     for r in out:
         xs = [x for k, _, x in data if k == r.k]
         assert (r.up, r.low, r.left, r["all"], r.n) == (sum(xs[: r.i]), min(xs[: r.i + 1]), max(xs[r.i :]), sum(xs), 200)
+
+
+def test_overlapping_windows_are_slices_of_blocks(spark, monkeypatch):
+    """Where windows overlap, no row is copied to each of them."""
+    monkeypatch.setattr(windows, "_grouped", lambda *args: pytest.fail("rows are gathered by window"))
+    rows = rows_of(spark, range(2000)).withColumn("at", F.col("idx"))
+    out = windows.slide_windows(rows, ["s"], ["x"], 16, label="is_anomaly", stride=3, carry=["at"])
+    assert out.count() == 662 and out.where("start_idx <> at OR start_idx % 3 <> 0 OR size(x) <> 16 OR x[0] <> start_idx").isEmpty()
+
+
+def test_samples_order_only_what_the_count_asks_for(spark, monkeypatch):
+    """Little more rows are ordered than the sample holds."""
+    seen, rank = [], split.digest_rank
+    monkeypatch.setattr(split, "digest_rank", lambda df, *args, **named: (seen.append(df.count()), rank(df, *args, **named))[1])
+    df = spark.range(20_000).withColumn("label", (F.col("id") % 100 == 0).cast("int"))
+    assert split.sample_normals(df.where("label = 0"), df.where("label = 1"), ["id"], 1.5).count() == 300
+    assert len(seen) == 1 and max(seen) < 700

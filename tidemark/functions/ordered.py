@@ -115,10 +115,14 @@ def bucket_by_index(df: DataFrame, idx: str, span: int = SPAN, name: str = "_b")
     return df.withColumn(name, F.floor(F.col(idx) / F.lit(span)).cast("long"))
 
 
-def bucket_by_digest(df: DataFrame, hexdigest: str, buckets: int | None = None, name: str = "_b") -> DataFrame:
-    """Bucket of a hex digest in text order; digests are uniform, so equal width gives equal counts."""
+def bucket_by_digest(df: DataFrame, hexdigest: str, buckets: int | None = None, name: str = "_b", below: Column | int = 1 << 32) -> DataFrame:
+    """Bucket of a hex digest in text order; digests are uniform, so equal width gives equal counts.
+
+    Where only digests with a head under `below` are left, the buckets part that stretch.
+    """
     buckets = buckets or shuffle_width(df.sparkSession)
-    return df.withColumn(name, F.floor(hashing.head32(F.col(hexdigest)) * F.lit(buckets) / F.lit(4294967296.0)).cast("long"))
+    top = F.lit(below) if isinstance(below, int) else below
+    return df.withColumn(name, F.floor(hashing.head32(F.col(hexdigest)) * F.lit(buckets) / top.cast("double")).cast("long"))
 
 
 # ---------------------------------------------------------------- running aggregates
@@ -205,9 +209,11 @@ def running(
     )
 
 
-def digest_rank(df: DataFrame, keys: Sequence[str], hexdigest: Column, ids: Sequence[str], name: str = "rank") -> DataFrame:
+def digest_rank(
+    df: DataFrame, keys: Sequence[str], hexdigest: Column, ids: Sequence[str], name: str = "rank", below: Column | int = 1 << 32
+) -> DataFrame:
     """1-based rank of the rows of each key in the random order of `hexdigest`; also the key's row count `<name>_n`."""
-    hashed = bucket_by_digest(df.withColumn("_d", hexdigest), "_d")
+    hashed = bucket_by_digest(df.withColumn("_d", hexdigest), "_d", below=below)
     ranked = running(
         hashed,
         keys,

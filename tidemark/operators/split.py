@@ -310,26 +310,34 @@ def set_union(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     return a.select(*on).union(b.select(*on)).distinct()
 
 
+def _hash_cut(k: int, n: int) -> int:
+    """Under this head of a digest lie `k` of `n` rows and some to spare, but for a few in 10^9 cases."""
+    return int(min(1.0, (k + 6 * k**0.5 + 20) / max(1, n)) * 2**32)
+
+
 def take_ranked(df: DataFrame, ids: Sequence[str], k: Column | int, seed: int, purpose: str) -> DataFrame:
     """Seeded sample without replacement: the first `k` rows in random order, with `rank`; `k` may use `rank_n`, the row count.
 
     Only ids are ordered, and only those whose hash is below a cut: from the count it is set where about `k` rows lie below it and some
-    to spare, and raised until `k` do. Rows with their other columns meet the chosen ids afterwards; rows that share ids go together.
+    to spare, and raised until `k` do. Of the rows with their other columns, too, only those below the cut meet the chosen ids; rows
+    that share ids go together.
     """
     spark = df.sparkSession
-    hashed = stage(df.select(*ids).withColumn("_d", hashing.digest(seed, purpose, *ids)), "ids")
-    n = hashed.count()
+    digest = hashing.digest(seed, purpose, *ids)
+    known = stage(df.select(*ids), "ids")
+    n = known.count()
     wanted = k if isinstance(k, int) else spark.range(1).select(F.lit(n).cast("long").alias("rank_n")).select(k.cast("long").alias("k")).first()["k"]
     wanted = max(0, min(wanted or 0, n))
-    share = min(1.0, (wanted + 6 * wanted**0.5 + 20) / max(1, n))
+    cut = _hash_cut(wanted, n)
     while True:
-        low = hashed.where(hashing.head32(F.col("_d")) < F.lit(int(share * 2**32)))
-        if share >= 1 or low.count() >= wanted:
+        below = hashing.head32(digest) < F.lit(cut)
+        low = known.where(below)
+        if cut >= 2**32 or low.count() >= wanted:
             break
-        share = min(1.0, 2 * share)
-    ranked = digest_rank(low, [], F.col("_d"), ids).where(F.col("rank") <= wanted)
+        cut = min(2**32, 2 * cut)
+    ranked = digest_rank(low, [], digest, ids, below=cut).where(F.col("rank") <= wanted)
     chosen = ranked.groupBy(null_safe(ids).alias("_k")).agg(F.min("rank").alias("rank"))
-    return df.withColumn("_k", null_safe(ids)).join(chosen, "_k").drop("_k")
+    return df.where(below).withColumn("_k", null_safe(ids)).join(chosen, "_k").drop("_k")
 
 
 def balance_ratio(
@@ -364,5 +372,5 @@ def sample_normals(
     normals: DataFrame, anomalies: DataFrame, ids: Sequence[str], ratio: float = 1.0, seed: int = 42
 ) -> DataFrame:
     """Seeded sample of `min(int(N_anomalous * ratio), N_normal)` normal windows."""
-    wanted = anomalies.select((F.count(F.lit(1)) * F.lit(float(ratio))).cast("long").alias("k")).scalar()
+    wanted = int(anomalies.count() * float(ratio))
     return take_ranked(normals, ids, wanted, seed, "normals").drop("rank")

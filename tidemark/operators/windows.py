@@ -43,8 +43,8 @@ def slide_windows(
 
     Rows are packed in blocks of positions with the first rows of the next block; a window is a slice of a block. So rows are copied
     little whatever the overlap, and the other work follows the number of windows. `span` bounds the positions of a block.
-    With `stride` windows start at its multiples, and `start` may restrict them further. Each row is then copied to the windows
-    that hold it, `ceil((length + ahead) / stride)` at most; use it for wide strides.
+    With `stride` windows start at its multiples, and `start` may restrict them further. Where they do not overlap, rows are gathered
+    by the one window that holds them; where they do, windows are slices of blocks, too, so no row is copied to each of its windows.
     With `label` the set gets `labels` (NULLs when the column does not exist). With `ahead` the next `ahead` rows become
     `y_<channel>` and windows without a complete target are dropped.
     """
@@ -55,7 +55,9 @@ def slide_windows(
         *dict.fromkeys([*keys, idx, *fields, *([label] if known else []), *carry]),
         (F.lit(True) if start is None else start).alias("_start"),
     )
-    if stride:
+    if stride and stride < length + ahead:
+        kept = kept.withColumn("_start", F.col("_start") & (F.col(idx) % F.lit(stride) == 0))
+    if stride and stride >= length + ahead:
         out = _grouped(kept, keys, idx, item, length, ahead, stride, carry)
     else:
         out = _blocked(kept, keys, idx, item, length, ahead, min(span, max(BLOCK, 2 * (length + ahead))), carry)
@@ -83,16 +85,18 @@ def _blocked(
     cell = F.struct(pos.alias("i"), item.alias("v"), F.when(begins, F.struct(F.lit(True).alias("on"), *carry)).alias("s"))
     blocks = spread.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(cell), lambda a, b: (a["i"] - b["i"]).cast("int")).alias("_a"))
     starts = F.filter(F.transform("_a", lambda x, p: F.struct(p.alias("p"), x["i"].alias("i"), x["s"].alias("s"))), lambda x: x["s"].isNotNull())
-    each = blocks.where(F.exists("_a", lambda x: x["s"].isNotNull())).select(*keys, "_a", F.explode(starts).alias("_s"))
 
-    def held(low: int, count: int) -> Column:
+    def held(s: Column, low: int, count: int) -> Column:
         """The rows of `count` positions from `low` after the start; fewer where positions are missing."""
-        part = F.slice("_a", F.col("_s.p") + (low + 1), F.lit(count))
-        inside = lambda x: (x["i"] >= F.col("_s.i") + low) & (x["i"] < F.col("_s.i") + (low + count))
+        part = F.slice("_a", s["p"] + (low + 1), F.lit(count))
+        inside = lambda x: (x["i"] >= s["i"] + low) & (x["i"] < s["i"] + (low + count))
         return F.transform(F.filter(part, inside), lambda x: x["v"])
 
+    # windows are cut before they are listed: a block is not copied to each of them
+    cut = F.transform(starts, lambda s: F.struct(s["i"].alias("i"), s["s"].alias("s"), held(s, 0, length).alias("w"), *([held(s, length, ahead).alias("y")] if ahead else [])))
+    each = blocks.where(F.exists("_a", lambda x: x["s"].isNotNull())).select(*keys, F.explode(cut).alias("_s"))
     marks = [F.col(f"_s.s.{c}").alias(c) for c in carry]
-    return each.select(*keys, F.col("_s.i").alias(idx), F.lit(True).alias("_start"), *marks, held(0, length).alias("_w"), *([held(length, ahead).alias("_y")] if ahead else []))
+    return each.select(*keys, F.col("_s.i").alias(idx), F.lit(True).alias("_start"), *marks, F.col("_s.w").alias("_w"), *([F.col("_s.y").alias("_y")] if ahead else []))
 
 
 def _grouped(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, split
+from tidemark.operators import clean, split, windows
 from tidemark.plans import views as v
 from tidemark.plans.registry import joined, query, r
+from tidemark.sources.stage import stage
 
 
 @query("row_index", v.sql("SELECT series_id, event_id, idx, n, round(gap_s, 6) AS gap_s FROM su", "su"))
@@ -203,8 +204,9 @@ def set_union(spark, sf):
 
 
 def _labelled_windows(spark, sf):
+    """Ids and labels of the windows at every position; no channel is packed for them."""
     flag = clean.has_anomaly("labels").cast("int").alias("label")
-    return v.user_windows(spark, sf, 1).select(*v.WIN, flag)
+    return windows.slide_windows(v.series(spark, sf), v.KEY, [], v.L, label="is_anomaly", stride=1).select(*v.WIN, flag)
 
 
 _LABELLED = f"SELECT series_id, idx AS start_idx, a AS label FROM ({_FRAMED}) WHERE c = 16"
@@ -238,6 +240,6 @@ def balance_equal(spark, sf):
     SELECT series_id, start_idx FROM ranked WHERE rk <= (SELECT CAST(trunc(count(*) * 1.5::DOUBLE) AS BIGINT) FROM labelled WHERE label = 1)
     """.replace("WITH labelled", "SELECT * FROM (WITH labelled") + ")", "su"))
 def sample_normals(spark, sf):
-    labelled = _labelled_windows(spark, sf)
+    labelled = stage(_labelled_windows(spark, sf), "labelled")
     out = split.sample_normals(labelled.where("label = 0"), labelled.where("label = 1"), v.WIN, 1.5, v.SPLIT_SEED)
     return out.select(*v.WIN)
