@@ -7,8 +7,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import hashing
 from tidemark.operators import clean, detect, evaluate, inject, joins, resample, runs, scale, score, split, windows
 from tidemark.sources import keyvalue, store
 
@@ -723,9 +725,28 @@ def test_overlapping_windows_are_slices_of_blocks(spark, monkeypatch):
 
 
 def test_samples_order_only_what_the_count_asks_for(spark, monkeypatch):
-    """Little more rows are ordered than the sample holds."""
+    """A class that stays whole is not ordered, and of a trimmed one little more than what stays."""
     seen, rank = [], split.digest_rank
     monkeypatch.setattr(split, "digest_rank", lambda df, *args, **named: (seen.append(df.count()), rank(df, *args, **named))[1])
     df = spark.range(20_000).withColumn("label", (F.col("id") % 100 == 0).cast("int"))
+    for ratio, keep in ((1, 200), (2, 400)):
+        assert split.balance_ratio(df, ["id"], "label", ratio).count() == 200 + keep
     assert split.sample_normals(df.where("label = 0"), df.where("label = 1"), ["id"], 1.5).count() == 300
-    assert len(seen) == 1 and max(seen) < 700
+    assert len(seen) == 3 and max(seen) < 700
+
+
+@pytest.mark.parametrize("ratio", [1, 2, 0.5, 40])
+def test_balance_ratio_keeps_the_first_by_digest(spark, ratio):
+    """The same rows as ranking all of them, with labels that are neither, null ids and rows that share an id."""
+    data = [(i % 900 if i % 50 else None, [0, 1, 0, None, 0, 2, 0][i % 7], float(i)) for i in range(1400)]
+    df = spark.createDataFrame(data, "id long, label int, x double")
+    order = hashing.digest(9, "balance", "id")
+    n, a = df.where("label = 0").count(), df.where("label = 1").count()
+    wanted, fallback = int(n / ratio), int(a * ratio)
+    keep = (min(n, a),) * 2 if ratio == 1 else (wanted, n) if a >= wanted else (a, max(1, fallback) if ratio < 1 else fallback)
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(order, "id")))
+    want = ranked.where(F.when(F.col("label") == 1, F.col("rank") <= keep[0]).otherwise(F.col("rank") <= keep[1]))
+    got = split.balance_ratio(df, ["id"], "label", ratio, 9)
+    assert got.columns == df.columns
+    ids = lambda d: sorted(map(str, d.select("id", "label").collect()))
+    assert ids(got) == ids(want)

@@ -343,29 +343,44 @@ def take_ranked(df: DataFrame, ids: Sequence[str], k: Column | int, seed: int, p
 def balance_ratio(
     df: DataFrame, ids: Sequence[str], label: str, ratio: float, seed: int = 42, anomalies_only: bool = False
 ) -> DataFrame:
-    """Trim normals (label 0) and anomalies (label 1) to `ratio` normals per anomaly; see the branch comments."""
+    """Trim normals (label 0) and anomalies (label 1) to `ratio` normals per anomaly; see the branch comments.
+
+    The rows are written once. A class that stays whole is not ordered, and of one that is trimmed only the rows whose hash is below
+    a cut that its size gives, so what is shuffled follows the rows that stay.
+    """
     if anomalies_only:
         return df.where(F.col(label) == 1)
-    counts = df.agg(
-        F.struct(
-            F.count_if(F.col(label) == 0).alias("normals"), F.count_if(F.col(label) == 1).alias("anomalies")
-        ).alias("c")
-    ).scalar()
-    normals, anomalies = counts["normals"], counts["anomalies"]
+    rows = stage(df, "balance")
+    normal, anomalous = F.col(label).eqNullSafe(0), F.col(label).eqNullSafe(1)
+    digest = hashing.digest(seed, "balance", *ids)
+    normals, anomalies = rows.agg(F.count_if(normal), F.count_if(anomalous)).first()
     if ratio == 1:
-        keep_a = keep_n = F.least(normals, anomalies)
+        keep_a = keep_n = min(normals, anomalies)
     else:
-        wanted = (normals.cast("double") / F.lit(float(ratio))).cast("long")
-        fallback = (anomalies.cast("double") * F.lit(float(ratio))).cast("long")
+        wanted, fallback = int(normals / float(ratio)), int(anomalies * float(ratio))
         if ratio < 1:
-            fallback = F.greatest(F.lit(1).cast("long"), fallback)
+            fallback = max(1, fallback)
         enough = anomalies >= wanted
-        keep_a = F.when(enough, wanted).otherwise(anomalies)
-        keep_n = F.when(enough, normals).otherwise(fallback)
-    ranked = digest_rank(df, [label], hashing.digest(seed, "balance", *ids), ids)
-    return ranked.where(
-        F.when(F.col(label) == 1, F.col("rank") <= keep_a).otherwise(F.col("rank") <= keep_n)
-    ).drop("rank", "rank_n")
+        keep_a = wanted if enough else anomalies
+        keep_n = normals if enough else fallback
+    whole = F.lit(False)
+    if keep_a >= anomalies:
+        whole = whole | anomalous
+    if keep_n >= normals:
+        whole = whole | normal
+    cuts = [_hash_cut(keep_a, anomalies), _hash_cut(keep_n, normals)]
+    while True:
+        # a label that is neither is ranked in full, as one of a class of its own
+        cut = F.when(anomalous, F.lit(cuts[0])).when(normal, F.lit(cuts[1])).otherwise(F.lit(1 << 32))
+        low = rows.where(~whole & (hashing.head32(digest) < cut))
+        held = low.agg(F.count_if(anomalous), F.count_if(normal)).first()
+        short = [h < min(k, n) < n for h, k, n in zip(held, (keep_a, keep_n), (anomalies, normals), strict=True)]
+        if not any(short):
+            break
+        cuts = [min(1 << 32, 2 * c) if s else c for c, s in zip(cuts, short, strict=True)]
+    ranked = digest_rank(low, [label], digest, ids, below=cut)
+    trimmed = ranked.where(F.when(F.col(label) == 1, F.col("rank") <= keep_a).otherwise(F.col("rank") <= keep_n))
+    return trimmed.drop("rank", "rank_n").unionByName(rows.where(whole))
 
 
 def sample_normals(
