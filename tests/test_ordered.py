@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordered
 from tidemark.functions.ordered import (
     Running,
     bucket_by_index,
@@ -121,3 +122,19 @@ def test_results_do_not_depend_on_partitioning(spark, partitions):
         split.row_index(rows.coalesce(1), ["s"]), ["s"], ["event_id"]
     ).agg(F.sum(F.col("idx") * F.col("event_id")), F.sum(F.col("ord") * F.col("event_id"))).first()
     assert tuple(out) == tuple(fixed)
+
+
+def test_running_by_value_cuts_only_long_keys(spark, monkeypatch):
+    """Keys of few rows, a null one too, are ordered in one piece; the result is that of buckets."""
+    cut = []
+    monkeypatch.setattr(ordered, "bucket_by_value", lambda df, *args, **named: (cut.append(df.count()), bucket_by_value(df, *args, **named))[1])
+    data = [(None if i % 97 == 0 else 0 if i % 3 else i % 40, (i * 7919) % 251, i, float(i % 13)) for i in range(3000)]
+    df = spark.createDataFrame(data, "s int, us long, event_id long, x double")
+    specs = {"i": ordered.Running("count", F.lit(1), exclusive=True), "most": ordered.Running("max", F.col("us"), exclusive=True), "sum": ordered.Running("sum", F.col("x")), "rest": ordered.Running("sum", F.col("x"), backward=True)}
+    totals = {"n": ("count", F.lit(1))}
+    want = ordered.running(bucket_by_value(df, "us", "event_id"), ["s"], [F.col("us"), F.col("event_id")], specs, totals)
+    for span, rows in ((500, [df.where("s = 0").count()]), (5000, []), (0, [3000])):
+        cut.clear()
+        got = ordered.running_by_value(df, ["s"], "us", "event_id", specs, totals, span)
+        assert cut == rows and got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -5,7 +5,7 @@ large share of the rows. Here every ordered step works on bounded pieces:
 
 * `bucket_by_value`, `bucket_by_index`, `bucket_by_digest` cut the order into buckets of about equal row count;
 * `running` computes running aggregates inside each bucket and adds the total of the earlier buckets, taken from a small
-  table with one row per (key, bucket);
+  table with one row per (key, bucket); `running_by_value` cuts only the keys that hold many rows;
 * `with_halo` copies the rows near a bucket border into the neighbour, so fixed-size frames are exact at borders;
 * `exact_quantiles` is a running count over distinct values.
 """
@@ -209,6 +209,45 @@ def running(
     )
 
 
+def running_by_value(
+    df: DataFrame,
+    keys: Sequence[str],
+    key: str,
+    tie: str,
+    specs: dict[str, Running],
+    totals: dict[str, tuple[str, Column]] | None = None,
+    span: int = SPAN,
+) -> DataFrame:
+    """`running` in the order of (`key`, `tie`), where only keys of more than `span` rows are cut in buckets.
+
+    A key of few rows needs no table of earlier totals, which would have about as many rows as the data when many short series
+    meet many buckets; it is ordered in one piece.
+    """
+    totals = totals or {}
+    sizes = df.groupBy(null_safe(keys).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = stage(sizes.where(F.col("_n") > span).select("_k"), "hot")  # (rows) / span at most
+    order = [F.col(key), F.col(tie)]
+    if hot.isEmpty():
+        return _running_whole(df, keys, order, specs, totals)
+    keyed = df.withColumn("_k", null_safe(keys))
+    long = keyed.join(F.broadcast(hot), "_k", "left_semi").drop("_k")
+    cut = running(bucket_by_value(long, key, tie), keys, order, specs, totals)
+    return cut.unionByName(_running_whole(keyed.join(F.broadcast(hot), "_k", "left_anti").drop("_k"), keys, order, specs, totals))
+
+
+def _running_whole(df: DataFrame, keys: Sequence[str], order: Sequence[Column], specs: dict[str, Running], totals: dict[str, tuple[str, Column]]) -> DataFrame:
+    """What `running` gives, for keys that fit a task."""
+    parts = Window.partitionBy("_k")
+
+    def local(s: Running) -> Column:
+        way = parts.orderBy(*[c.desc() if s.backward else c.asc() for c in order])
+        value = _AGG[s.agg](s.value).over(way.rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0))
+        return F.coalesce(value, F.lit(0)) if s.agg in ("sum", "count") else value
+
+    found = [*[local(s).alias(n) for n, s in specs.items()], *[_AGG[a](v).over(parts).alias(n) for n, (a, v) in totals.items()]]
+    return df.withColumn("_k", null_safe(keys)).select(*[F.col(c) for c in df.columns], *found)
+
+
 def digest_rank(
     df: DataFrame, keys: Sequence[str], hexdigest: Column, ids: Sequence[str], name: str = "rank", below: Column | int = 1 << 32
 ) -> DataFrame:

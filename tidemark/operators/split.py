@@ -18,6 +18,7 @@ from tidemark.functions.ordered import (
     nearest_marks,
     null_safe,
     running,
+    running_by_value,
     spread_join,
 )
 from tidemark.sources.stage import stage
@@ -39,9 +40,7 @@ def row_index(
     specs = {"idx": Running("count", F.lit(1), exclusive=True)}
     for name, col in (carry_prev or {}).items():
         specs[name] = Running("max", F.col(col), exclusive=True)
-    return running(
-        bucket_by_value(df, us, tie), keys, [F.col(us), F.col(tie)], specs, {"n": ("count", F.lit(1))}
-    )
+    return running_by_value(df, keys, us, tie, specs, {"n": ("count", F.lit(1))})
 
 
 # ---------------------------------------------------------------- chunk split

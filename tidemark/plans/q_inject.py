@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import clean, inject, joins, scale, windows
 from tidemark.plans import views as v
 from tidemark.plans.registry import joined, query, r
+from tidemark.sources.stage import stage
 
 _RANK = """row_number() OVER (ORDER BY md5(concat_ws('|', '123', 'pick', series_id::VARCHAR, start_idx::VARCHAR)), series_id, start_idx)"""
 
@@ -70,10 +71,10 @@ def change_mask(spark, sf):
     WHERE c.channel = 'value'""", "cz"))
 def keep_normal_values(spark, sf):
     """Corrupted windows back in original units; untouched steps carry the original values."""
-    every = v.user_windows(spark, sf)
+    every = stage(v.user_windows(spark, sf), "windows")
     good = clean.filter_windows_by_label(every, anomalous=False)
     fitted = scale.standard_fit(windows.explode_positions(good, [], v.CH), v.CH)
-    bad = v.corrupted_windows(spark, sf, list(v.MIXED)).where("channel = 'value'")
+    bad = v.corrupted_windows(spark, sf, list(v.MIXED), clean_windows=scale.scale_windows(good, fitted, v.CH)).where("channel = 'value'")
     back = scale.scale_windows(bad, fitted, v.CH, inverse=True)
     pairs = joins.join_pairs(back, good.select(*v.WIN, "value"), v.WIN)
     kept = pairs.withColumn("value", inject.keep_normal_values(F.col("value"), F.col("clean_value"), F.col("labels")))
