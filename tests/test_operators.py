@@ -750,3 +750,29 @@ def test_balance_ratio_keeps_the_first_by_digest(spark, ratio):
     assert got.columns == df.columns
     ids = lambda d: sorted(map(str, d.select("id", "label").collect()))
     assert ids(got) == ids(want)
+
+
+def _rows_ordered(monkeypatch, module):
+    seen, real = [], module.exact_quantiles
+    monkeypatch.setattr(module, "exact_quantiles", lambda df, *args, **named: (seen.append(df.count()), real(df, *args, **named))[1])
+    return seen
+
+
+def test_grid_orders_errors_of_a_channel_once(spark, monkeypatch):
+    """Medians of absolute and squared errors come from one order."""
+    data = [(i // 4, i % 4, (-1) ** i * (i * 7 % 23) / 3.0, (i * 5 % 17) / 7.0, int(i % 9 == 0), int(i % 4 != 3)) for i in range(200)]
+    deltas = spark.createDataFrame(data, "id long, pos int, u double, w double, label int, normal int")
+    seen = _rows_ordered(monkeypatch, runs)
+    got = {r.config_id: r.threshold for r in runs.sweep_grid(deltas, ["id"], ["u", "w"], runs.scoring_grid(spark, {"error": ["abs", "se"]})).collect()}
+    assert seen == [2 * deltas.where("normal = 1").count()]
+    for i, error in enumerate((abs, lambda x: x * x)):
+        factors = [float(np.median([error(d[c]) for d in data if d[5]])) + 1e-3 for c in (2, 3)]
+        scores = {(error(d[2]) / factors[0] + error(d[3]) / factors[1]) / 2 for d in data}
+        assert math.isinf(got[i]) or min(abs(got[i] - s) for s in scores) < 1e-12
+
+
+def test_evaluation_orders_each_error_once(spark, monkeypatch):
+    make = lambda n, more: spark.createDataFrame([(i, p, i + p / 3.0, i * p / 7.0 + more, 1) for i in range(n) for p in range(4)], "id long, pos int, u double, w double, label int")
+    seen = _rows_ordered(monkeypatch, evaluate)
+    record = evaluate.evaluate(make(5, 2.0), make(9, 0.0).drop("label"), ["id"], ["u", "w"])[0].first()
+    assert record.normal_windows == 5 and seen == [2 * 4 * (5 + 5)]

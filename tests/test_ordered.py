@@ -138,3 +138,14 @@ def test_running_by_value_cuts_only_long_keys(spark, monkeypatch):
         got = ordered.running_by_value(df, ["s"], "us", "event_id", specs, totals, span)
         assert cut == rows and got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_quantiles_of_overlapping_parts_share_one_order(spark):
+    """Parts give what separate calls give, and rows are not copied to them."""
+    data = [(i % 2, i % 5, float((i * 37) % 101) if i % 11 else None) for i in range(700)]
+    df = spark.createDataFrame(data, "s int, c int, x double")
+    parts = {"all": (F.lit(True), [0.0, 0.3, 1.0]), "low": (F.col("c") < 2, [0.5]), "none": (F.col("c") > 9, [0.5])}
+    got = {(r.s, r.part, r.p): (r.n, r.q) for r in exact_quantiles(df, ["s"], "x", [], parts=parts).collect()}
+    want = {(r.s, "all", r.p): (r.n, r.q) for r in exact_quantiles(df, ["s"], "x", [0.0, 0.3, 1.0]).collect()}
+    want |= {(r.s, "low", r.p): (r.n, r.q) for r in exact_quantiles(df.where("c < 2"), ["s"], "x", [0.5]).collect()}
+    assert got == want and len(got) == 8

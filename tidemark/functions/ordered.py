@@ -337,15 +337,18 @@ def spread_join(
 # ---------------------------------------------------------------- quantiles
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], staged: bool = True
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], staged: bool = True, parts: dict[str, tuple[Column, Sequence[float]]] | None = None
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per (keys, p) with `q` and the count `n`.
+    """Exact quantiles with linear interpolation: one row per (keys, p) with `q` and the count `n`, and what `q` lies between.
 
-    Equal values collapse into one counted row first; the rank of each distinct value is a running count.
+    Equal values collapse into one counted row first; the rank of each distinct value is a running count. `q` is
+    `low + (high - low) * fraction` of two neighbours in the order. With `parts` (name -> condition, probs) there is one row per
+    (keys, `part`, p) over the rows where the condition holds: all parts share one order, so overlapping ones do not copy rows.
     """
     keys = list(keys)
+    found = parts or {"": (F.lit(True), probs)}
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
+        *[F.count_if(condition).alias(f"_c{i}") for i, (condition, _) in enumerate(found.values())]
     )
     if staged:
         counts = stage(counts, "quantile")
@@ -353,31 +356,25 @@ def exact_quantiles(
         bucket_by_value(counts, "_v"),
         keys,
         [F.col("_v")],
-        {"_upto": Running("sum", F.col("_c"))},
-        {"n": ("sum", F.col("_c"))},
+        {f"_u{i}": Running("sum", F.col(f"_c{i}")) for i in range(len(found))},
+        {f"_n{i}": ("sum", F.col(f"_c{i}")) for i in range(len(found))},
     )
-    targets = F.array(*[
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            F.floor(F.lit(float(p)) * (F.col("n") - 1)).alias("lo"),
-            F.ceil(F.lit(float(p)) * (F.col("n") - 1)).alias("hi"),
-            (F.lit(float(p)) * (F.col("n") - 1)).alias("r"),
-        )
-        for p in probs
-    ])
-    first, past = F.col("_upto") - F.col("_c"), F.col("_upto")
 
-    def covers(rank: Column) -> Column:
-        return (rank >= first) & (rank < past)
+    def target(i: int, name: str, p: float) -> Column:
+        rank = F.lit(float(p)) * (F.col(f"_n{i}") - 1)
+        first, past = F.col(f"_u{i}") - F.col(f"_c{i}"), F.col(f"_u{i}")
+        held = lambda at: (at >= first) & (at < past)
+        return F.struct(
+            F.lit(name).alias("part"), F.lit(float(p)).alias("p"), F.col(f"_n{i}").alias("n"), (rank - F.floor(rank)).alias("f"),
+            held(F.floor(rank)).alias("lo"), held(F.ceil(rank)).alias("hi"),
+        )
 
-    hits = ranked.select(
-        *keys, "n", "_v", "_upto", "_c",
-        F.explode(F.filter(targets, lambda t: covers(t["lo"]) | covers(t["hi"]))).alias("t"),
-    )
-    ends = hits.groupBy(*keys, F.col("t.p").alias("p")).agg(
-        F.max("n").alias("n"),
-        F.max(F.when(covers(F.col("t.lo")), F.col("_v"))).alias("_lo"),
-        F.max(F.when(covers(F.col("t.hi")), F.col("_v"))).alias("_hi"),
-        F.max(F.col("t.r") - F.col("t.lo")).alias("_f"),
+    targets = F.array(*[target(i, name, p) for i, (name, (_, some)) in enumerate(found.items()) for p in some])
+    hits = ranked.select(*keys, "_v", F.explode(F.filter(targets, lambda t: t["lo"] | t["hi"])).alias("t"))
+    ends = hits.groupBy(*keys, *([F.col("t.part").alias("part")] if parts else []), F.col("t.p").alias("p")).agg(
+        F.max("t.n").alias("n"),
+        F.max(F.when(F.col("t.lo"), F.col("_v"))).alias("low"),
+        F.max(F.when(F.col("t.hi"), F.col("_v"))).alias("high"),
+        F.max("t.f").alias("fraction"),
     )
-    return ends.select(*keys, "p", "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("q"))
+    return ends.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * F.col("fraction"))

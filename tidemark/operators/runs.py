@@ -142,11 +142,14 @@ def sweep_grid(
     """
     kinds = sorted({s["error"] for s in settings})
     errors = {(k, c): elementwise_error(F.col(c), F.lit(0.0), k) for k in kinds for c in channels}
-    wanted = F.array(*[F.struct(F.lit(f"{k}|{c}").alias("k"), e.alias("err")) for (k, c), e in errors.items()])
     medians = {}
     if any(s["normaliser"] == "median" for s in settings):
+        wanted = F.array(*[F.struct(F.lit(c).alias("c"), elementwise_error(F.col(c), F.lit(0.0), "abs").alias("err")) for c in channels])
         long = deltas.where(F.col(normal) == 1).select(F.inline(wanted))
-        medians = {row["k"]: row["q"] for row in exact_quantiles(long, ["k"], "err", [0.5]).collect()}  # error kinds x channels
+        middle = exact_quantiles(long, ["c"], "err", [0.5]).collect()  # one row per channel
+        # squares are in the order of the absolute errors, so one order gives the neighbours of both medians
+        for kind, of in (("abs", lambda x: x), ("se", lambda x: x * x)):
+            medians |= {f"{kind}|{m['c']}": of(m["low"]) + (of(m["high"]) - of(m["low"])) * m["fraction"] for m in middle}
 
     def scored(s: dict) -> Column:
         parts = [errors[s["error"], c] if s["normaliser"] == "none" else errors[s["error"], c] / F.lit(medians[f"{s['error']}|{c}"] + s["epsilon"]) for c in channels]

@@ -207,14 +207,14 @@ def sweep_grid(spark, sf):
     """A grid of scoring options: equal settings dropped, every run stored, the best one chosen from the store."""
     errs = store.reuse_or_rebuild(spark, fresh_path(spark, "errors"), lambda: v.step_errors(spark, sf).withColumn("normal", 1 - F.col("anomalous")))
     found = runs.sweep_grid(errs, v.WIN, v.CH, runs.scoring_grid(spark, OPTIONS))
-    records = found.select(F.col("config_id").alias("run_id"), F.lit(1).alias("epoch"), r("roc_auc", 9).alias("val_roc_auc"), (F.col("tpr") - F.col("fpr")).alias("youden"), "error", "normaliser", "epsilon", "level")
+    records = found.select(F.col("config_id").alias("run_id"), F.lit(1).alias("epoch"), r("roc_auc", 9).alias("val_roc_auc"), "roc_auc", (F.col("tpr") - F.col("fpr")).alias("youden"), "error", "normaliser", "epsilon", "level")
     path = fresh_path(spark, "runs")
     store.sink_results(records, path)
     store.sink_results(store.read_results(spark, path), path)  # publishing again changes nothing
     stored = store.read_results(spark, path)
     best = runs.best_run(stored, *runs.choose_metric("val_roc_auc", stored.columns, True)).select(F.col("run_id").alias("best_id"))
     marked = stored.join(best, F.col("run_id") == F.col("best_id"), "left")
-    return marked.select(F.col("run_id").alias("config_id"), "error", "normaliser", "epsilon", "level", r("val_roc_auc").alias("val_roc_auc"), r("youden").alias("youden"), F.col("best_id").isNotNull().alias("best"))
+    return marked.select(F.col("run_id").alias("config_id"), "error", "normaliser", "epsilon", "level", r("roc_auc").alias("val_roc_auc"), r("youden").alias("youden"), F.col("best_id").isNotNull().alias("best"))
 
 
 @query("best_run", v.sql("""
