@@ -61,7 +61,10 @@ def evaluate(
     grouped = long.select(F.explode(groups).alias("group"), "err")
     basics = grouped.groupBy("group").agg(F.count("err").alias("count"), F.avg("err").alias("mean"), F.stddev_pop("err").alias("std"), F.min("err").alias("min"), F.max("err").alias("max"))
     names = list(DISTRIBUTION_PROBS)
-    quantiles = exact_quantiles(grouped, ["group"], "err", list(DISTRIBUTION_PROBS.values()))
+    # one order for each class; those of the channels, whose medians alone are used, share the normal one's
+    every, normals = list(DISTRIBUTION_PROBS.values()), F.col("anomalous") == 0
+    parts_of = {"anomaly": (~normals, every), "normal": (normals, every), **{f"channel|{c}": (normals & (F.col("channel") == c), [DISTRIBUTION_PROBS["median"]]) for c in channels}}
+    quantiles = exact_quantiles(long, ["anomalous"], "err", [], parts=parts_of).withColumnRenamed("part", "group")
     wide = quantiles.groupBy("group").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in DISTRIBUTION_PROBS.items()])
     table = stage(basics.join(wide, "group"), "statistics")  # two rows and one for each channel
     fields = ["count", "mean", "std", "min", "max", *names]
