@@ -46,15 +46,18 @@ ROLES = {
     "comment": "comment comments reply replies respond discussion disqus reader readers feedback",
     "share": "share sharing social follow like tweet meta byline tags tag author",
 }
+# What a text says, in lower case; `\b` is a border of a word.
 CUES = {
-    "copyright": r"©|\(c\)|copyright|all rights reserved",
-    "cookie": r"\bcookies?\b|\bconsent\b|privacy",
-    "subscribe": r"subscribe|newsletter|sign ?up|log ?in|sign ?in|password|e-?mail",
+    "copyright": "©|(c)|copyright|all rights reserved",
+    "cookie": r"\bcookie\b|\bcookies\b|\bconsent\b|privacy",
+    "subscribe": "subscribe|newsletter|signup|sign up|login|log in|signin|sign in|password|email|e-mail",
     "advert": r"advertis|sponsor|buy now|order now|sale\b|discount|% off",
-    "reply": r"\breply\b|\bcomments?\b|\bsays:|\bwrote:|posted by|great (?:post|article)|thanks for",
-    "more": r"read more|related|share|follow us|most read|see also|home|menu|skip to",
+    "reply": r"\breply\b|\bcomment\b|\bcomments\b|\bsays:|\bwrote:|posted by|great post|great article|thanks for",
+    "more": "read more|related|share|follow us|most read|see also|home|menu|skip to",
 }
-CUE = {k: re.compile(v, re.I) for k, v in CUES.items()}
+# plain words are looked for as such, and borders of words only where the word is there
+CUE = {k: [(x.replace(r"\b", ""), re.compile(x) if r"\b" in x else None) for x in v.split("|")] for k, v in CUES.items()}
+LIKE = str.maketrans("İıſ\u212a", "iisk")  # what else case-insensitive patterns take for i, s and k
 ROLE_OF = {w: role for role, words in ROLES.items() for w in words.split()}
 SAYING = frozenset("nav header footer aside form article main button select".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -181,6 +184,18 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+def cues(text: str) -> list[str]:
+    """The names of the cues in a text, in any case."""
+    low = (text if text.isascii() else text.translate(LIKE)).lower()
+    found = []
+    for name, said in CUE.items():
+        for plain, bordered in said:
+            if plain in low and (bordered is None or bordered.search(low)):
+                found.append(name)
+                break
+    return found
+
+
 def features(seq: list[Block]) -> list[list[str]]:
     """Binary features of each block: ancestors, named roles, and its text."""
     rows = []
@@ -190,8 +205,9 @@ def features(seq: list[Block]) -> list[list[str]]:
         own.append(f"words={min(6, words.bit_length())}")
         own.append(f"link={0 if b.link == 0 else 1 if b.link < 0.34 else 2 if b.link < 0.8 else 3}")
         own.append("ends" if b.text[-1] in ".!?…:;”\"»" else "open")
-        own += [f"cue={k}" for k, p in CUE.items() if p.search(b.text)]
-        own += [f"short+cue={k}" for k, p in CUE.items() if words < 25 and p.search(b.text)]
+        said = cues(b.text)
+        own += [f"cue={k}" for k in said]
+        own += [f"short+cue={k}" for k in said if words < 25]
         if not any(r in b.roles for r in ROLES) and not b.path & {"nav", "header", "footer", "aside", "form", "article", "main"}:
             own.append("plain")
             own.append(f"plain+words={min(6, words.bit_length())}")
