@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import map_batches
+
 DIM, GRAM, SEED = 1024, 3, 7
 PIECE = 400_000  # characters handled at once; a longer text is read in pieces
 MAX_LANGS = 2000
@@ -135,7 +137,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()])], names=["lang", "v"])
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    parts = rows.mapInArrow(partial, "lang string, v array<double>")
+    parts = map_batches(rows, partial, "lang string, v array<double>")
     # fixed-point addition: the same prototypes whatever the order of tasks
     places = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum(F.round(F.col("x") * 1e6).cast("decimal(30,0)")).alias("x"))
     found = places.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias("v")).limit(MAX_LANGS + 1).collect()
@@ -171,7 +173,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], names=[*kept, pred_col, score_col])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
-    return base.mapInArrow(scored, ", ".join([*fields, f"`{pred_col}` string", f"`{score_col}` double"]))
+    return map_batches(base, scored, ", ".join([*fields, f"`{pred_col}` string", f"`{score_col}` double"]))
 
 
 def fold(id_col: str = "doc_id"):

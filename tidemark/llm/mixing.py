@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import uniform
-from tidemark.llm.common import whole
+from tidemark.llm.common import map_batches, whole
 from tidemark.llm.words import word_hashes
 from tidemark.sources.stage import stage
 
@@ -78,7 +78,7 @@ def train(rows: DataFrame, domains: list[str]) -> Classifier:
         d, b = np.nonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(b), pa.array(found[d, b])], names=["d", "b", "n"])
 
-    parts = stage(rows.mapInArrow(count, "d long, b long, n double"), "counts")
+    parts = stage(map_batches(rows, count, "d long, b long, n double"), "counts")
     docs = np.zeros(width)
     for r in parts.where(F.col("b") == BUCKETS).groupBy("d").agg(F.sum("n").alias("n")).collect():
         docs[r["d"]] = r["n"]
@@ -104,7 +104,7 @@ def train(rows: DataFrame, domains: list[str]) -> Classifier:
                 loss[j] -= np.log(model.posteriors(sums, heat)[np.arange(len(own)), own] + 1e-12).sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(HEATS))), pa.array(np.round(loss, 3))], names=["j", "loss"])
 
-    losses = rows.mapInArrow(judge, "j long, loss double").groupBy("j").agg(F.sum("loss").alias("loss")).collect()
+    losses = map_batches(rows, judge, "j long, loss double").groupBy("j").agg(F.sum("loss").alias("loss")).collect()
     if losses:
         model.heat = float(HEATS[min(losses, key=lambda r: (round(r["loss"], 1), r["j"]))["j"]])
     return model
@@ -125,7 +125,7 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens), pa.array(p.tolist(), pa.list_(pa.float64()))], names=[*kept, "__tokens", "__p"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(run, ", ".join([*fields, "`__tokens` long", "`__p` array<double>"]))
+    return map_batches(docs, run, ", ".join([*fields, "`__tokens` long", "`__p` array<double>"]))
 
 
 def rate_of(steps: list[list[float]]) -> Column:

@@ -21,12 +21,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import map_batches
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2  # model types of the file format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the file format
 UNKNOWN_COST = 10.0  # a character outside the vocabulary scores this much below the worst piece
 NO_PIECE, AT_START = -2, -1  # last pieces of a prefix that are none
-KEPT = 500_000  # words, and pairs of pieces, that a process remembers in each of two generations
+KEPT = 150_000  # words that a process remembers in each of two generations
+PAIRS = 500_000  # pairs of pieces that it remembers
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 SPACES = re.compile(" {2,}")
 
@@ -147,7 +150,7 @@ class Vocabulary:
 
     def learn(self, words: list[str]) -> None:
         """Pieces of all words that are not known yet, by one depth-first walk of their trie."""
-        if len(self.admitted) > KEPT:
+        if len(self.admitted) > PAIRS:
             self.admitted = {}
         ahead = self.ahead_bpe if self.kind == BPE else self.ahead_unigram
         best, last, piece, before = [0.0], [0], [AT_START], ""
@@ -241,7 +244,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     base = docs.select(*kept)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
-    return base.mapInArrow(run, ", ".join([*fields, f"`{ids_col}` array<int>", *([f"`{check_col}` boolean"] if check_col else [])]))
+    return map_batches(base, run, ", ".join([*fields, f"`{ids_col}` array<int>", *([f"`{check_col}` boolean"] if check_col else [])]))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -260,4 +263,4 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
 
     base = docs.select(*kept)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
-    return base.mapInArrow(run, ", ".join([*fields, f"`{text_col}` string"]))
+    return map_batches(base, run, ", ".join([*fields, f"`{text_col}` string"]))
