@@ -14,6 +14,7 @@ pieces would also happen in these two alone. Each prefix has one such path, and
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ UNIGRAM, BPE = 1, 2  # model types of the file format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the file format
 UNKNOWN_COST = 10.0  # a character outside the vocabulary scores this much below the worst piece
 NO_PIECE, AT_START = -2, -1  # last pieces of a prefix that are none
-KEPT = 150_000  # words that a process remembers in each of two generations
+KEPT = 300_000  # words that a process remembers in each of two generations
 PAIRS = 500_000  # pairs of pieces that it remembers
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 SPACES = re.compile(" {2,}")
@@ -171,7 +172,7 @@ class Vocabulary:
                 elif not ids or ids[-1] != self.unknown:  # neighbours outside the vocabulary are one unknown piece
                     ids.append(self.unknown)
                 end = a
-            self.words[word] = np.array(ids[::-1], np.int32).tobytes()
+            self.words[word] = array("i", ids[::-1]).tobytes()
             before = word
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
