@@ -1,5 +1,6 @@
 """All documents count towards the order of shingles and the boundary, however many there are."""
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,3 +36,8 @@ def test_every_document_is_counted(spark, monkeypatch):
     assert rows == N and sizes == {2: N}
     assert N / 4 <= uses.max() < N / 4 + 50  # all of them; few shingles of other texts share the counter
     assert 0.9 < narrow < 1.1  # all other shingles are used once
+
+
+def test_near_copies_of_the_pipeline_count_every_document(spark, monkeypatch):
+    rows, _, uses, sizes, _ = counted(spark, monkeypatch, lambda docs: corpus_pipeline.dedup_near_copies(spark, docs, ""))
+    assert rows == N and sizes == {2: N} and uses.max() >= N / 4
